@@ -234,7 +234,7 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             all_ = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb"), "main")
             pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits("na", "nb"))
         else:  # each list against one pivot of it
-            pivot = here.groupBy("token").agg(F.min(F.struct(F.col("id") if not step else F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "l", "comp")).alias("p"))
+            pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "l", "comp")).alias("p"))
             pivot = pivot.select("token", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.l").alias("la"), F.col("p.comp").alias("ca"))
             pairs = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits("na", "nb"))
         pairs = (
