@@ -5,20 +5,118 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import digests, format_chat, text_parts
+from .mixing import mix
 from .ngram_join import ngram_components
+from .quality_rules import apply_policy, ledger
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_policy(ledger(_read(spark, sf_dir, "documents")), version=2)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = mix(_read(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
+    return x.select("doc_id", "size", "source_size", "target", taken)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ok = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", ok), (-1, 1, "assistant", ok)], "conv_id long, turn long, role string, text string")
+    return digests(format_chat(text_parts(turns.unionByName(more))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_chat_format": op8_chat_format,
 }
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_quality_rules"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t
+), g AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)
+), often AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM g) WHERE c > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY rid
+), m AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_bangs,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (rid)
+), b AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
+    + (CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 8 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END)
+    + (CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 32 ELSE 0 END)
+    + (CASE WHEN 5 * n_bangs > n_words THEN 64 ELSE 0 END) AS bits FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_bangs, n_lines, n_dup_lines, n_repeat_words, bits::BIGINT AS bits,
+  (bits & 3) <> 0 AS base_failed, bits = 0 AS kept FROM b
+"""
+
+ORACLES["op3_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source
+), r AS (
+  SELECT *, ([3.0, 1.0, 2.0]::DOUBLE[])[(i % 3)::INT + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, cap / weight AS ratio, (sum(source_size) OVER () * 1.5::DOUBLE
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, i LIMIT 1
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * weight), cap) AS target FROM l
+), q AS (
+  SELECT *, floor(target + 0.5)::BIGINT AS quota, coalesce(floor(target + 0.5)::BIGINT // nullif(source_size, 0), 0) AS full_ FROM t
+), x AS (
+  SELECT d.*, source_size, target, full_, quota - full_ * source_size AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target, (full_ * size + greatest(0, least(size, rest - upto + size)))::BIGINT AS taken FROM x
+"""
+
+ORACLES["op8_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, replace(replace(replace(text, '&', '&0'), '<', '&1'), '[', '&2') AS body,
+    replace(replace(replace(replace(role, '&', '&0'), '<', '&1'), '[', '&2'), chr(10), '&3') AS head FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, body)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(head) + 1 + length(body) + 11)::BIGINT AS formatted_chars,
+  0::BIGINT AS n_attachments
+FROM e GROUP BY conv_id
+"""
