@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import digests, format_chat, text_parts
+from .decontaminate import leaks
 from .mixing import mix
 from .ngram_join import ngram_components
 from .quality_rules import apply_policy, ledger
+from .sharding import shard
+from .warc import write_archive
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +34,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_read(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=5, num=80, den=100)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ok = "</s>[INST] ok [/INST]"
@@ -38,11 +45,24 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chat(text_parts(turns.unionByName(more))))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = shard(_read(spark, sf_dir, "documents"), shards=24)
+    return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = write_archive(_read(spark, sf_dir, "pages"), min_bytes=0).read()
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_chat_format": op8_chat_format,
+    "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
@@ -120,3 +140,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   0::BIGINT AS n_attachments
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op5_benchmark_decontamination"] = r"""
+WITH t AS (
+  SELECT doc_id AS id, 0 AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT id, item, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT id, item, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM t WHERE len(w) > 0)
+), n AS (SELECT id, count(*) AS n FROM s WHERE item = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_item, count(*) AS n_shared
+FROM s b JOIN s d ON d.g = b.g AND d.item = 0 AND b.item = 1 JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING 100 * count(*) >= 80 * any_value(n.n)
+"""
+
+_CHARS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * c}) & 31)::INT), 1)" for g in range(8) for c in range(4))
+ORACLES["op10_warc"] = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, payload_bytes, {_CHARS} AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM m
+"""
