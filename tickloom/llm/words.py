@@ -60,7 +60,7 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 
 def _block(buf: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarray, heads: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Starts and hashes of the words in buf. Rows begin at first and end before last. heads: also hash the first k bytes."""
+    """Starts and hashes of the words in buf. Rows begin at first and end before last. heads: also hash the first k bytes, or the last -k."""
     space = SPACE[buf]
     at = ~space
     begins = at.copy()
@@ -76,14 +76,19 @@ def _block(buf: np.ndarray, first: np.ndarray, last: np.ndarray, table: np.ndarr
     np.cumsum(table[buf] * up[: len(buf)], out=sums[1:])
     base, scale = sums[starts], down[starts]
     out = [mix((sums[stops] - base) * scale)]
-    out += [mix((sums[np.minimum(stops, starts + k)] - base) * scale + np.uint64(k)) for k in heads]
+    for k in heads:
+        if k > 0:
+            out.append(mix((sums[np.minimum(stops, starts + k)] - base) * scale + np.uint64(k)))
+        else:
+            tail = np.maximum(starts, stops + k)
+            out.append(mix((sums[stops] - sums[tail]) * down[tail] + np.uint64(256 - k)))
     return starts, out, stops - starts
 
 
 def words(data: np.ndarray, off: np.ndarray, lower: bool = False, heads: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], np.ndarray]]:
     """Yields (i, j, at, hashes, lengths): of rows i to j, row i + r has words at[r] to at[r + 1].
 
-    hashes[0] are the words' hashes, hashes[1:] those of their first k bytes for k in heads;
+    hashes[0] are the words' hashes, hashes[1:] those of their first k bytes (last -k if negative) for k in heads;
     lengths are in bytes. lower: A-Z count as a-z.
     """
     table, i, n = _lower if lower else _exact, 0, len(off) - 1
