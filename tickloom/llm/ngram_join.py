@@ -27,8 +27,11 @@ from .graph import components
 from .store import written
 from .words import mix, shingle_sets
 
-SLOTS, PARTS = 1 << 20, 64
+SLOT_BITS, PARTS = 22, 64
+SLOTS = 1 << SLOT_BITS
 DEPTHS = (1, 2, 3, 4)
+#: Lists with more texts than this are first compared with pivots.
+LONG = 64
 #: Ids up to this many go to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -51,10 +54,10 @@ def _scan(k: int):
                 some.append(u)
                 held += len(u)
                 if held > 1 << 20:
-                    total += np.bincount((np.concatenate(some) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                    total += np.bincount((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                     some, held = [], 0
             if some:
-                total += np.bincount((np.concatenate(some) >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                total += np.bincount((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
             n = len(rows)
             if n:
                 x = np.array(rows, np.int64)
@@ -117,8 +120,8 @@ def _postings(k: int, num: int, den: int, sketch):
                 if not len(u) or ids[r] is None or (p := _print(u)) in seen:
                     continue
                 seen.add(p)
-                f = np.maximum(frequency[(u >> np.uint64(44)).astype(np.int64)], 1)
-                order = np.argsort(np.floor(np.log2(f)).astype(np.uint64) << np.uint64(58) | u >> np.uint64(6), kind="stable")
+                f = np.maximum(frequency[(u >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], 1)
+                order = np.argsort(f, kind="stable")  # u is sorted, so ties go by hash
                 need = int(least(len(u), num, den))
                 l = depth(f[order[: len(u) - need + DEPTHS[-1]]].astype(np.float64), len(u), need)
                 first = u[order[: len(u) - need + l]]
@@ -169,20 +172,23 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, linked) for every pair (a, b), on whole shingle sets."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        ids = written(ids, "ids")
+    def verify(self, pairs: DataFrame, done: DataFrame | None) -> DataFrame:
+        """(a, b, linked) for every pair (a, b) that isn't done, on whole shingle sets."""
+        pairs = pairs.select("a", "b").distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
         if ids.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
         sets = written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.k), "id long, items binary"), "sets")
-        return (
-            pairs.select("a", "b")
-            .join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+        checked = (
+            pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
             .select("a", "b", "x", "y")
             .mapInArrow(_verify(self.num, self.den), "a long, b long, linked boolean")
         )
+        return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
 
     def fits(self, x: str, y: str):
         """Whether the sizes allow a link."""
@@ -190,6 +196,13 @@ class _Join:
         return F.lit(self.den) * lo >= F.lit(self.num) * hi
 
 
+def _mixed(here: DataFrame) -> DataFrame:
+    """token, c (members), top (of them in the largest component) and comp (that one) for lists of more than one component."""
+    per = here.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    lists = per.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", F.negate("comp").alias("x"))).alias("most"))
+    return lists.where("comps > 1").select("token", "c", F.col("most.c").alias("top"), F.negate("most.x").alias("comp"))
+
+
 def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = 3, with_links: bool = False) -> DataFrame:
     """Links texts whose shingle sets have den * intersection >= num * union and finds the components.
 
@@ -211,49 +224,43 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     job = _Join(docs, k, num, den)
     raw = written(docs.mapInArrow(_postings(k, num, den, sketch), "token long, doc_id long, nl long"), "postings")
-    often = raw.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    often = raw.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rep = stat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("id"))
-    post = raw.join(often, "token").join(rep, "doc_id").groupBy("token", "id").agg(F.max(F.shiftright("nl", 3)).alias("n"), F.min(F.col("nl").bitwiseAND(7)).alias("l"))
+    post = raw.join(often, "token").join(rep, "doc_id").groupBy("token", "id").agg(F.max(F.shiftright("nl", 3)).alias("n"), F.min(F.col("nl").bitwiseAND(7)).alias("l"), F.max("df").alias("df"))
     post = written(post, "shared")
 
-    label = written(post.select("id").distinct().withColumn("comp", F.col("id")), "labels")
+    # long lists first: their near copies are found by comparison with a pivot
+    long = written(post.where(F.col("df") > LONG).drop("df"), "long")
+    label = written(long.select("id").distinct().withColumn("comp", F.col("id")), "labels")
     done = None  # the pairs that were compared
-    for step in range(rounds + 1):
-        here = post.join(label, "id")
-        per = here.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("id").alias("id"))
-        open_ = per.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", F.negate("comp").alias("x"))).alias("most")).where("comps > 1")
-        open_ = open_.select("token", "c", F.col("most.c").alias("top"), F.negate("most.x").alias("comp"))
-        mixed = written(open_, "open")
+    for step in range(rounds):
+        here = written(long.join(label, "id"), "here")
+        mixed = _mixed(here)
         size = mixed.agg(F.sum(F.col("c") - 1), F.sum((F.col("c") - F.col("top")) * F.col("c"))).first()
-        if not size[0]:
+        if not size[0] or size[1] <= 4 * size[0]:
             break
-        last = step == rounds or size[1] <= 4 * size[0]
-        here = written(here.join(mixed.select("token", F.col("comp").alias("main")), "token"), "here")
-        if last:  # all pairs that can still join two components
-            few = here.where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("comp").alias("ca"))
-            all_ = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb"), "main")
-            pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits("na", "nb"))
-        else:  # each list against one pivot of it
-            pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "l", "comp")).alias("p"))
-            pivot = pivot.select("token", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.l").alias("la"), F.col("p.comp").alias("ca"))
-            pairs = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits("na", "nb"))
-        pairs = (
-            pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l"))
-            .where("c >= l")
-            .select("a", "b")
-        )
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = written(job.verify(written(pairs, "pairs")), "links")
+        here = here.join(mixed.select("token"), "token")
+        pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "comp")).alias("p"))
+        pivot = pivot.select("token", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
+        pairs = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits("na", "nb"))
+        found = job.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), done)
         label = components(label, found.where("linked"))
-        done = found if done is None else done.unionByName(found)
-        if last:
-            break
+        done = found if done is None else written(done.unionByName(found), "done")
+
+    # then every pair that can still join two components, over all lists
+    here = written(post.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "here")
+    main = _mixed(here).select("token", F.col("comp").alias("main"))
+    here = written(here.join(main, "token"), "here")
+    few = here.where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("comp").alias("ca"))
+    all_ = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb"), "main")
+    pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits("na", "nb"))
+    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
+    found = job.verify(pairs, done)
+    label = components(here.select("id", "comp").distinct().unionByName(label).distinct(), found.where("linked"))
+    done = found if done is None else done.unionByName(found)
 
     out = stat.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
     if with_links:
-        links = done.where("linked") if done is not None else spark.createDataFrame([], "a long, b long")
-        links = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        links = done.where("linked").select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
         out = out.join(links, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
     return out.drop("rep")
