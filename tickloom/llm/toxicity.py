@@ -23,7 +23,7 @@ from .words import text_buffers, words
 BITS = 20
 HEADS = (4, 5, 6, 7, 8, 9, 10)
 #: Bounds of the training sample, in documents, and features that take part.
-POSITIVE, UNLABELLED, FEATURES = 1500, 3500, 4096
+POSITIVE, UNLABELLED, FEATURES = 1500, 3500, 1024
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -41,7 +41,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["toxic", "plain", "f"])
 
 
-def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """(weights per feature, bias) from the feature sets of toxic and of unlabelled texts. Deterministic."""
     weights = np.zeros(1 << BITS, np.float32)
     if not toxic or not plain:
@@ -50,8 +50,9 @@ def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: i
     u = np.bincount(np.concatenate(plain), minlength=1 << BITS) / len(plain)
     # unlabelled texts hold toxic ones at the rate of the prior; what is left is the rate in clean texts
     clean = np.maximum(u - prior * p, 0)
-    gain = np.where(p * len(toxic) >= 3, p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
-    gain[(p < 4 * clean)] = 0
+    # features that few toxic texts have, or that are commoner in them by chance, stay out
+    z = (p - clean) / np.sqrt(clean / len(toxic) + clean / len(plain) + 1.0 / len(toxic) ** 2)
+    gain = np.where((p * len(toxic) >= 5) & (z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     chosen = chosen[gain[chosen] > 0]
     place = np.full(1 << BITS, -1)
