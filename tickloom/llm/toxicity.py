@@ -4,7 +4,7 @@ Only texts that were confirmed as toxic carry a label; the others are unlabelled
 risk of a linear model is pi R_P(+) + max(0, R_U(-) - pi R_P(-)), with pi the share of toxic texts and the
 last bracket the risk on clean texts, corrected for what hides among the unlabelled; where a step makes it
 negative, it is pushed back up instead. Features are the hashed words of a whole text and their
-beginnings, so inflected forms share weight. A feature counts once per text, and only features that are commoner in toxic
+beginnings, so inflected forms share weight. A feature counts up to MOST times per text, and only features that are commoner in toxic
 texts take part, so that long clean texts don't add up small weights.
 """
 
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .folds import held_out, some
 from .words import text_buffers, words
 
-BITS = 20
-HEADS = (4, 5, 6, 7, 8, 9, 10)
+BITS, MOST = 19, 4
+#: The feature whose count is the binary order of a text's length: a chance hit means less in a long text.
+LENGTH = (1 << BITS) - 1
+HEADS = (5, 6, 7, 8)
 #: Bounds of the training sample, in documents, and features that take part.
-POSITIVE, UNLABELLED, FEATURES = 1500, 3500, 1024
+POSITIVE, UNLABELLED, FEATURES = 1200, 3000, 1024
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -35,34 +37,41 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield i + r, f[at[r] : at[r + 1]].ravel()
 
 
+def _counted(f: np.ndarray) -> np.ndarray:
+    """Distinct features with their counts, MOST at most, as feature + (count << BITS), and LENGTH with its class."""
+    u, n = np.unique(f, return_counts=True)
+    return np.append(u + (np.minimum(n, MOST) << BITS), LENGTH + (len(f).bit_length() << BITS)).astype(np.int32)
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [np.unique(f).tobytes() for _, f in _features(batch.column(0))]
+        got = [_counted(f).tobytes() for _, f in _features(batch.column(0))]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["toxic", "plain", "f"])
 
 
-def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """(weights per feature, bias) from the feature sets of toxic and of unlabelled texts. Deterministic."""
+def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weights per feature, bias) from the counted features of toxic and of unlabelled texts. Deterministic."""
     weights = np.zeros(1 << BITS, np.float32)
     if not toxic or not plain:
         return weights, -4.0
-    p = np.bincount(np.concatenate(toxic), minlength=1 << BITS) / len(toxic)
-    u = np.bincount(np.concatenate(plain), minlength=1 << BITS) / len(plain)
+    mask = (1 << BITS) - 1
+    p = np.bincount(np.concatenate(toxic) & mask, minlength=1 << BITS) / len(toxic)
+    u = np.bincount(np.concatenate(plain) & mask, minlength=1 << BITS) / len(plain)
     # unlabelled texts hold toxic ones at the rate of the prior; what is left is the rate in clean texts
     clean = np.maximum(u - prior * p, 0)
     # features that few toxic texts have, or that are commoner in them by chance, stay out
     z = (p - clean) / np.sqrt(clean / len(toxic) + clean / len(plain) + 1.0 / len(toxic) ** 2)
     gain = np.where((p * len(toxic) >= 5) & (z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
+    chosen = np.append(chosen[(gain[chosen] > 0) & (chosen != LENGTH)], LENGTH)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)), np.float32)
         for r, f in enumerate(rows):
-            at = place[f]
-            x[r, at[at >= 0]] = 1
+            at = place[f & mask]
+            x[r, at[at >= 0]] = (f >> BITS)[at >= 0]
         return x
 
     xp, xu = matrix(toxic), matrix(plain)
@@ -109,10 +118,12 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
 def _scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     out = np.full(len(column), bias)
     for r, f in _features(column):
+        out[r] += weights[LENGTH] * len(f).bit_length()
         if len(f):
-            hit = f[weights[f] != 0]
+            hit = f[(weights[f] != 0) & (f != LENGTH)]
             if len(hit):
-                out[r] += weights[np.unique(hit)].sum()
+                u, n = np.unique(hit, return_counts=True)
+                out[r] += (weights[u] * np.minimum(n, MOST)).sum()
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
