@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,3 +191,20 @@ def ledger_equity(ledger: DataFrame, capital: float, key: str = "portfolio") ->
 
 def with_return(curve: DataFrame, key: str = "portfolio") -> DataFrame:
     return curve.withColumn("ret", ret("equity", 1, (key,)))
+
+
+def minimum_variance(cov: DataFrame) -> DataFrame:
+    """Closed-form minimum-variance weights of each book (book, sym1, sym2, cov), and its target risk."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["sym1"]) | set(pdf["sym2"]))
+        at = {n: i for i, n in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        for a, b, c in zip(pdf["sym1"], pdf["sym2"], pdf["cov"], strict=True):
+            m[at[a], at[b]] = m[at[b], at[a]] = c
+        w = np.linalg.pinv(m) @ np.ones(len(names))
+        w = w / w.sum()
+        e = np.full(len(names), 1 / len(names))
+        risk = (np.sqrt(w @ m @ w) + np.sqrt(e @ m @ e)) / 2
+        return pd.DataFrame({"book": key[0], "symbol": names, "weight": w, "target_risk": risk})
+
+    return cov.groupBy("book").applyInPandas(run, "book string, symbol string, weight double, target_risk double")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_bars(ticks: DataFrame, every: str = "1 minute", late: str = "5 minutes") -> DataFrame:
@@ -23,10 +23,10 @@ def _moments(values: list[float]) -> tuple[float, float]:
     return m, math.sqrt(sum((v - m) ** 2 for v in values) / (len(values) - 1)) if len(values) > 1 else math.nan
 
 
-def stream_zscore(ticks: DataFrame, n: int = 60, key: str = "symbol", value: str = "price", idle: str = "1 hour") -> DataFrame:
+def stream_zscore(ticks: DataFrame, n: int = 60, key: str = "symbol", value: str = "price", idle: str | None = None) -> DataFrame:
     """Mean, sample deviation and z-score of the last n values of each key, for every tick once the buffer is full.
 
-    State is the last n values of a key (and goes after an idle time); ticks of one micro-batch are taken in time order.
+    State is the last n values of a key (and goes after an idle time, if one is given); ticks of one micro-batch are taken in time order.
     """
     kind = ticks.schema[key].dataType.simpleString()
 
@@ -43,11 +43,12 @@ def stream_zscore(ticks: DataFrame, n: int = 60, key: str = "symbol", value: str
                 m, s = _moments(held)
                 rows.append((*k, ts, float(v), m, s, (v - m) / s if s and s > 0 else None))
         state.update((held,))
-        state.setTimeoutDuration(_ms(idle))
+        if idle:
+            state.setTimeoutDuration(_ms(idle))
         yield pd.DataFrame(rows, columns=[key, "ts", value, "mean", "std", "z"])
 
     out = f"{key} {kind}, ts timestamp, {value} double, mean double, std double, z double"
-    return ticks.groupBy(key).applyInPandasWithState(run, out, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return ticks.groupBy(key).applyInPandasWithState(run, out, "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def _ms(text: str) -> int:
@@ -74,7 +75,7 @@ def decide(z: float, kappa: float, position: int, enter: float = 3.0, leave: flo
     return 0 if abs(z) <= leave else position
 
 
-def stream_pair_decisions(routed: DataFrame, n: int = 60, enter: float = 3.0, leave: float = 0.5, idle: str = "1 hour") -> DataFrame:
+def stream_pair_decisions(routed: DataFrame, n: int = 60, enter: float = 3.0, leave: float = 0.5, idle: str | None = None) -> DataFrame:
     """For each tick of a pair whose two buffers are full: z spread z1 - kappa z2, kappa = std1 / std2, and the position.
 
     State per pair: the last n prices of each leg and the position. routed: pair, leg, ts, price.
@@ -100,10 +101,11 @@ def stream_pair_decisions(routed: DataFrame, n: int = 60, enter: float = 3.0, le
                     pos = decide(z, kappa, pos, enter, leave)
                     rows.append((*k, ts, z, kappa, pos))
         state.update((legs[1], legs[2], pos))
-        state.setTimeoutDuration(_ms(idle))
+        if idle:
+            state.setTimeoutDuration(_ms(idle))
         yield pd.DataFrame(rows, columns=["pair", "ts", "z", "kappa", "position"])
 
-    return routed.groupBy("pair").applyInPandasWithState(run, "pair string, ts timestamp, z double, kappa double, position int", "a array<double>, b array<double>, position int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return routed.groupBy("pair").applyInPandasWithState(run, "pair string, ts timestamp, z double, kappa double, position int", "a array<double>, b array<double>, position int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def covariance_sink(path: str, keep_hours: int = 24):
