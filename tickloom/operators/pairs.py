@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import rolling as R
 from ..functions import stats
@@ -149,7 +150,7 @@ def fit_marginals(returns: DataFrame) -> DataFrame:
     return returns.select("symbol", "ret").groupBy("symbol").applyInPandas(run, "symbol string, df double, loc double, scale double, ks double, ks_p double, n long")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_cdf(x: pd.Series, df: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
     return pd.Series([_none(float(stats.t_cdf(np.array([a]), b, c, d)[0])) if pd.notna(a) and pd.notna(b) else None for a, b, c, d in zip(x, df, loc, scale, strict=True)], dtype=float)
 
@@ -198,7 +199,7 @@ def mispricing(u: Column, v: Column, theta: Column, psi: Column, step: float = 1
     return unit(h1), unit(h2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def gaussian_conditional(u: pd.Series, v: pd.Series, rho: pd.Series) -> pd.Series:
     """P(U <= u | v) under a Gaussian copula, column by column."""
     x, y = stats.normal_quantile(u.to_numpy(float)), stats.normal_quantile(v.to_numpy(float))

@@ -222,10 +222,10 @@ def a30_signal_counts(s, d):
     return rounded(metrics.signal_counts(x.select("sym1", (gap / 10).alias("z"), (F.col("close1") / 1000).alias("p"), F.when(gap > 20, -1).when(gap < -20, 1).otherwise(0).alias("signal"))))
 
 
-@query(select(LEDGER + ", e AS (SELECT portfolio, ts, sum(price) AS equity FROM ledger GROUP BY ALL), f AS (SELECT portfolio, arg_max(equity, ts) AS f FROM e GROUP BY portfolio), c AS (SELECT portfolio, sum(commission) AS c FROM ledger GROUP BY portfolio)", "c JOIN f USING (portfolio)", "portfolio", 5, commission="c", final="f", impact_pct="c / f * 100"))
+@query(select(LEDGER + ", e AS (SELECT portfolio, ts, sum(price) AS equity FROM ledger GROUP BY ALL), f AS (SELECT portfolio, arg_max(equity, ts) AS f FROM e GROUP BY portfolio), c AS (SELECT portfolio, sum(commission) AS c FROM ledger GROUP BY portfolio)", "c JOIN f USING (portfolio)", "portfolio", 2, commission="c", final="f", impact_pct="c / f * 100"))
 def a31_commission_impact(s, d):
     x = schema.trades(s, d)
-    return rounded(metrics.commission_impact(x, x.groupBy("portfolio", "ts").agg(F.sum("price").alias("equity"))), 5)
+    return rounded(metrics.commission_impact(x, x.groupBy("portfolio", "ts").agg(F.sum("price").alias("equity"))), 2)
 
 
 _PQ = "avg(pow(truth - pred, 2)) AS mse, 1 - sum(pow(truth - pred, 2)) / nullif(var_pop(truth) * count(*), 0) AS r2, avg((sign(truth) = sign(pred))::DOUBLE) AS direction, count(*) AS n"

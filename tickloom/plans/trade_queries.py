@@ -277,9 +277,9 @@ pt AS (SELECT portfolio, ts, sum(flow) AS flow, sum(step) AS step FROM st GROUP
 eq AS (SELECT portfolio, ts, 1e6 + sum(flow) OVER w AS cash, sum(step) OVER w AS mv FROM pt WINDOW w AS (PARTITION BY portfolio ORDER BY ts ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(select(_E9, "eq", "portfolio, ts", 1, cash="cash", market_value="mv", equity="cash + mv"))
+@query(select(_E9, "eq", "portfolio, ts", 0, cash="cash", market_value="mv", equity="cash + mv"))
 def e09_ledger_equity(s, d):
-    return rounded(portfolio.ledger_equity(schema.trades(s, d), 1e6), 1)
+    return rounded(portfolio.ledger_equity(schema.trades(s, d), 1e6), 0)
 
 
 @query()
