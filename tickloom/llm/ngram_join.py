@@ -10,7 +10,8 @@ texts; as an estimate it moves the cost and never the result.
 Candidates are verified on whole shingle sets. Groups of near copies do not make all pairs: first every
 text of a posting list is compared with one pivot of the list, then only lists that still hold more
 than one component go on, and at last the smaller components of a list meet the rest of it. A pair in
-one component needs no comparison, so components are exact.
+one component needs no comparison, so components are exact. Before a pair is made, a sketch of parities of each
+set gives a lower bound of their symmetric difference, which drops most pairs of a large group that can't link.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .graph import components
 from .store import written
 from .words import mix, shingle_sets
 
-SLOT_BITS, PARTS = 22, 64
+SLOT_BITS, PARTS = 21, 64
 SLOTS = 1 << SLOT_BITS
 DEPTHS = (1, 2, 3, 4)
 #: Lists with more texts than this are first compared with pivots.
@@ -41,8 +42,16 @@ def _print(u: np.ndarray) -> tuple[int, int]:
     return int(mix(u).sum().view(np.int64)), int(mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum().view(np.int64))
 
 
+def _parities(u: np.ndarray) -> np.ndarray:
+    """256 bits as four int64: how many items fall on each, modulo 2. Sets that differ by d items differ in d bits at most."""
+    return np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
+ODD = ["o0", "o1", "o2", "o3"]
+
+
 def _scan(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), *((o, pa.int64()) for o in ODD), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
@@ -50,7 +59,7 @@ def _scan(k: int):
             rows, some = [], []
             held = 0
             for _, u in shingle_sets(batch.column(1), k):
-                rows.append((len(u), *(_print(u) if len(u) else (0, 0))))
+                rows.append((len(u), *(_print(u) if len(u) else (0, 0)), *_parities(u)))
                 some.append(u)
                 held += len(u)
                 if held > 1 << 20:
@@ -61,11 +70,11 @@ def _scan(k: int):
             n = len(rows)
             if n:
                 x = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(7)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if total.any():
             cut = [zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
             none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*[none] * 8, pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary())], schema=schema)
 
     return run
 
@@ -190,10 +199,17 @@ class _Join:
         )
         return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
 
-    def fits(self, x: str, y: str):
-        """Whether the sizes allow a link."""
-        lo, hi = F.least(x, y), F.greatest(x, y)
-        return F.lit(self.den) * lo >= F.lit(self.num) * hi
+    def fits(self):
+        """Whether sizes and parities of a (na, a0..) and b (nb, b0..) allow a link: their symmetric difference is at most
+        (1 - t) / (1 + t) of the sum of their sizes, and no less than the number of parities that differ."""
+        lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
+        differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+        odd = F.coalesce(differ * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num), F.lit(True))
+        return (F.lit(self.den) * lo >= F.lit(self.num) * hi) & odd
+
+
+def _side(x: str) -> list:
+    return [F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("l").alias(f"l{x}"), F.col("comp").alias(f"c{x}"), *(F.col(o).alias(f"{x}{i}") for i, o in enumerate(ODD))]
 
 
 def _mixed(here: DataFrame) -> DataFrame:
@@ -216,18 +232,19 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    scan = written(docs.mapInArrow(_scan(k), "doc_id long, n long, fa long, fb long, part int, counts binary"), "scan")
+    scan = written(docs.mapInArrow(_scan(k), "doc_id long, n long, fa long, fb long, o0 long, o1 long, o2 long, o3 long, part int, counts binary"), "scan")
     sketch = spark.sparkContext.broadcast(_sketch(scan.where("part is not null").select("part", "counts")))
-    stat = scan.where("part is null").select("doc_id", "n", "fa", "fb")
+    stat = scan.where("part is null").select("doc_id", "n", "fa", "fb", *ODD)
     classes = stat.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    stat = written(stat.join(classes, ["fa", "fb"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")), "stat")
+    stat = written(stat.join(classes, ["fa", "fb"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), *ODD), "stat")
 
     job = _Join(docs, k, num, den)
     raw = written(docs.mapInArrow(_postings(k, num, den, sketch), "token long, doc_id long, nl long"), "postings")
     often = raw.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rep = stat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("id"))
-    post = raw.join(often, "token").join(rep, "doc_id").groupBy("token", "id").agg(F.max(F.shiftright("nl", 3)).alias("n"), F.min(F.col("nl").bitwiseAND(7)).alias("l"), F.max("df").alias("df"))
+    rep = stat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("id"), *(F.when(F.min("rep") == F.max("rep"), F.min(o)).alias(o) for o in ODD))
+    post = raw.join(often, "token").join(rep, "doc_id").groupBy("token", "id").agg(F.max(F.shiftright("nl", 3)).alias("n"), F.min(F.col("nl").bitwiseAND(7)).alias("l"), F.max("df").alias("df"), *(F.min(o).alias(o) for o in ODD))
     post = written(post, "shared")
+    sketch.unpersist()
 
     # long lists first: their near copies are found by comparison with a pivot
     long = written(post.where(F.col("df") > LONG).drop("df"), "long")
@@ -240,9 +257,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if not size[0] or size[1] <= 4 * size[0]:
             break
         here = here.join(mixed.select("token"), "token")
-        pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "comp")).alias("p"))
-        pivot = pivot.select("token", F.col("p.id").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"))
-        pairs = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits("na", "nb"))
+        pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "l", "comp", *ODD)).alias("p"))
+        pivot = pivot.select("token", "p.*").select("token", *_side("a"))
+        pairs = here.select("token", *_side("b")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits())
         found = job.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), done)
         label = components(label, found.where("linked"))
         done = found if done is None else written(done.unionByName(found), "done")
@@ -251,9 +268,9 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     here = written(post.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "here")
     main = _mixed(here).select("token", F.col("comp").alias("main"))
     here = written(here.join(main, "token"), "here")
-    few = here.where("comp <> main").select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("comp").alias("ca"))
-    all_ = here.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb"), "main")
-    pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits("na", "nb"))
+    few = here.where("comp <> main").select("token", *_side("a"))
+    all_ = here.select("token", "main", *_side("b"))
+    pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits())
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
     found = job.verify(pairs, done)
     label = components(here.select("id", "comp").distinct().unionByName(label).distinct(), found.where("linked"))
