@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import held_out, some
+from .store import written
+from .tables import summed
 from .words import text_buffers, words
 
 BITS, MOST = 19, 4
@@ -39,39 +41,34 @@ def _features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def _counted(f: np.ndarray) -> np.ndarray:
     """Distinct features with their counts, MOST at most, as feature + (count << BITS), and LENGTH with its class."""
-    u, n = np.unique(f, return_counts=True)
+    u, n = np.unique(f[f != LENGTH], return_counts=True)
     return np.append(u + (np.minimum(n, MOST) << BITS), LENGTH + (len(f).bit_length() << BITS)).astype(np.int32)
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        got = [_counted(f).tobytes() for _, f in _features(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["toxic", "plain", "f"])
+def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Features to learn from, sorted, LENGTH last. p, u: texts that have each feature among n_p toxic and n_u unlabelled ones."""
+    p, u = p / max(1, n_p), u / max(1, n_u)
+    # unlabelled texts hold toxic ones at the rate of the prior; what is left is the rate in clean texts
+    clean = np.maximum(u - prior * p, 0)
+    # features that few toxic texts have, or that are commoner in them by chance, stay out
+    z = (p - clean) / np.sqrt(clean / max(1, n_p) + clean / max(1, n_u) + 1.0 / max(1, n_p) ** 2)
+    gain = np.where((p * n_p >= 5) & (z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
+    gain[LENGTH] = 0
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    return np.append(np.sort(best[gain[best] > 0]), LENGTH)
 
 
-def fit(toxic: list[np.ndarray], plain: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(toxic: list[np.ndarray], plain: list[np.ndarray], chosen: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """(weights per feature, bias) from the counted features of toxic and of unlabelled texts. Deterministic."""
     weights = np.zeros(1 << BITS, np.float32)
     if not toxic or not plain:
         return weights, -4.0
     mask = (1 << BITS) - 1
-    p = np.bincount(np.concatenate(toxic) & mask, minlength=1 << BITS) / len(toxic)
-    u = np.bincount(np.concatenate(plain) & mask, minlength=1 << BITS) / len(plain)
-    # unlabelled texts hold toxic ones at the rate of the prior; what is left is the rate in clean texts
-    clean = np.maximum(u - prior * p, 0)
-    # features that few toxic texts have, or that are commoner in them by chance, stay out
-    z = (p - clean) / np.sqrt(clean / len(toxic) + clean / len(plain) + 1.0 / len(toxic) ** 2)
-    gain = np.where((p * len(toxic) >= 5) & (z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = np.append(chosen[(gain[chosen] > 0) & (chosen != LENGTH)], LENGTH)
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(rows), len(chosen)), np.float32)
         for r, f in enumerate(rows):
-            at = place[f & mask]
-            x[r, at[at >= 0]] = (f >> BITS)[at >= 0]
+            x[r, np.searchsorted(chosen, f & mask)] = f >> BITS
         return x
 
     xp, xu = matrix(toxic), matrix(plain)
@@ -108,11 +105,33 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     prior = min(0.9, max(0.01, (k or 0) / n)) if n else 0.1
     yes = some(known.where("toxic = 1").select("doc_id").distinct(), positive, 1).withColumn("toxic", F.lit(True))
     any_ = some(docs.select("doc_id"), unlabelled, 2).distinct().withColumn("plain", F.lit(True))
-    ids = yes.join(any_, "doc_id", "full_outer")  # at most positive + unlabelled rows
+    ids = written(yes.join(any_, "doc_id", "full_outer"), "sample")  # at most positive + unlabelled rows
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "plain")
-    got = rows.mapInArrow(_sample, "toxic boolean, plain boolean, f binary").collect()
-    sets = lambda name: [x for x in sorted((np.frombuffer(r["f"], np.int32) for r in got if r[name]), key=lambda a: a.tobytes())]
-    return fit(sets("toxic")[: 4 * positive], sets("plain")[: 4 * unlabelled], prior)
+    size, mask = 1 << BITS, (1 << BITS) - 1
+
+    def fill(batch: pa.RecordBatch, table: np.ndarray) -> None:
+        sides = [batch.column(i).to_pylist() for i in (1, 2)]
+        for r, f in _features(batch.column(0)):
+            u = np.unique(f[f != LENGTH])
+            for side, yes_ in enumerate(sides):
+                if yes_[r]:
+                    table[u + side * size] += 1
+                    table[LENGTH + side * size] += 1  # the number of texts
+
+    counts = summed(rows, 2 * size, fill).reshape(2, size)
+    chosen = choose(counts[0], counts[1], int(counts[0][LENGTH]), int(counts[1][LENGTH]), prior)
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for _, f in _features(batch.column(0)):
+                f = _counted(f)
+                got.append(f[np.isin(f & mask, chosen)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["toxic", "plain", "f"])
+
+    got = rows.mapInArrow(sample, "toxic boolean, plain boolean, f binary").collect()
+    sets = lambda name: [np.frombuffer(x, np.int32) for x in sorted(bytes(r["f"]) for r in got if r[name])]
+    return fit(sets("toxic"), sets("plain"), chosen, prior)
 
 
 def _scores(column: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
