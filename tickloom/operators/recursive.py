@@ -152,7 +152,7 @@ def smi(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 10, a: in
     return out, ewm_adjusted(out, 2 / (signal + 1))
 
 
-def garch(ret: np.ndarray, omega: float = 1e-6, a: float = 0.1, b: float = 0.85, seed: int = 20) -> np.ndarray:
+def garch(ret: np.ndarray, omega: float = 2.5e-5, a: float = 0.1, b: float = 0.85, seed: int = 20) -> np.ndarray:
     """Variance recursion with fixed parameters, seeded with the mean square of the first `seed` returns."""
     out = np.full(len(ret), np.nan)
     ok = np.flatnonzero(~np.isnan(ret))

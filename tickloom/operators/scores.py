@@ -233,3 +233,125 @@ def synthetic_index(bars: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted sums of high, low and close at each time (symbol, weight)."""
     x = bars.join(weights, "symbol")
     return x.groupBy("ts").agg(*(F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("high", "low", "close")))
+
+
+# Weights of the volatility scores and their lengths.
+VOLATILITY = {"historical": 0.30, "garch": 0.25, "parkinson": 0.25, "yang_zhang": 0.20}
+HIST = {5: 0.4, 10: 0.3, 21: 0.2, 63: 0.1}
+PARKINSON = {5: 0.5, 10: 0.3, 21: 0.2}
+
+
+def _above(c: str, n: int) -> Column:
+    """Relative distance from the n-bar mean, 0 where that is 0."""
+    m = sma(c, n)
+    return F.when(m == 0, 0.0).otherwise((col(c) - m) / F.nullif(m, F.lit(0.0)))
+
+
+def historical_score(x: DataFrame) -> DataFrame:
+    """Adds historical_score from return deviations over four lengths: trend, regime, shape of returns, term structure.
+
+    Kurtosis is already in excess of the normal's, and 3 more is taken off, as in the rule that this follows.
+    """
+    x = x.withColumn("_r", R.ret())
+    x = x.withColumns({f"_v{n}": R.std("_r", n) * 252**0.5 for n in HIST})
+    trend = sum((w * squash(_above(f"_v{n}", 21), 0.5) for n, w in list(HIST.items())[1:]), HIST[5] * squash(_above("_v5", 21), 0.5))
+    regime = squash(F.when(col("_v21") == 0, 0.0).otherwise(col("_v5") / F.nullif("_v21", F.lit(0.0))) - 1, 0.5)
+    shape = F.tanh(0.4 * R.skewness("_r", 63) + 0.6 * (R.kurtosis("_r", 63) - 3))
+    slope = (-1.5 * col("_v5") - 0.5 * col("_v10") + 0.5 * col("_v21") + 1.5 * col("_v63")) / 5
+    score = weighted([(0.35, trend), (0.25, regime), (0.2, shape), (0.2, squash(slope, 0.5))])
+    return x.withColumn("historical_score", score).drop("_r", *(f"_v{n}" for n in HIST))
+
+
+def garch_score(x: DataFrame, persistence: int = 60) -> DataFrame:
+    """Adds garch_score from column garch (a variance): trend, autocorrelation at lag 5, shocks, forecast slope.
+
+    The autocorrelation runs over `persistence` bars, so that a bar's score doesn't depend on the length of its history.
+    """
+    x = x.withColumns({"_g": F.sqrt("garch"), "_r": R.ret()})
+    x = x.withColumns({"_l": lag("_g", 5), "_s": F.abs(ratio(col("_r"), col("_g"))), "_n": F.row_number().over(R.ordered()).cast("double")})
+    w, f = R.frame(persistence), R.frame(10)
+    auto = F.when(F.count("_l").over(w) == persistence, F.corr("_g", "_l").over(w))
+    slope = F.when(F.count("_g").over(f) == 10, F.regr_slope("_g", "_n").over(f))
+    score = weighted([(0.3, squash(_above("_g", 21), 0.5)), (0.25, squash(auto, 0.5)), (0.25, squash(sma("_s", 5), 0.5)), (0.2, squash(slope, 0.5))])
+    return x.withColumn("garch_score", score).drop("_g", "_r", "_l", "_s", "_n")
+
+
+def parkinson_score(x: DataFrame) -> DataFrame:
+    """Adds parkinson_score: trend of the range volatility, expansion, place of the range among the symbol's ranges so far, lengths.
+
+    The place counts ranges up to the bar, which at the last bar is all of them.
+    """
+    import math
+
+    k = 1 / math.sqrt(4 * math.log(2))
+    x = x.withColumns({"_p": F.when((col("high") > 0) & (col("low") > 0), k * F.abs(F.ln(col("high") / col("low")))), "_w": col("high") - col("low")})
+    x = x.withColumn("_k", F.array_sort(F.collect_list("_w").over(R.frame(252))))
+    place = F.size(F.filter("_k", lambda v: v <= col("_w"))) / F.size("_k")
+    lengths = sum((w * squash(_above("_p", n), 0.5) for n, w in list(PARKINSON.items())[1:]), PARKINSON[5] * squash(_above("_p", 5), 0.5))
+    score = weighted([(0.35, squash(_above("_p", 21), 0.5)), (0.25, squash(_above("_w", 10), 0.5)), (0.2, (place - 0.5) * 2), (0.2, lengths)])
+    return x.withColumn("parkinson_score", score).drop("_p", "_w", "_k")
+
+
+def three_candles() -> dict[str, Column]:
+    """Shapes of three candles in a row, as 1, -1 or 0."""
+    o, c = col("open"), col("close")
+    o1, c1, o2, c2 = lag("open"), lag("close"), lag("open", 2), lag("close", 2)
+    small = F.abs(c1 - o1) < 0.5 * F.abs(c2 - o2)
+    return {
+        "star": F.when((c2 < o2) & small & (c > o) & (c > (o2 + c2) / 2), 1).when((c2 > o2) & small & (c < o) & (c < (o2 + c2) / 2), -1).otherwise(0),
+        "soldiers": F.when((c2 > o2) & (c1 > o1) & (c > o) & (c1 > c2) & (c > c1), 1).when((c2 < o2) & (c1 < o1) & (c < o) & (c1 < c2) & (c < c1), -1).otherwise(0),
+    }
+
+
+def levels(bars: DataFrame, bins: int = 1000, touches: int = 3, keep: int = 5) -> DataFrame:
+    """Per symbol the strongest price bins (of 1 / bins of its range) that at least `touches` bars cover, newer bars weighing more.
+
+    A bar is exploded to the bins that it covers, and bins are counted by partial sums.
+    """
+    ends = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.count("*").alias("_n"))
+    x = bars.withColumn("_i", F.row_number().over(R.ordered())).join(ends, "symbol").where("_hi > _lo")
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    at = lambda c: F.least(F.floor((F.col(c) - F.col("_lo")) / step), F.lit(bins - 1))
+    x = x.select("symbol", "_lo", "_hi", (F.col("_i") / F.col("_n")).alias("_w"), F.explode(F.sequence(at("low"), at("high"))).alias("bin"))
+    g = x.groupBy("symbol", "bin").agg(F.count("*").alias("touches"), F.sum("_w").alias("strength"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")).where(F.col("touches") >= touches)
+    w = Window.partitionBy("symbol").orderBy(F.desc("strength"), "bin")
+    g = g.withColumns({"rank": F.row_number().over(w), "price": F.col("_lo") + (F.col("bin") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins})
+    return g.where(F.col("rank") <= keep).select("symbol", "rank", "bin", "price", "touches", "strength")
+
+
+def trendline(x: DataFrame, n: int = 20) -> DataFrame:
+    """Adds slopes of the rolling highs and lows and trend_break: 1 above the last channel, -1 below, 0 inside."""
+    x = x.withColumns({"_h": R.highest("high", 5), "_l": R.lowest("low", 5), "_n": F.row_number().over(R.ordered()).cast("double")})
+    w = R.frame(n)
+    s = lambda c: F.when(F.count(c).over(w) == n, F.regr_slope(c, "_n").over(w))
+    x = x.withColumns({"high_slope": s("_h"), "low_slope": s("_l"), "trend_break": F.when(lag("_h").isNull(), None).when(col("close") > lag("_h"), 1).when(col("close") < lag("_l"), -1).otherwise(0)})
+    return x.drop("_h", "_l", "_n")
+
+
+def yang_zhang_score(x: DataFrame, k: float = 0.34) -> DataFrame:
+    """Adds yang_zhang_score: trend of the estimator, overnight gaps, intraday ranges, its three parts against their means so far.
+
+    Deviations and means run up to the bar, which at the last bar is the whole history.
+    """
+    ln = lambda a, b: F.when((a > 0) & (b > 0), F.ln(a / b))
+    o, h, l, c, p = col("open"), col("high"), col("low"), col("close"), lag("close")
+    x = x.withColumns({"_o": ln(o, p), "_c": ln(c, o), "_s": ln(h, c) * ln(h, o) + ln(l, c) * ln(l, o), "_g": ratio(o - p, p), "_i": ratio(h - l, o)})
+    x = x.withColumns({"_vo": R.roll(F.var_samp, "_o", 21), "_vc": R.roll(F.var_samp, "_c", 21), "_vs": sma("_s", 21)})
+    var = col("_vo") + k * col("_vc") + (1 - k) * col("_vs")
+    x = x.withColumn("_y", F.when(var >= 0, F.sqrt(var)))
+    gaps = ratio(R.std("_g", 5), R.running(F.stddev_samp, "_g"))
+    part = lambda n: F.when(R.running(F.avg, n) == 0, 0.0).otherwise(ratio(col(n), R.running(F.avg, n)))
+    parts = (part("_vo") + part("_vc") + part("_vs")) / 3 - 1
+    score = weighted([(0.3, squash(_above("_y", 21), 0.5)), (0.25, squash(gaps - 1, 0.5)), (0.25, squash(_above("_i", 10), 0.5)), (0.2, squash(parts, 0.5))])
+    return x.withColumn("yang_zhang_score", score).drop("_o", "_c", "_s", "_g", "_i", "_vo", "_vc", "_vs", "_y")
+
+
+def blend(columns: dict[str, str]) -> Column:
+    """The families' weighted sum, limited; columns: family -> column, for the families of BLEND."""
+    return family(BLEND, columns)
+
+
+def volume_divergence(n: int = 20) -> Column:
+    """Direction of price over n bars where volume grew with it, half of its opposite where volume fell."""
+    price, vol = change("close", n), change("volume", n)
+    return F.when(price.isNull() | vol.isNull(), None).when(vol > 0, F.signum(price)).otherwise(-0.5 * F.signum(price))

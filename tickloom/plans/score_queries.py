@@ -8,7 +8,7 @@ from .. import schema
 from ..functions import rolling as R
 from ..operators import indicators as I
 from ..operators import recursive, scores
-from .sql import HOURLY, lag, roll, rounded, select
+from .sql import HOURLY, lag, over, roll, rounded, select
 
 QUERIES, ORACLES = {}, {}
 
@@ -130,3 +130,62 @@ def g30_g33_agreement_sides(s, d):
     x = _b(s, d)
     x = x.select("symbol", "ts", (F.col("close") - F.col("open")).alias("a"), (F.col("close") - R.lag("close")).alias("b"), (F.col("high") - 2 * F.col("close") + F.col("low")).alias("c")).where("b is not null")
     return rounded(x.select("symbol", "ts", *(c.alias(n) for n, c in scores.agreement(["a", "b", "c"]).items()), scores.order_side(F.col("b"), 1.0)["side"].alias("side")), 5)
+
+
+_V15 = HOURLY + ", v AS (SELECT *, " + ", ".join(f"{roll('stddev_samp', 'ret', n)} * sqrt(252) AS v{n}" for n in (5, 10, 21, 63)) + f", {roll('skewness', 'ret', 63)} AS sk, {roll('kurtosis', 'ret', 63)} AS ku FROM rets), w AS (SELECT *, " + ", ".join(f"CASE WHEN {roll('avg', f'v{n}', 21)} = 0 THEN 0 ELSE (v{n} - {roll('avg', f'v{n}', 21)}) / {roll('avg', f'v{n}', 21)} END AS d{n}" for n in (5, 10, 21, 63)) + " FROM v)"
+_T15 = "0.35 * (0.4 * tanh(d5 / 0.5) + 0.3 * tanh(d10 / 0.5) + 0.2 * tanh(d21 / 0.5) + 0.1 * tanh(d63 / 0.5)) + 0.25 * tanh((v5 / v21 - 1) / 0.5) + 0.2 * tanh(0.4 * sk + 0.6 * (ku - 3)) + 0.2 * tanh((-1.5 * v5 - 0.5 * v10 + 0.5 * v21 + 1.5 * v63) / 5 / 0.5)"
+
+
+@query(select(_V15, "w", K, 4, historical_score=f"CASE WHEN ({_T15}) IS NOT NULL THEN {cl(_T15)} END"))
+def g15_historical_score(s, d):
+    return rounded(scores.historical_score(_b(s, d)).select("symbol", "ts", "historical_score"), 4)
+
+
+@query()
+def g16_g17_garch_parkinson_scores(s, d):
+    x = scores.garch_score(recursive.recursive_columns(_b(s, d)))
+    return rounded(scores.parkinson_score(x).select("symbol", "ts", "garch_score", "parkinson_score"))
+
+
+_C3 = HOURLY + f", c AS (SELECT *, {lag('open')} AS o1, {lag('close')} AS c1, {lag('open', 2)} AS o2, {lag('close', 2)} AS c2 FROM bars)"
+_SM = "abs(c1 - o1) < 0.5 * abs(c2 - o2)"
+
+
+@query(f"WITH {_C3} SELECT {K}, CASE WHEN c2 < o2 AND {_SM} AND close > open AND close > (o2 + c2) / 2 THEN 1 WHEN c2 > o2 AND {_SM} AND close < open AND close < (o2 + c2) / 2 THEN -1 ELSE 0 END AS star, CASE WHEN c2 > o2 AND c1 > o1 AND close > open AND c1 > c2 AND close > c1 THEN 1 WHEN c2 < o2 AND c1 < o1 AND close < open AND c1 < c2 AND close < c1 THEN -1 ELSE 0 END AS soldiers FROM c")
+def g21_three_candles(s, d):
+    return _b(s, d).select("symbol", "ts", *(c.alias(n) for n, c in scores.three_candles().items()))
+
+
+_G24 = HOURLY + ", e AS (SELECT symbol, min(low) AS lo, max(high) AS hi, count(*) AS k FROM bars GROUP BY symbol), b AS (SELECT s.symbol, lo, hi, seq / k AS w, unnest(range(least(floor((low - lo) / ((hi - lo) / 1000)), 999)::BIGINT, least(floor((high - lo) / ((hi - lo) / 1000)), 999)::BIGINT + 1)) AS bin FROM seqs s JOIN e USING (symbol) WHERE hi > lo), g AS (SELECT symbol, bin, count(*) AS touches, sum(w) AS st, any_value(lo) AS lo, any_value(hi) AS hi FROM b GROUP BY symbol, bin HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY st DESC, bin)::INT AS rank FROM g)"
+
+
+@query(select(_G24, "r", "symbol, rank, bin, touches", 4, where="WHERE rank <= 5", price="lo + (bin + 0.5) * (hi - lo) / 1000", strength="st"))
+def g24_levels(s, d):
+    return rounded(scores.levels(_b(s, d)), 4)
+
+
+def _slope(c):
+    return f"CASE WHEN count({c}) {over(20)} = 20 THEN regr_slope({c}, seq) {over(20)} END"
+
+
+_G25 = HOURLY + f", h AS (SELECT *, {roll('max', 'high', 5)} AS h5, {roll('min', 'low', 5)} AS l5 FROM seqs)"
+
+
+@query(select(_G25, "h", K + f", CASE WHEN {lag('h5')} IS NULL THEN NULL WHEN close > {lag('h5')} THEN 1 WHEN close < {lag('l5')} THEN -1 ELSE 0 END AS trend_break", 4, high_slope=_slope("h5"), low_slope=_slope("l5")))
+def g25_trendline(s, d):
+    return rounded(scores.trendline(_b(s, d)).select("symbol", "ts", "high_slope", "low_slope", "trend_break"), 4)
+
+
+@query()
+def g18_g28_yang_zhang_blend(s, d):
+    x = recursive.recursive_columns(_b(s, d).withColumns(I.ichimoku() | I.bollinger()))
+    x = scores.yang_zhang_score(scores.bands_score(scores.ichimoku_score(x)))
+    x = x.select("symbol", "ts", "yang_zhang_score", "ichimoku_score", "bands_score", scores.dmi_score().alias("dmi"), scores.rsi_score().alias("rsi_score"))
+    trend = scores.family({"ichimoku": 0.4, "bands": 0.3, "dmi": 0.3}, {"ichimoku": "ichimoku_score", "bands": "bands_score", "dmi": "dmi"})
+    x = x.withColumns({"trend": trend, "pattern": F.lit(0.0)})
+    return rounded(x.select("symbol", "ts", "yang_zhang_score", "trend", scores.blend({"trend": "trend", "momentum": "rsi_score", "volatility": "yang_zhang_score", "pattern": "pattern"}).alias("blend")))
+
+
+@query(select(HOURLY, f"(SELECT *, {ch('close', 20)} AS p, {ch('volume', 20)} AS v FROM bars)", K, score="CASE WHEN p IS NULL OR v IS NULL THEN NULL WHEN v > 0 THEN sign(p) ELSE -0.5 * sign(p) END"))
+def g27_volume_divergence(s, d):
+    return rounded(_b(s, d).select("symbol", "ts", scores.volume_divergence().alias("score")))
