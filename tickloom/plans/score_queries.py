@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import rolling as R
 from ..operators import indicators as I
-from ..operators import recursive, scores
+from ..operators import patterns, recursive, scores
 from .sql import HOURLY, lag, over, roll, rounded, select
 
 QUERIES, ORACLES = {}, {}
@@ -189,3 +189,23 @@ def g18_g28_yang_zhang_blend(s, d):
 @query(select(HOURLY, f"(SELECT *, {ch('close', 20)} AS p, {ch('volume', 20)} AS v FROM bars)", K, score="CASE WHEN p IS NULL OR v IS NULL THEN NULL WHEN v > 0 THEN sign(p) ELSE -0.5 * sign(p) END"))
 def g27_volume_divergence(s, d):
     return rounded(_b(s, d).select("symbol", "ts", scores.volume_divergence().alias("score")))
+
+
+def _rel(c):
+    m = roll("avg", c, 20)
+    return f"(CASE WHEN {m} = 0 THEN 0 ELSE ({c} - {m}) / {m} END)"
+
+
+@query(select(HOURLY + ", r AS (SELECT *, high - low AS w FROM bars)", "r", K, 5, confirmation=f"tanh(({_rel('volume')} + {_rel('w')}) * 0.5)"))
+def g22_confirmation(s, d):
+    return rounded(patterns.confirmation(_b(s, d)).select("symbol", "ts", "confirmation"), 5)
+
+
+@query()
+def g23_harmonics(s, d):
+    return rounded(patterns.harmonics(_b(s, d), w=2, tolerance=0.25).select("symbol", "ts", *patterns.HARMONICS, "harmonic"))
+
+
+@query()
+def g26_formations(s, d):
+    return rounded(patterns.formations(_b(s, d), w=2, near=0.05).select("symbol", "ts", "head_shoulders", "double", "triangle", "rectangle"))
