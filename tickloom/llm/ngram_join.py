@@ -56,17 +56,10 @@ def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            rows, some = [], []
-            held = 0
+            rows = []
             for _, u in shingle_sets(batch.column(1), k):
                 rows.append((len(u), *(_print(u) if len(u) else (0, 0)), *_parities(u)))
-                some.append(u)
-                held += len(u)
-                if held > 1 << 20:
-                    total += np.bincount((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-                    some, held = [], 0
-            if some:
-                total += np.bincount((np.concatenate(some) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                np.add.at(total, (u >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
             n = len(rows)
             if n:
                 x = np.array(rows, np.int64)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _exact = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _lower = _exact.copy()
