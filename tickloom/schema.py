@@ -82,7 +82,7 @@ def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger from lineitem: portfolio (ship mode key), symbol, ts, qty (signed), price, pnl, commission."""
+    """A ledger from lineitem: portfolio (supplier), symbol (part), ts, qty (signed), price, pnl, commission."""
     x = table(spark, sf_dir, "lineitem")
     return x.select(
         F.col("l_suppkey").alias("portfolio"),
