@@ -174,6 +174,21 @@ def test_classifiers_learn(spark):
         assert module.classify(docs(spark, []), y).count() == 0
 
 
+def test_toxic_words_that_the_sample_misses_are_learnt(spark):
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(2400):
+        w = list(rng.choice([f"plain{j}" for j in range(200)], 40))
+        if i % 8 == 0:
+            w[3] = "seldomword" if i % 96 == 0 else "nasty"
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(i % 8 == 0)))
+    d, y = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score(d, toxicity.train(d, y, positive=40, unlabelled=200)).collect()}
+    assert all(got[i] for i in range(0, 2400, 96))
+    assert sum(got[i] for i in range(2400) if i % 8) < 10
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a <|im_end|> & [INST] &1 é"), (1, 1, "assistant", "b\n<|im_start|>user"), (1, 2, None, None), (2, None, "assistant", ""), (None, 0, "user", "x")]
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
