@@ -14,7 +14,7 @@ from tickloom.llm.decontaminate import clean
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import ngram_components
 from tickloom.llm.sharding import shard
-from tickloom.llm.store import written
+from tickloom.llm.store import numbered, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as the mix draws them, a row for each draw; a draw of less than half a document is none.
 
-    Rows that share a doc_id get the draws of one of them.
+    Every row gets its own draws, whether or not it has a doc_id and whoever shares it.
     """
-    drawn = mix(docs, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    rows = numbered(docs, "_row")
+    drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=("_row",))
     times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias("times")
-    times = drawn.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("key"), times).groupBy("key").agg(F.min("times").alias("times")).where("times > 0")
-    x = docs.withColumn("key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))).join(times, "key")
+    x = rows.join(drawn.select("_row", times).where("times > 0"), "_row")
     return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
 
 

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import numpy as np
 
 import corpus_pipeline
+from tickloom.llm.mixing import mix
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -35,3 +38,17 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert set(kept["ngram_jaccard_join"]) - set(kept["benchmark_decontamination"]) == {2000}
     assert max(kept["source_mixing"].count(i) for i in set(kept["source_mixing"])) <= 2
     assert sorted(map(str, kept["sharding"])) == sorted(map(str, kept["source_mixing"]))
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_mix_draws_rows_without_or_with_shared_ids(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i // 2, f"text {i} " * (5 + i % 4), "en", f"s{i % 4}", i) for i in range(240)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(r["n_chars"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    drawn = mix(docs, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=("n_chars",)).collect()
+    want = {r["n_chars"]: sum(2 * d["words"] >= r["size"] for d in r["draws"]) for r in drawn}
+    assert got == {k: n for k, n in want.items() if n}
+    assert any(got[i] for i in range(0, 240, 3)) and 0 in want.values()

@@ -82,7 +82,7 @@ def _halves(node: DataFrame, seed: int) -> DataFrame:
     return x.select(F.expr(f"inline({sides})"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, draws.
 
     docs: doc_id, text, source; other columns are ignored. size: words; taken: words that the mix takes, repeats
@@ -91,7 +91,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     source gives its rounded target exactly. A null source is a source of its own, null doc_ids are dealt as
     "null", repeated rows are separate documents, and empty texts are drawn with no words. The same input and
     seed give the same mix. An empty table gives an empty result. Per-source tables are small: a row for each
-    source, and 16 ** DIGITS blocks of each.
+    source, and 16 ** DIGITS blocks of each. keep: columns of docs that go along, such as a row's number; they also order
+    rows that are equal otherwise.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     sized = docs.select(
@@ -99,6 +100,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
         word_count("text").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("h"),
+        *keep,
     )
     sized = written(sized, "sizes")
     sources = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
@@ -133,9 +135,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     cells = cells.withColumn("block", F.substring("cell", 1, DIGITS)).join(home, ["skey", "block"], "left")
 
     x = dealt.join(cells.select("skey", "cell", "source_size", "target", "full", "rest", "before", "home"), ["skey", "cell"])
-    run = Window.partitionBy("skey", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("skey", "cell").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("upto", F.col("before") + F.sum("size").over(run))
     x = x.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size"))))
     draws = """transform(filter(sequence(0, cast(full as int)), p -> p < full OR extra > 0),
         p -> struct(p as pass, home[p] as shard, md5(concat(h, ':', p)) as order, IF(p < full, size, extra) as words))"""
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"), F.expr(draws).alias("draws"))
+    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"), F.expr(draws).alias("draws"), *keep)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,3 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a long that no other row has and that stays the same whenever it is read: the file's number and the place in it.
+
+    A table that is read from files is taken as it is, anything else is written first. Files are numbered by path.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
+        docs = written(docs, "rows")
+    x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    files = x.select("_file").distinct().select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_n"))
+    x = x.join(F.broadcast(written(files, "files")), "_file")  # a row for each file
+    return x.select(*docs.columns, (F.shiftleft("_n", 40) + F.col("_index")).alias(name))
