@@ -26,11 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Rows without doc_id and texts without words have no copies and stay; rows that share a doc_id are one document.
+    Rows are compared one by one, so of rows that share a doc_id or have none a group keeps one too; a row with an id
+    goes before rows without, and of equal ids the first row stays. Texts without words have no copies and stay.
     """
-    groups = ngram_components(docs, k=5, num=80, den=100)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "_row")
+    groups = ngram_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
+    groups = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
+    copies = written(groups.join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti").select("_row"), "copies")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

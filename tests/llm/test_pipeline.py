@@ -52,3 +52,14 @@ def test_mix_draws_rows_without_or_with_shared_ids(spark, tmp_path):
     want = {r["n_chars"]: sum(2 * d["words"] >= r["size"] for d in r["draws"]) for r in drawn}
     assert got == {k: n for k, n in want.items() if n}
     assert any(got[i] for i in range(0, 240, 3)) and 0 in want.values()
+
+
+def test_one_of_each_row_whatever_its_id(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    a, b, c, d, e = (" ".join(rng.choice([f"v{i}" for i in range(400)], 40)) for _ in range(5))
+    # repeated rows; equal texts without id; an id that a copy and an only text share; a copy that has an id
+    texts = [(5, a), (5, a), (None, b), (None, b), (None, b), (1, c), (7, c), (7, d), (None, e), (9, e), (None, None), (None, ""), (3, ""), (3, "")]
+    spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()]
+    assert Counter(got) == Counter([(5, a), (None, b), (1, c), (7, d), (9, e), (None, None), (None, ""), (3, ""), (3, "")])
