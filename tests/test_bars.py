@@ -2,6 +2,7 @@ import datetime as dt
 import importlib.util
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import rolling as R
@@ -48,3 +49,15 @@ def test_entry_registers_queries():
     assert set(o) <= set(q) and len(q) > 100
     if importlib.util.find_spec("tickloom.llm") is None:
         assert not any(k.startswith("op") for k in q)
+
+
+def test_as_of_splits_a_symbol_by_hour(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    left = [("a", at(7 * i), i) for i in range(300)] + [("b", at(5), 1000)]
+    right = [("a", at(m), float(m)) for m in (30, 60, 61, 500, 1400, 1401)]
+    x = align.as_of(spark.createDataFrame(left, "symbol string, ts timestamp_ntz, n long"), spark.createDataFrame(right, "symbol string, ts timestamp_ntz, close double"), ["close"])
+    got = x.withColumn("part", F.spark_partition_id()).collect()
+    want = {n: max((c for k, u, c in right if k == s and u <= t), default=None) for s, t, n in left}
+    assert {r["n"]: r["close"] for r in got} == want and len(got) == len(left)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_hour" in line for line in plan.splitlines() if "Window [last(_v" in line)

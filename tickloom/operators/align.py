@@ -112,14 +112,20 @@ def last_in_range(bars: DataFrame, start: str, end: str) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, values: list[str], key: str = "symbol") -> DataFrame:
     """For each left row (key, ts) the values of the latest right row at or before it.
 
-    Union and forward fill: one shuffle and sort by key, without a range join.
+    Union and forward fill by key and hour, without a range join; each hour starts with the last value before it, from a
+    table of one row per key and hour, so a key with many rows is many groups.
     """
-    w = Window.partitionBy(key).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
     rest = [c for c in left.columns if c not in (key, "ts")]
     a = left.select(key, "ts", F.lit(1).alias("_side"), *rest, F.lit(None).alias("_v"))
     b = right.select(key, "ts", F.lit(0).alias("_side"), *(F.lit(None).alias(c) for c in rest), F.struct(*values).alias("_v"))
     b = reduce(lambda d, c: d.withColumn(c, F.col(c).cast(left.schema[c].dataType)), rest, b)
     x = a.withColumn("_v", F.col("_v").cast(b.schema["_v"].dataType)).unionByName(b)
+    x = x.withColumn("_hour", F.struct(F.to_date("ts"), F.hour("ts")))
+    hours = x.groupBy(key, "_hour").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col("ts"))).alias("_v"))
+    before = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.withColumn("_v", F.last("_v", ignorenulls=True).over(before)).where("_v IS NOT NULL")
+    x = x.unionByName(carried.withColumn("_side", F.lit(-1)), allowMissingColumns=True)  # without ts, so first of its hour
+    w = Window.partitionBy(key, "_hour").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
     return x.select(key, "ts", *rest, *(F.col(f"_v.{v}").alias(v) for v in values))
 
