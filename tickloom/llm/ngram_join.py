@@ -4,10 +4,11 @@ Shingles are put in one global order, rare ones first. Two texts of at least the
 share l shingles of their first n - ceil(t n) + l, for every l. Each text picks its own l: the one
 with the least estimated cost, where reading a posting costs by the shingle's frequency and a candidate
 costs its verification, and every candidate uses up l postings. A pair must then share as many prefix
-shingles as the smaller of the two l. Frequencies come from a count sketch of fixed size over all
-texts; as an estimate it moves the cost and never the result.
+shingles as the smaller of the two l. Frequencies come from a count sketch over all texts, whose size
+follows the input's up to a bound; as an estimate it moves the cost and never the result.
 
-Candidates are verified on whole shingle sets. Groups of near copies do not make all pairs: first every
+Equal sets are one class, and a class is one node, named by the number of its first row. Candidates are verified
+on whole shingle sets. Groups of near copies do not make all pairs: first every
 text of a posting list is compared with one pivot of the list, then only lists that still hold more
 than one component go on, and at last the smaller components of a list meet the rest of it. A pair in
 one component needs no comparison, so components are exact. Before a pair is made, a sketch of parities of each
@@ -25,16 +26,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import written
+from .skew import lookup
+from .store import Kept, numbered, sized, written
 from .words import mix, shingle_sets
 
-SLOT_BITS, PARTS = 21, 64
-SLOTS = 1 << SLOT_BITS
+PARTS = 64
+#: Bounds of the sketch, as bits of its number of 4-byte slots: a slot for so many bytes of input in between.
+LEAST_BITS, MOST_BITS, SLOT_BYTES = 18, 23, 256
 DEPTHS = (1, 2, 3, 4)
 #: Lists with more texts than this are first compared with pivots.
 LONG = 64
-#: Ids up to this many go to all executors (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Postings, or bytes of shingle sets, that a task hands over at once.
+SLICE = 1 << 17
+SLICE_BYTES = 4 << 20
+ODD = ["o0", "o1", "o2", "o3"]
+
+
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits for the sketch by the size that Spark's statistics give for a table."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, (size // SLOT_BYTES).bit_length()))
 
 
 def _print(u: np.ndarray) -> tuple[int, int]:
@@ -47,27 +58,29 @@ def _parities(u: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
 
 
-ODD = ["o0", "o1", "o2", "o3"]
+def _slots(u: np.ndarray, bits: int) -> np.ndarray:
+    return (u >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _scan(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64()), *((o, pa.int64()) for o in ODD), ("part", pa.int32()), ("counts", pa.binary())])
+def _scan(k: int, bits: int):
+    """Of (row, text, other columns): row, the others, n, fa, fb, parities; at the end the task's sketch, in compressed parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.uint32)
+        total, others = np.zeros(1 << bits, np.uint32), None
         for batch in batches:
             rows = []
             for _, u in shingle_sets(batch.column(1), k):
                 rows.append((len(u), *(_print(u) if len(u) else (0, 0)), *_parities(u)))
-                np.add.at(total, (u >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.uint32(1))
-            n = len(rows)
+                np.add.at(total, _slots(u, bits), np.uint32(1))
+            n, others = len(rows), [batch.column(i) for i in range(2, batch.num_columns)]
+            names = ["row", *(batch.schema.names[2:]), "n", "fa", "fb", *ODD, "part", "counts"]
             if n:
                 x = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[:, i]) for i in range(7)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *others, *(pa.array(x[:, i]) for i in range(7)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if total.any():
-            cut = [zlib.compress(x.tobytes(), 1) for x in total.reshape(PARTS, -1)]
-            none = pa.nulls(PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[none] * 8, pa.array(range(PARTS), pa.int32()), pa.array(cut, pa.binary())], schema=schema)
+            for part, x in enumerate(total.reshape(PARTS, -1)):
+                one = [pa.nulls(1, pa.int64())] * 7
+                yield pa.RecordBatch.from_arrays([one[0], *(pa.nulls(1, c.type) for c in others), *one, pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names)
 
     return run
 
@@ -83,9 +96,9 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
 
 
-def _sketch(pieces: DataFrame) -> np.ndarray:
-    """The summed sketch: PARTS rows of a fixed size, whatever the input."""
-    out = np.zeros((PARTS, SLOTS // PARTS), np.uint32)
+def _sketch(pieces: DataFrame, bits: int) -> np.ndarray:
+    """The summed sketch: 2 ** bits numbers, whatever the input."""
+    out = np.zeros((PARTS, (1 << bits) // PARTS), np.uint32)
     for part, counts in pieces.repartition(PARTS, "part").mapInArrow(_add, "part int, counts binary").collect():
         out[part] = np.frombuffer(counts, np.uint32)
     return out.reshape(-1)
@@ -109,70 +122,61 @@ def depth(frequency: np.ndarray, n: int, need: int) -> int:
     return found
 
 
-def _postings(k: int, num: int, den: int, sketch):
-    schema = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("nl", pa.int64())])
+def _postings(k: int, num: int, den: int, bits: int, sketch):
+    """Of (row, text): token, row and l for each shingle of the text's prefix; a set that the task had just before gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequency = sketch.value
         seen: set[tuple[int, int]] = set()
+        tokens, who, what, held = [], [], [], 0
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(what))], ["token", "row", "l"])
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            tokens, who, what, held = [], [], [], 0
+            ids = batch.column(0).to_numpy()
             for r, u in shingle_sets(batch.column(1), k):
-                if not len(u) or ids[r] is None or (p := _print(u)) in seen:
+                if not len(u) or (p := _print(u)) in seen:
                     continue
+                if len(seen) >= SLICE:
+                    seen.clear()
                 seen.add(p)
-                f = np.maximum(frequency[(u >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], 1)
+                f = np.maximum(frequency[_slots(u, bits)], 1)
                 order = np.argsort(f, kind="stable")  # u is sorted, so ties go by hash
                 need = int(least(len(u), num, den))
                 l = depth(f[order[: len(u) - need + DEPTHS[-1]]].astype(np.float64), len(u), need)
                 first = u[order[: len(u) - need + l]]
                 tokens.append(first)
                 who.append(np.full(len(first), ids[r], np.int64))
-                what.append(np.full(len(first), len(u) * 8 + l, np.int64))
+                what.append(np.full(len(first), l, np.int32))
                 held += len(first)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(what))], schema=schema)
+                if held > SLICE:
+                    yield give()
                     tokens, who, what, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(what))], schema=schema)
+        if held:
+            yield give()
 
     return run
 
 
 def _sets(k: int):
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, got = batch.column(0), [u.tobytes() for _, u in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(got, pa.binary())], schema=schema)
-
-    return run
-
-
-def _verify(num: int, den: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                both = int((v[at] == u).sum()) if len(v) else 0
-                out.append(both > 0 and den * both >= num * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], schema=schema)
+            ids, start, held, got = batch.column(0), 0, 0, []
+            for r, u in shingle_sets(batch.column(1), k):
+                got.append(pa.array(u.view(np.int64)))
+                held += u.nbytes
+                if held > SLICE_BYTES or r + 1 == batch.num_rows:
+                    off = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.slice(start, r + 1 - start), pa.ListArray.from_arrays(pa.array(off), pa.concat_arrays(got))], ["id", "items"])
+                    start, held, got = r + 1, 0, []
 
     return run
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
-        self.docs, self.k, self.num, self.den = docs, k, num, den
+    def __init__(self, rows: DataFrame, k: int, num: int, den: int, kept: Kept):
+        self.rows, self.k, self.num, self.den, self.kept = rows, k, num, den, kept
 
     def verify(self, pairs: DataFrame, done: DataFrame | None) -> DataFrame:
         """(a, b, linked) for every pair (a, b) that isn't done, on whole shingle sets."""
@@ -180,25 +184,19 @@ class _Join:
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        sets = written(self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(self.k), "id long, items binary"), "sets")
-        checked = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-            .select("a", "b", "x", "y")
-            .mapInArrow(_verify(self.num, self.den), "a long, b long, linked boolean")
-        )
-        return written(checked.groupBy("a", "b").agg(F.max("linked").alias("linked")), "checked")
+        ids = self.kept.add(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        sets = self.kept.add(self.rows.join(sized(ids), "row", "left_semi").select("row", "text").mapInArrow(_sets(self.k), "id long, items array<long>"))
+        both = F.size(F.array_intersect("x", "y"))
+        linked = (both > 0) & (both * self.den >= (F.size("x") + F.size("y") - both) * self.num)
+        checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        return written(checked.select("a", "b", linked.alias("linked")), "checked")
 
     def fits(self):
         """Whether sizes and parities of a (na, a0..) and b (nb, b0..) allow a link: their symmetric difference is at most
         (1 - t) / (1 + t) of the sum of their sizes, and no less than the number of parities that differ."""
         lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
         differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        odd = F.coalesce(differ * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num), F.lit(True))
-        return (F.lit(self.den) * lo >= F.lit(self.num) * hi) & odd
+        return (F.lit(self.den) * lo >= F.lit(self.num) * hi) & (differ * (self.den + self.num) <= (F.col("na") + F.col("nb")) * (self.den - self.num))
 
 
 def _side(x: str) -> list:
@@ -212,39 +210,40 @@ def _mixed(here: DataFrame) -> DataFrame:
     return lists.where("comps > 1").select("token", "c", F.col("most.c").alias("top"), F.negate("most.x").alias("comp"))
 
 
-def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = 3, with_links: bool = False) -> DataFrame:
-    """Links texts whose shingle sets have den * intersection >= num * union and finds the components.
+def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST_BITS, rounds: int = 3) -> DataFrame:
+    """Components of numbered rows: row, the other columns but text, n_shingles and component (the least row of it).
 
-    docs: doc_id long, text string; other columns are ignored, whatever their names. Returns one row per
-    row of docs: doc_id, n_shingles (distinct k-word shingles, A-Z lower-cased; a text of fewer words is
-    one shingle) and component_id (the smallest doc_id that links reach, itself included), and with
-    with_links also n_links (links to other distinct sets that were verified; near copies of one pivot
-    are not compared with each other). Null, empty and blank texts have no shingles and no links. Equal
-    sets are one class: the class is joined once, and its members share its component. Rows that repeat a
-    doc_id count as one node. A row without doc_id has no component. An empty table gives an empty result.
+    rows: row (a long that no other row has, the same whenever it is read), text, and columns that go along. See
+    ngram_components for what links; a row without shingles is a component of its own. bits: of the sketch.
     """
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    scan = written(docs.mapInArrow(_scan(k), "doc_id long, n long, fa long, fb long, o0 long, o1 long, o2 long, o3 long, part int, counts binary"), "scan")
-    sketch = spark.sparkContext.broadcast(_sketch(scan.where("part is not null").select("part", "counts")))
-    stat = scan.where("part is null").select("doc_id", "n", "fa", "fb", *ODD)
-    classes = stat.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
-    stat = written(stat.join(classes, ["fa", "fb"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"), *ODD), "stat")
-
-    job = _Join(docs, k, num, den)
-    raw = written(docs.mapInArrow(_postings(k, num, den, sketch), "token long, doc_id long, nl long"), "postings")
-    often = raw.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rep = stat.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("id"), *(F.when(F.min("rep") == F.max("rep"), F.min(o)).alias(o) for o in ODD))
-    post = raw.join(often, "token").join(rep, "doc_id").groupBy("token", "id").agg(F.max(F.shiftright("nl", 3)).alias("n"), F.min(F.col("nl").bitwiseAND(7)).alias("l"), F.max("df").alias("df"), *(F.min(o).alias(o) for o in ODD))
-    post = written(post, "shared")
+    spark, kept = rows.sparkSession, Kept()
+    others = {f.name: f.dataType.simpleString() for f in rows.drop("row", "text").schema}
+    names = {c: f"k{i}" for i, c in enumerate(others)}
+    scan = rows.select("row", "text", *(F.col(c).alias(names[c]) for c in others))
+    held = "".join(f", {names[c]} {t}" for c, t in others.items())
+    scan = written(scan.mapInArrow(_scan(k, bits), f"row long{held}, n long, fa long, fb long, o0 long, o1 long, o2 long, o3 long, part int, counts binary"), "scan")
+    sketch = spark.sparkContext.broadcast(_sketch(scan.where("part is not null").select("part", "counts"), bits))
+    stat = scan.where("part is null").select("row", *names.values(), "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("fa", "fb")))
+    full = scan.where("part is null AND n > 0")
+    classes = kept.add(full.groupBy("fa", "fb").agg(F.min("row").alias("rep"), F.count("*").alias("c"), F.min("n").alias("n"), *(F.min(o).alias(o) for o in ODD)))
+    n_rows = stat.count()
+    stat = written(lookup(stat, classes.select("fa", "fb", "c", "rep"), ["fa", "fb"], n_rows, F.col("row")).drop("fa", "fb"), "stat")
+
+    job = _Join(rows, k, num, den, kept)
+    nodes = kept.add(classes.select(F.col("rep").alias("id"), "n", *ODD))
+    raw = written(rows.select("row", "text").mapInArrow(_postings(k, num, den, bits, sketch), "token long, row long, l int"), "postings")
+    moved = kept.add(stat.where("rep <> row").select("row", "rep"))
+    raw = raw.join(sized(moved), "row", "left").select("token", F.coalesce("rep", "row").alias("id"), "l")
+    shared = raw.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
+    post = written(raw.join(shared, "token").groupBy("token", "id").agg(F.min("l").alias("l"), F.max("df").alias("df")), "shared")
     sketch.unpersist()
 
     # long lists first: their near copies are found by comparison with a pivot
-    long = written(post.where(F.col("df") > LONG).drop("df"), "long")
-    label = written(long.select("id").distinct().withColumn("comp", F.col("id")), "labels")
+    long = post.where(F.col("df") > LONG).drop("df")
+    label = long.select("id").distinct().withColumn("comp", F.col("id"))
     done = None  # the pairs that were compared
     for step in range(rounds):
-        here = written(long.join(label, "id"), "here")
+        here = kept.add(long.join(nodes, "id").join(label, "id"))
         mixed = _mixed(here)
         size = mixed.agg(F.sum(F.col("c") - 1), F.sum((F.col("c") - F.col("top")) * F.col("c"))).first()
         if not size[0] or size[1] <= 4 * size[0]:
@@ -255,10 +254,10 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         pairs = here.select("token", *_side("b")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits())
         found = job.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), done)
         label = components(label, found.where("linked"))
-        done = found if done is None else written(done.unionByName(found), "done")
+        done = found if done is None else done.unionByName(found)
 
     # then every pair that can still join two components, over all lists
-    here = written(post.join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "here")
+    here = post.drop("df").join(nodes, "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     main = _mixed(here).select("token", F.col("comp").alias("main"))
     here = written(here.join(main, "token"), "here")
     few = here.where("comp <> main").select("token", *_side("a"))
@@ -266,11 +265,27 @@ def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits())
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
     found = job.verify(pairs, done)
-    label = components(here.select("id", "comp").distinct().unionByName(label).distinct(), found.where("linked"))
-    done = found if done is None else done.unionByName(found)
-
-    out = stat.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
-    if with_links:
-        links = done.where("linked").select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        out = out.join(links, "rep", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    return out.drop("rep")
+    label = components(here.select("id", "comp").unionByName(label).distinct(), found.where("linked"))
+
+    member = kept.add(classes.select("rep", "c")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    member = written(member.select("rep", "c", F.coalesce("comp", "rep").alias("component")), "members")
+    kept.release()
+    out = lookup(stat, member, ["rep"], n_rows, F.col("row"))
+    return out.select("row", *(F.col(names[c]).alias(c) for c in others), F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component"))
+
+
+def ngram_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = 3) -> DataFrame:
+    """Links texts whose shingle sets have den * intersection >= num * union and finds the components.
+
+    docs: doc_id long, text string; other columns are ignored, whatever their names. Returns one row per
+    row of docs: doc_id, n_shingles (distinct k-word shingles, A-Z lower-cased; a text of fewer words is
+    one shingle) and component_id (the smallest doc_id that links reach, itself included).
+    Links themselves are not listed: pairs inside a component are mostly never compared.
+    Null, empty and blank texts have no shingles and no links. Every row is a text of its own: a row that repeats
+    a doc_id links by its own text, one without a doc_id links as others do, and a component in which no row has a
+    doc_id has no id. An empty table gives an empty result.
+    """
+    rows = numbered(docs, "row", ["doc_id", "text"])
+    x = written(row_components(rows, k, num, den, sketch_bits(docs), rounds), "components")
+    group = x.groupBy("component").agg(F.count("*").alias("c"), F.min("doc_id").alias("component_id"))
+    return lookup(x, group, ["component"], x.count(), F.col("row")).select("doc_id", "n_shingles", "component_id")

@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Ids up to this many go to all executors (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only a local session without one gets a folder of its own."""
@@ -32,14 +36,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
-    """docs with a long that no other row has and that stays the same whenever it is read: the file's number and the place in it.
+class Kept:
+    """Tables that several steps of one job read, kept on the executors' disks; a lost part is computed again.
+
+    What outlives the job must rest on written tables, because release() frees the others.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
+        self.tables = []
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids (a few numbers a row) with a hint to broadcast them if they were counted and are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def numbered(docs: DataFrame, name: str = "row", columns: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those named) with a long that no other row has and that stays the same whenever it is read: the file's number and the place in it.
 
     A table that is read from files is taken as it is, anything else is written first. Files are numbered by path.
     """
-    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
-        docs = written(docs, "rows")
-    x = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    files = x.select("_file").distinct().select("_file", (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_n"))
-    x = x.join(F.broadcast(written(files, "files")), "_file")  # a row for each file
-    return x.select(*docs.columns, (F.shiftleft("_n", 40) + F.col("_index")).alias(name))
+    columns = docs.columns if columns is None else columns
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles() or "_metadata" in docs.columns:
+        docs = written(docs.select(*columns), "rows")
+    at, file = F.col("_metadata.row_index").alias(f"{name}_at"), F.col("_metadata.file_path").alias(f"{name}_file")
+    x = docs.select(*columns, file, at)
+    files = x.select(f"{name}_file").distinct().select(f"{name}_file", (F.row_number().over(Window.orderBy(f"{name}_file")) - 1).cast("long").alias(f"{name}_n"))
+    x = x.join(F.broadcast(written(files, "files")), f"{name}_file")  # a row for each file
+    return x.select(*columns, (F.shiftleft(f"{name}_n", 40) + F.col(f"{name}_at")).alias(name))

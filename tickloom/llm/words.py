@@ -132,9 +132,26 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of every text, A-Z lower-cased."""
+def shingle_blocks(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, bounds, s): row i + r has the shingle hashes s[bounds[r] : bounds[r + 1]], A-Z lower-cased, repeats included."""
     data, off = text_buffers(column)
     for i, j, at, (h,), _ in words(data, off, lower=True):
+        n = at[1:] - at[:-1]
+        many = n >= k
+        size = np.where(many, n - k + 1, n > 0)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(bounds[-1], np.uint64)
+        if many.any():
+            every = shingles(h, k)  # also those that cross two rows, which are left out
+            first = np.repeat(at[:-1][many] - np.concatenate([[0], np.cumsum(size[many])[:-1]]), size[many])
+            out[np.repeat(many, size)] = every[first + np.arange(len(first))]
+        for r in np.flatnonzero((n > 0) & ~many):
+            out[bounds[r]] = shingles(h[at[r] : at[r + 1]], k)[0]
+        yield i, j, bounds, out
+
+
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingle hashes) of every text, A-Z lower-cased."""
+    for i, j, bounds, s in shingle_blocks(column, k):
         for r in range(j - i):
-            yield i + r, np.unique(shingles(h[at[r] : at[r + 1]], k))
+            yield i + r, np.unique(s[bounds[r] : bounds[r + 1]])
