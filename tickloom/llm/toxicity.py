@@ -186,14 +186,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score threshold or more; columns are unchanged."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """docs without the rows that score threshold or more; columns are unchanged.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), *shared.value) < threshold))
+    Only texts go to Python and only verdicts come back; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array(_scores(text, *shared.value) < threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
