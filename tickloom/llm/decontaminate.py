@@ -1,16 +1,19 @@
-"""Benchmark passages inside long documents: size-partitioned MinHash search, exact verification.
-
-A MinHash signature of a whole document says little about a passage of thirty words in it, so the
-signatures are the items': items are partitioned by the size of their shingle set, and an item's
-signature is the k smallest hashes of its set, with k set by its partition's largest size n as
-n - ceil(t n) + 1. An item of which the share t lies in a document can't have all k outside of it, so a
-document that holds none of an item's k smallest hashes needs no comparison and no match is missed.
-Every shingle of every document is held against the signatures; hits are verified on the item's whole
-set in the same task. Documents are read once and never shuffled.
+"""Benchmark passages inside long documents: size-partitioned MinHash containment search, exact verification.
+
+A MinHash signature of a whole long document says little about a passage of thirty words in it, so what is signed
+follows the size of what is looked for. Items are partitioned by the size of their shingle set, in powers of two. For
+each partition a document is cut into tiles of half the partition's least size, and a tile's signature
+under a hash function is the least hash of its shingles. For an item of q shingles, of which the share t lies in a
+document, in one place or many, a function gives some tile the item's own signature with a chance of at least
+t q / (q + w - 1), w being the tile's size. Each partition takes as many functions as make the chance that all of them
+miss smaller than MISS. Equal signatures make a candidate, and a candidate is verified by counting the item's shingles in
+the whole document, so what is returned is exact and what can be missed is one match in 1 / MISS at most. Documents
+are read once and never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,71 +21,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import shingle_sets
+from .store import written
+from .words import shingle_blocks, shingle_sets
 
-#: Items go to the executors in blocks of so many bytes of text at most; each block is one pass over the documents.
+#: Items go to the executors in blocks of so many bytes of text at most (or one item); each block is one pass over the documents.
 BLOCK_BYTES = 32 << 20
-
-
-def index(ids: list[int], texts: list[str], k: int, num: int, den: int) -> dict[str, np.ndarray | list[np.ndarray]]:
-    """Shingle sets of a block of items, and their signatures as sorted keys with the item that owns each."""
-    sets = {r: u for r, u in shingle_sets(pa.array(texts, pa.string()), k)}
-    keep = [r for r in sets if len(sets[r])]
-    sets = [sets[r] for r in keep]
-    need = np.array([-(-num * len(u) // den) for u in sets], np.int64)
-    # partitions by size: powers of two, each with the signature size of its largest need
-    width: dict[int, int] = {}
-    for u, least in zip(sets, need, strict=True):
-        part = len(u).bit_length()
-        width[part] = max(width.get(part, 0), len(u) - int(least) + 1)
-    heads = [u[: width[len(u).bit_length()]] for u in sets]
-    keys = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
-    order = np.argsort(keys, kind="stable")
-    return {"ids": np.array([ids[r] for r in keep], np.int64), "sets": sets, "need": need, "keys": keys[order], "owner": owner[order]}
-
-
-def search(x: dict, u: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item, shingles of it, shared) for the items of index x that the set u holds well enough."""
-    keys, owner = x["keys"], x["owner"]
-    if not len(keys) or not len(u):
-        return []
-    lo, hi = np.searchsorted(keys, u, "left"), np.searchsorted(keys, u, "right")
-    hit = np.flatnonzero(hi > lo)
-    if not len(hit):
-        return []
-    out = []
-    for i in np.unique(np.concatenate([owner[lo[h] : hi[h]] for h in hit])):
-        s = x["sets"][i]
-        at = np.searchsorted(u, s)
-        at[at == len(u)] = 0
-        shared = int((u[at] == s).sum())
-        if shared >= x["need"][i]:
-            out.append((int(x["ids"][i]), len(s), shared))
-    return out
-
-
-def _search(items, k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = items.value
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for r, u in shingle_sets(batch.column(1), k):
-                rows += [(ids[r], *found) for found in search(x, u)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-
-    return run
-
-
-def _blocks(bench: DataFrame, size: int) -> Iterator[DataFrame]:
-    """bench in parts whose texts have about `size` bytes; one part if they all fit."""
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // size))
-    for p in range(parts):
-        yield bench if parts == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+#: The chance that a match becomes no candidate, at most.
+MISS = 1e-9
+_rng = np.random.Generator(np.random.PCG64(71))
+#: Hash functions: (x ^ a) * b modulo 2**64, one to one on shingle hashes. There are more than any partition takes.
+_XOR = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+_TIMES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def functions(q: int, w: int, num: int, den: int, miss: float = MISS) -> int:
+    """Hash functions that find an item of q shingles, num/den of them in tiles of w, but for a chance of miss."""
+    hit = -(-num * q // den) / (q + w - 1)
+    return 1 if hit >= 1 else min(len(_XOR), math.ceil(math.log(miss) / math.log1p(-hit)))
+
+
+def make_index(items: list[tuple[int | None, str]], k: int, num: int, den: int, miss: float = MISS) -> dict:
+    """Items with their shingle sets, and for each size partition its tile and the items by signature."""
+    found = [(items[r][0], u) for r, u in shingle_sets(pa.array([t for _, t in items], pa.string()), k) if len(u)]
+    ids, sets = [i for i, _ in found], [u for _, u in found]
+    members: dict[int, list[int]] = {}
+    for i, u in enumerate(sets):
+        members.setdefault(len(u).bit_length(), []).append(i)
+    parts = []
+    for _, own in sorted(members.items()):
+        q = min(len(sets[i]) for i in own)
+        tile, tables = max(1, q // 2), []
+        for f in range(functions(q, tile, num, den, miss)):
+            signed = np.array([((sets[i] ^ _XOR[f]) * _TIMES[f]).min() for i in own], np.uint64)
+            order = np.argsort(signed, kind="stable")
+            bits = len(own).bit_length() + 6
+            some = np.zeros(1 << bits, bool)  # which leading bits occur, a quick first test
+            some[(signed >> np.uint64(64 - bits)).astype(np.int64)] = True
+            tables.append((signed[order], np.array(own)[order], some, np.uint64(64 - bits)))
+        parts.append((tile, tables))
+    return {"k": k, "ids": ids, "sets": sets, "need": [-(-num * len(u) // den) for u in sets], "parts": parts}
+
+
+def candidates(parts: list, bounds: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(row, item) pairs that share a signature, of rows with shingles s[bounds[r] : bounds[r + 1]]."""
+    size, pairs = np.diff(bounds), [np.zeros((0, 2), np.int64)]
+    for tile, tables in parts if len(s) else []:
+        n = -(-size // tile)
+        row = np.repeat(np.arange(len(n)), n)
+        begin = np.concatenate([[0], np.cumsum(n)])
+        starts = bounds[row] + (np.arange(len(row)) - begin[row]) * tile
+        for f, (signed, owner, some, shift) in enumerate(tables):
+            least = np.minimum.reduceat((s ^ _XOR[f]) * _TIMES[f], starts)
+            at = np.flatnonzero(some[(least >> shift).astype(np.int64)])
+            lo, hi = np.searchsorted(signed, least[at], "left"), np.searchsorted(signed, least[at], "right")
+            for t, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
+                pairs.append(np.stack([np.full(b - a, row[t]), owner[a:b]], 1))
+    return np.unique(np.concatenate(pairs), axis=0)
+
+
+def search(index: dict, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, its shingles, shared ones) for the items that a text holds well enough; items by their place in ids."""
+    for i, _, bounds, s in shingle_blocks(column, index["k"]):
+        last, u = -1, s[:0]
+        for r, item in candidates(index["parts"], bounds, s):
+            if r != last:
+                last, u = r, np.unique(s[bounds[r] : bounds[r + 1]])
+            own = index["sets"][item]
+            at = np.searchsorted(u, own)
+            at[at == len(u)] = 0
+            shared = int((u[at] == own).sum())
+            if shared >= index["need"][item]:
+                yield int(i + r), int(item), len(own), shared
+
+
+def _blocks(bench: DataFrame, size: int) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
+    """The items in lists of texts of at most `size` bytes, or of one item, and whether the list is the last one. One list at least."""
+    rows: list[tuple[int | None, str]] = []
+    held = 0
+    for item, text in bench.toLocalIterator():
+        n = len(text.encode())
+        if rows and held + n > size:
+            yield rows, False
+            rows, held = [], 0
+        rows.append((item, text))
+        held += n
+    yield rows, True
+
+
+def _items(bench: DataFrame) -> DataFrame:
+    return bench.select("item_id", "text").where("text is not null").distinct()
 
 
 def leaks(docs: DataFrame, bench: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -90,36 +117,57 @@ def leaks(docs: DataFrame, bench: DataFrame, k: int = 5, num: int = 80, den: int
 
     docs: doc_id, text; bench: item_id, text; other columns are ignored. k-word shingles with A-Z lower-cased; an
     item of fewer words is one shingle, found in texts that equal it. Null, empty and blank texts match nothing.
-    Repeated documents each give rows, repeated items give one row per pair. Items are read in blocks of
-    block_bytes, so what tasks receive is bounded however large bench is; documents take one pass per block.
+    Repeated documents each give rows, repeated items give one row per pair, null ids stay null. Items are read in blocks of
+    block_bytes, so what the driver and tasks hold is bounded by that or by the longest item however large bench is;
+    documents take one pass per block. Empty tables give an empty result.
     """
-    docs, out = docs.select("doc_id", "text"), None
-    sc = docs.sparkSession.sparkContext
-    for block in _blocks(bench.select("item_id", "text").where("text is not null").distinct(), block_bytes):
-        rows = block.collect()  # at most about block_bytes, see _blocks
-        items = sc.broadcast(index([r[0] for r in rows], [r[1] for r in rows], k, num, den))
-        found = docs.mapInArrow(_search(items, k), "doc_id long, item_id long, n_item long, n_shared long")
-        out = found if out is None else out.unionByName(found)
+    docs = docs.select("doc_id", "text")
+    sc, parts = docs.sparkSession.sparkContext, []
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
+    for items, last in _blocks(_items(bench), block_bytes):
+        index = sc.broadcast(make_index(items, k, num, den))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            x = index.value
+            for batch in batches:
+                ids = batch.column(0)
+                rows = [(ids[r].as_py(), x["ids"][i], n, shared) for r, i, n, shared in search(x, batch.column(1))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+
+        found = docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
+        if last and not parts:
+            return found
+        parts.append(written(found, "leaks"))
+        index.destroy()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def clean(docs: DataFrame, bench: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the rows whose text leaks an item; columns and other rows are unchanged.
+def _holds_none(index):
+    @F.arrow_udf("boolean")
+    def verdict(text: pa.Array) -> pa.Array:
+        keep = np.ones(len(text), bool)
+        for r, *_ in search(index.value, text):
+            keep[r] = False
+        return pa.array(keep)
 
-    Decided row by row inside the pass, so texts are neither joined nor shuffled; rows without doc_id count too.
-    """
-    sc, names = docs.sparkSession.sparkContext, docs.columns
-    for block in _blocks(bench.select("item_id", "text").where("text is not null").distinct(), BLOCK_BYTES):
-        rows = block.collect()
-        items = sc.broadcast(index([r[0] for r in rows], [r[1] for r in rows], k, num, den))
+    return verdict
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            x = items.value
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for r, u in shingle_sets(batch.column(names.index("text")), k):
-                    keep[r] = not search(x, u)
-                yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, bench: DataFrame, k: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows whose text leaks an item; columns and other rows are unchanged.
+
+    Decided row by row inside the pass: only texts go to Python and only verdicts come back, and nothing is joined or
+    shuffled; rows without doc_id count too. Beyond one block of items the rows that are left are written after each.
+    """
+    sc = docs.sparkSession.sparkContext
+    for items, last in _blocks(_items(bench), block_bytes):
+        index = sc.broadcast(make_index(items, k, num, den))
+        docs = docs.where(_holds_none(index)("text"))
+        if not last:
+            docs = written(docs, "clean")
+            index.destroy()
     return docs
