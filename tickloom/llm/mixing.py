@@ -2,10 +2,11 @@
 
 Every source is dealt into blocks by the md5 of its doc_id. Its target is met by whole passes over all
 its blocks and one more pass over its blocks in a permuted order until the target is full, to the word.
-A tree over the output shards then splits the drawn blocks: at each node a uniformly chosen half of the
-node's blocks, a multivariate hypergeometric draw over the sources, goes to the left. A shard takes its
+A tree over the output shards splits the quotas of blocks: at each node a uniformly chosen half of the
+node's places, a multivariate hypergeometric draw over the sources, goes to the left. A shard draws its
 quota of a source as a range of the source's permuted blocks, so shards are disjoint, and is ordered
-inside by a hash. Built-in expressions only. Texts are read once; what is shuffled is a few numbers a document.
+inside by a hash. What the mix takes of a document is what the shards draw of it: a block that no shard draws is not
+taken. Built-in expressions only. Texts are read once; what is shuffled is a few numbers a document.
 """
 
 from __future__ import annotations
@@ -52,34 +53,22 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), sh
 
 
 def splitting_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(i, shard, blocks): how many blocks of source i each shard gets, from (i, blocks).
+    """(node, i, blocks): how many blocks of source i the leaf `node` gets, from (i, blocks); shard = node - shards.
 
-    At every node each block in turn goes left with the chance places left over / blocks left over, which
-    makes every half equally likely and both sides exact.
+    Every quota is laid out as so many places. At a node the places are put in the order of a hash and the first
+    half of them goes left, so that all halves are equally likely and both sides exact: the sources' counts are a
+    multivariate hypergeometric draw. Leaves without blocks of a source have no row. The table has a row for each block,
+    a few hundred for each source, whatever the number of documents.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("the number of shards is a power of two")
-    node = counts.groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "blocks"))).alias("c")).select(F.lit(1).alias("node"), F.expr("transform(c, x -> cast(x.blocks as long))").alias("c"))
+    x = counts.where("blocks > 0").select(F.lit(1).cast("long").alias("node"), "i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks").cast("long"))).alias("j"))
     while shards > 1:
-        node = node.select("node", "c", F.expr("aggregate(c, 0L, (a, x) -> a + x)").alias("n"))
-        node = _halves(node, seed)
+        order = Window.partitionBy("node").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "node", "i", "j")))
+        left = F.row_number().over(order) <= F.floor(F.count("*").over(Window.partitionBy("node")) / 2)
+        x = x.select((F.col("node") * 2 + F.when(left, 0).otherwise(1)).alias("node"), "i", "j")
         shards //= 2
-    return node.select(F.col("node"), F.posexplode("c").alias("i", "blocks"))
-
-
-def _halves(node: DataFrame, seed: int) -> DataFrame:
-    """The two children of every node. The fold's state: left counts, blocks and places that are left over."""
-    one = f"""aggregate(sequence(1L, x), named_struct('x', 0L, 'n', a.n, 'k', a.k), (b, j) ->
-        CASE WHEN pmod(xxhash64({seed}L, node, b.n), b.n) < b.k
-        THEN named_struct('x', b.x + 1L, 'n', b.n - 1L, 'k', b.k - 1L)
-        ELSE named_struct('x', b.x, 'n', b.n - 1L, 'k', b.k) END)"""
-    fold = f"""aggregate(c, named_struct('left', cast(array() as array<bigint>), 'n', n, 'k', n div 2), (a, x) ->
-        CASE WHEN x = 0 THEN named_struct('left', array_append(a.left, 0L), 'n', a.n, 'k', a.k)
-        ELSE transform(array({one}), d -> named_struct('left', array_append(a.left, d.x), 'n', d.n, 'k', d.k))[0] END)"""
-    x = node.select("node", "c", F.expr(fold).alias("f"))
-    x = x.select("node", "c", F.col("f.left").alias("left"))
-    sides = "array(struct(node * 2 as node, left as c), struct(node * 2 + 1 as node, zip_with(c, left, (x, y) -> x - y) as c))"
-    return x.select(F.expr(f"inline({sides})"))
+    return x.groupBy("node", "i").agg(F.count("*").alias("blocks"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -138,6 +127,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     run = Window.partitionBy("skey", "cell").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("upto", F.col("before") + F.sum("size").over(run))
     x = x.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size"))))
-    draws = """transform(filter(sequence(0, cast(full as int)), p -> p < full OR extra > 0),
+    # a pass in which some shard draws the document's block gives all of it, the last pass what the target still needs
+    draws = """transform(filter(sort_array(map_keys(coalesce(home, map()))), p -> p < full OR extra > 0),
         p -> struct(p as pass, home[p] as shard, md5(concat(h, ':', p)) as order, IF(p < full, size, extra) as words))"""
-    return x.select("doc_id", "source", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("extra")).alias("taken"), F.expr(draws).alias("draws"), *keep)
+    x = x.select("doc_id", "source", "size", "source_size", "target", F.expr(draws).alias("draws"), *keep)
+    taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
+    return x.select("doc_id", "source", "size", "source_size", "target", taken, "draws", *keep)

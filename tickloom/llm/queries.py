@@ -32,8 +32,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mix(_read(spark, sf_dir, "documents"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
-    taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
-    return x.select("doc_id", "size", "source_size", "target", taken)
+    shards = F.concat_ws(",", F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["words"]))).alias("shards")
+    return x.select("doc_id", "size", "source_size", "target", "taken", shards)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,15 +130,33 @@ WITH d AS (
     / sum(weight) OVER (ORDER BY cap / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
 ), f AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, i LIMIT 1
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f) * weight), cap) AS target FROM l
+  SELECT source, source_size, i, coalesce(least(cap, (SELECT level FROM f) * weight), cap) AS target FROM l
 ), q AS (
   SELECT *, floor(target + 0.5)::BIGINT AS quota, coalesce(floor(target + 0.5)::BIGINT // nullif(source_size, 0), 0) AS full_ FROM t
 ), x AS (
-  SELECT d.*, source_size, target, full_, quota - full_ * source_size AS rest,
+  SELECT d.*, q.i, row_number() OVER () AS rid, substr(h, 1, 2) AS block, source_size, target, full_, quota - full_ * source_size AS rest,
     sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
-)
-SELECT doc_id, size, source_size, target, (full_ * size + greatest(0, least(size, rest - upto + size)))::BIGINT AS taken FROM x
+), b AS (
+  SELECT i, block, any_value(source) AS source, any_value(full_) AS full_, any_value(rest) AS rest, sum(size) AS words FROM x GROUP BY i, block
+), c AS (
+  SELECT *, sum(words) OVER (PARTITION BY i ORDER BY block) - words AS before FROM b
+), p AS (
+  SELECT i, block, source, unnest(range(0, (full_ + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT)) AS pass FROM c
+), g AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY md5(concat_ws(':', '17', coalesce('=' || source, ''), pass, block))) AS place FROM p
+), n0 AS (SELECT 1 AS node, i, place AS j FROM g
+), n1 AS (SELECT node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws(':', '17', node, i, j))) <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node, i, j FROM n0
+), n2 AS (SELECT node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws(':', '17', node, i, j))) <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node, i, j FROM n1
+), n3 AS (SELECT node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5(concat_ws(':', '17', node, i, j))) <= count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END AS node, i, j FROM n2
+), k AS (SELECT i, node, count(*) AS k FROM n3 GROUP BY i, node
+), r2 AS (SELECT i, node - 8 AS shard, sum(k) OVER (PARTITION BY i ORDER BY node) AS high, k FROM k
+), m AS (SELECT g.i, g.block, g.pass, r2.shard FROM g JOIN r2 ON g.i = r2.i AND place > high - k AND place <= high
+), w AS (
+  SELECT x.rid, m.pass, m.shard, CASE WHEN m.pass < full_ THEN size ELSE greatest(0, least(size, rest - upto + size)) END::BIGINT AS words
+  FROM x JOIN m ON x.i = m.i AND x.block = m.block WHERE m.pass < full_ OR greatest(0, least(size, rest - upto + size)) > 0
+), o AS (SELECT rid, sum(words)::BIGINT AS taken, string_agg(shard || ':' || words, ',' ORDER BY pass) AS shards FROM w GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, '') AS shards FROM x LEFT JOIN o USING (rid)
 """
 
 ORACLES["op8_chat_format"] = r"""
