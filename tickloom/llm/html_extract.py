@@ -1,9 +1,13 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is cut into blocks with the chain of elements around them. A linear classifier gives each block a cost
+A page is cut into blocks, each with the chain of elements around it. A classifier gives each block a cost
 of being called boilerplate and a cost of being called content; these are the capacities to the two
-terminals. Neighbours in page order and blocks near each other in the DOM are tied by smoothness edges. A
+terminals. Neighbours in page order and siblings in the DOM are tied by smoothness edges. A
 maximum flow finds the labelling of least total cost, and the blocks on the content side are the text.
+
+The classifier adds up two kinds of log odds. What elements say of themselves (tags, roles, class words) is a fixed
+table. What a block's own text says is a logistic regression, fitted on blocks whose elements leave no doubt, with
+the fixed weights PRIOR as the mean of its prior; a single page is read with PRIOR alone.
 """
 
 from __future__ import annotations
@@ -13,12 +17,16 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=\"'/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPACE = re.compile(r"\s+")
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements whose content is never text of the page, and that end with their own tag only.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "canvas", "math"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -33,135 +41,253 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
 _ENDS_P = _BLOCK - {"button", "label", "option", "head", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
-#: Evidence of an element for content (positive) or boilerplate (negative), for all blocks inside it.
+#: Elements nested deeper than this count to the one around them, as in browsers; it bounds the work for a tag.
+DEEP = 512
+#: Evidence of an element for content (positive) or boilerplate (negative), for the blocks inside it.
 _TAG = {"nav": -6.0, "footer": -5.0, "aside": -5.0, "form": -5.0, "button": -5.0, "menu": -5.0, "dialog": -5.0, "search": -5.0, "header": -3.0, "label": -3.0, "article": 3.0, "main": 2.5, "figcaption": -0.5}
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|sidebar|side|aside|widget\w*|cookies?|consent|gdpr|notice|notification"
-    r"|alert|popup|modal|overlay|paywall|subscri\w*|newsletter|signup|login|search|form|comments?|respond|reply|replies|disqus|discussion|reactions?|share\w*|sharing|social|related|recommend\w*|outbrain|taboola"
-    r"|pagination|pager|tags?|byline|copyright|legal|disclaimer|skip|hidden|print)(?=$|[\s_-])",
-    re.I,
-)
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body|prose|articlebody)(?=$|[\s_-])", re.I)
 _ROLE = {"navigation": -6.0, "banner": -4.0, "contentinfo": -5.0, "complementary": -5.0, "search": -5.0, "form": -5.0, "dialog": -5.0, "alert": -5.0, "alertdialog": -5.0, "menu": -5.0, "main": 2.5, "article": 3.0}
+HIDDEN, BAD, GOOD, BODY = -8.0, -5.0, 1.5, 2.5
+#: Words that tell in a class or id: alone, or as the first or last part of a name such as site-footer or adSlot.
+_COMMENTS = {"comment", "comments", "respond", "reply", "replies", "disqus", "discussion", "reactions"}
+_WORDS = _COMMENTS | {
+    "ad", "ads", "advert", "adverts", "advertisement", "adsense", "adslot", "banner", "sponsor", "sponsored", "sponsors", "promo", "promos", "promotion", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb",
+    "breadcrumbs", "footer", "header", "masthead", "topbar", "toolbar", "sidebar", "aside", "widget", "widgets", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal",
+    "overlay", "paywall", "subscribe", "subscription", "newsletter", "signup", "login", "search", "form", "share", "sharing", "social", "related", "recommended", "recommendations", "outbrain", "taboola",
+    "pagination", "pager", "copyright", "hidden",
+}
+_FINE = {"article", "articlebody", "content", "main", "post", "entry", "story", "text", "body", "prose"}
+#: Names that start with one of these tell of a state (has-sidebar, no-ads, with-comments), not of what is inside.
+_STATE = {"has", "no", "not", "with", "without", "is", "non", "show", "hide", "js"}
 #: Smoothness: between neighbours in page order, more for the same parent, less the further apart in the DOM.
 NEAR, SIBLING, FAR = 1.0, 1.5, 0.25
+#: The prior mean of the text weights: one, 8 words or more, 25 or more, ends a sentence, share in links, paragraph, heading, list item, cell.
+PRIOR = np.array([-0.6, 0.8, 0.6, 0.4, -3.0, 0.0, 0.0, 0.0, 0.0])
+#: Pages that the classifier is fitted on, at most, and blocks of each; how many blocks the prior weighs.
+PAGES, PAGE_BLOCKS, WEIGHT = 2000, 200, 50.0
+
+
+def _named(value: str) -> tuple[float, bool]:
+    """Evidence of a class or id, and whether it speaks of readers' comments. Names count as a whole, not what they contain."""
+    e, comments = 0.0, False
+    for name in value.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not parts or parts[0] in _STATE:
+            continue
+        ends = {parts[0], parts[-1], "".join(parts)}
+        if ends & _WORDS and not (parts[-1] == "header" and parts[0] in _FINE):  # entry-header holds the headline
+            e, comments = BAD, comments or bool(ends & _COMMENTS)
+        elif e == 0.0 and ends & _FINE:
+            e = GOOD
+    return e, comments
 
 
-def _evidence(tag: str, attrs: str, parents: set[str]) -> float:
-    e = _TAG.get(tag, 0.0)
-    if tag == "header" and "article" in parents:
-        e = 0.0  # the head of the article holds its headline
-    if not attrs:
-        return e
+def _evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float, bool]:
+    """(of tags and roles, of names, whether it holds comments) for one element."""
+    hard, soft, comments = _TAG.get(tag, 0.0), 0.0, False
+    if tag == "header" and in_article:
+        hard = 0.0  # the head of the article holds its headline
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
-            e += -5.0 if _BAD.search(value) and tag not in ("body", "html", "main", "article") else 1.5 if _GOOD.search(value) else 0.0
+        if name in ("class", "id") and tag not in ("html", "body"):
+            e, c = _named(value)
+            soft, comments = e if soft == 0 or e < 0 else soft, comments or c
         elif name == "role":
-            e += _ROLE.get(value.lower(), 0.0)
+            hard += _ROLE.get(value.lower(), 0.0)
         elif name == "itemprop":
-            e += 2.5 if value.lower() == "articlebody" else 0.0
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            e -= 8.0
-    return e
-
-
-def blocks(page: str) -> list[tuple[str, float, float, tuple[int, ...]]]:
-    """(text, evidence of the elements around it, share of characters in links, element path) for each block."""
-    stack: list[tuple[str, float, int]] = []  # tag, evidence so far, element number
-    out, words, linked, links, at, number, pos, end = [], [], 0, 0, (0.0, ()), 0, 0, len(page)
-
-    def flush():
-        nonlocal words, linked
-        if words:
-            text = _SPACE.sub(" ", "".join(words)).strip()
-            if text:
-                out.append((text, at[0], min(1.0, linked / len(text)), at[1]))
-        words, linked = [], 0
-
-    def text(raw: str):
-        nonlocal linked, at
-        if raw:
+            hard += BODY if value.lower() == "articlebody" else 0.0
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDES.search(value):
+            hard += HIDDEN
+    return hard, soft, comments
+
+
+class Page:
+    """Blocks of a page and the elements around them; element 0 is the page.
+
+    texts, linked (share of characters in links), at (the innermost element) and tag of each block; parent, hard, soft and
+    comments of each element. The work is linear in the page's length.
+    """
+
+    def __init__(self, page: str):
+        self.texts: list[str] = []
+        self.linked: list[float] = []
+        self.at: list[int] = []
+        self.tag: list[str] = []
+        self.parent, self.hard, self.soft, self.comments = [-1], [0.0], [0.0], [False]
+        stack: list[tuple[str, int]] = [("", 0)]
+        count: dict[str, int] = {}  # open elements on the stack by tag
+        beyond: dict[str, int] = {}  # and those too deep for it
+        words: list[str] = []
+        state = {"linked": 0, "link": 0, "at": 0, "tag": "", "begun": False}  # link: depth of the open link, 0 for none
+
+        def flush() -> None:
+            if state["begun"]:
+                text = _SPACE.sub(" ", "".join(words)).strip()
+                if text:
+                    self.texts.append(text)
+                    self.linked.append(min(1.0, state["linked"] / len(text)))
+                    self.at.append(state["at"])
+                    self.tag.append(state["tag"])
+            words.clear()
+            state["linked"], state["begun"] = 0, False
+
+        def text(raw: str) -> None:
+            if not raw:
+                return
             if "&" in raw:
                 raw = _html.unescape(raw)
-            if not words or not any(map(str.strip, words)):
-                at = (stack[-1][1] if stack else 0.0, tuple(x[2] for x in stack))
+            n = len(raw.strip())
+            if n and not state["begun"]:
+                state["begun"], state["at"] = True, stack[-1][1]
+                state["tag"] = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
+            if n and state["link"]:
+                state["linked"] += n
             words.append(raw)
-            if links:
-                linked += len(raw.strip())
-
-    def pop(to: int):
-        nonlocal links
-        while len(stack) > to:
-            links -= stack.pop()[0] == "a"
-
-    while pos < end:
-        m = _TOKEN.search(page, pos)
-        if m is None:
-            text(page[pos:])
-            break
-        text(page[pos : m.start()])
-        pos = m.end()
-        if m[0].startswith("<![CDATA["):
-            continue
-        if m[2] is None:
-            continue
-        tag, attrs = m[2].lower(), m[3]
-        if m[1]:
-            if tag in _BLOCK or tag == "br":
+
+        def pop(to: int) -> None:
+            for t, _ in stack[to:]:
+                count[t] -= 1
+            del stack[to:]
+            if state["link"] > len(stack):
+                state["link"] = 0
+
+        pos, end = 0, len(page)
+        while pos < end:
+            m = _TOKEN.search(page, pos)
+            if m is None:
+                text(page[pos:])
+                break
+            text(page[pos : m.start()])
+            pos = m.end()
+            if m[2] is None:
+                continue
+            tag, attrs = m[2].lower(), m[3]
+            if m[1]:
+                if tag in _BLOCK or tag == "br":
+                    flush()
+                if tag == "a":
+                    state["link"] = 0
+                if beyond.get(tag):
+                    beyond[tag] -= 1
+                elif count.get(tag):
+                    i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+                    if tag in _BLOCK:
+                        pop(i)
+                    elif not any(t in _BLOCK for t, _ in stack[i + 1 :]):
+                        pop(i)
+                    else:  # an end tag of an inline element doesn't end blocks that were opened inside it
+                        count[tag] -= 1
+                        del stack[i]
+                continue
+            if tag in _RAW:
+                if not attrs.rstrip().endswith("/") or tag not in ("svg", "math", "iframe"):
+                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+                    if close is None and tag in ("noscript", "select", "svg", "math", "object", "canvas"):
+                        continue
+                    pos = close.end() if close else end
+                continue
+            if tag == "br":
+                words.append(" ")
+                continue
+            block = tag in _BLOCK
+            if block:
                 flush()
-            open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            # an end tag of an inline element doesn't end blocks that were opened inside it
-            if open_ is not None and (tag in _BLOCK or not any(x[0] in _BLOCK for x in stack[open_ + 1 :])):
-                pop(open_)
-            elif open_ is not None:
-                links -= tag == "a"
-                del stack[open_]
-            continue
-        if tag in _RAW:
-            if not attrs.rstrip().endswith("/") or tag not in ("svg", "math", "iframe"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-                if close is None and tag in ("noscript", "select", "svg", "math", "object", "canvas"):
-                    continue
-                pos = close.end() if close else end
-            continue
-        if tag == "br":
-            words.append(" ")
-            continue
-        if tag in _BLOCK:
-            flush()
-        if tag in _VOID:
-            continue
-        if tag in _ENDS_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][0] in _BLOCK:
-                    break
-        if tag in _CLOSES:
-            ends, until = _CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in until:
-                    break
-                if stack[i][0] in ends:
-                    pop(i)
-        number += 1
-        parents = {x[0] for x in stack}
-        stack.append((tag, (stack[-1][1] if stack else 0.0) + _evidence(tag, attrs, parents), number))
-        links += tag == "a"
-    flush()
-    return out
+            if tag in _VOID:
+                continue
+            if tag in _ENDS_P and count.get("p"):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == "p":
+                        pop(i)
+                        break
+                    if stack[i][0] in _BLOCK:
+                        break
+            if tag in _CLOSES:
+                ends, until = _CLOSES[tag]
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in until:
+                        break
+                    if stack[i][0] in ends:
+                        pop(i)
+            hard, soft, comments = _evidence(tag, attrs, bool(count.get("article")))
+            if block or hard or soft:  # other inline elements leave no trace
+                if len(stack) > DEEP:
+                    beyond[tag] = beyond.get(tag, 0) + 1
+                else:
+                    self.parent.append(stack[-1][1])
+                    self.hard.append(hard)
+                    self.soft.append(soft)
+                    self.comments.append(comments)
+                    stack.append((tag, len(self.parent) - 1))
+                    count[tag] = count.get(tag, 0) + 1
+            if tag == "a":
+                state["link"] = len(stack)
+        flush()
 
+    def evidence(self) -> tuple[list[float], list[float]]:
+        """Evidence for each block: of all elements around it, and whether it lies in the article.
 
-def score(text: str, evidence: float, linked: float, structured: bool) -> float:
-    """The classifier: above 0 for content. Elements say most; length, sentence marks and links the rest.
+        Negative tags undo what positive ones around them say, and a bad name holds for all that is inside. Two things
+        release a wrapper: the article that has most of the text drops what its ancestors say, unless one of them is
+        a sidebar, a menu, a footer or the comments; and a bad name or a form around nine tenths of the
+        text of a page without article says nothing.
+        """
+        n = len(self.parent)
+        size = [0.0] * n  # characters outside of links
+        for t, l, e in zip(self.texts, self.linked, self.at, strict=True):
+            size[e] += len(t) * (1 - l)
+        for e in range(n - 1, 0, -1):
+            size[self.parent[e]] += size[e]
+        barred, inside = [False] * n, [False] * n
+        best = 0
+        for e in range(1, n):
+            barred[e] = barred[self.parent[e]] or self.comments[e] or self.hard[e] <= -5.0 and self.hard[e] != _TAG["form"]
+            if self.hard[e] >= BODY and not barred[e] and self.soft[e] >= 0 and size[e] > size[best] * (best > 0):
+                best = e
+        up = set()
+        e = best
+        while e > 0:
+            e = self.parent[e]
+            up.add(e)
+        total = [0.0] * n
+        hard, soft = [0.0] * n, [0.0] * n
+        for e in range(1, n):
+            p, h, s = self.parent[e], self.hard[e], self.soft[e]
+            if best and e in up or not best and size[0] > 0 and size[e] >= 0.9 * size[0] and not barred[e] and (s < 0 or h == _TAG["form"]):
+                h, s = max(h, 0.0), max(s, 0.0)
+            inside[e] = inside[p] or e == best
+            hard[e] = min(hard[p], 0.0) + h if h < 0 else hard[p] if hard[p] < 0 else max(hard[p], h)
+            soft[e] = s if s < 0 else soft[p] if soft[p] < 0 else max(s, soft[p])
+            total[e] = max(-8.0, min(4.5, hard[e] + soft[e]))
+        return [total[e] for e in self.at], [float(best > 0) * (1 if inside[e] else -1) for e in self.at]
 
-    structured: the page marks its article; then what lies outside of it has to make its own case.
-    """
-    n = text.count(" ") + 1
-    s = evidence + (0.8 if n >= 25 else 0.2 if n >= 8 else -0.6) + (0.4 if text[-1:] in ".!?…\"'”»。" else 0.0) - 3.0 * linked
-    return s - (1.5 if structured else 0.0)
+    def edges(self) -> list[tuple[int, int, float]]:
+        """Smoothness: between neighbours, weaker with their distance in the DOM, and from a block to the last one under the same parent."""
+        depth = [0] * len(self.parent)
+        for e in range(1, len(self.parent)):
+            depth[e] = depth[self.parent[e]] + 1
+        out, last = [], {}
+        for i, e in enumerate(self.at):
+            parent = self.parent[e]
+            if i:
+                a, b, apart = self.at[i - 1], e, 0
+                while a != b:  # over all blocks no more steps than there are elements, and DEEP for one
+                    if depth[a] >= depth[b]:
+                        a = self.parent[a]
+                    else:
+                        b = self.parent[b]
+                    apart += 1
+                out.append((i - 1, i, NEAR * (SIBLING if apart <= 2 else 1.0) / (1 + 0.5 * max(0, apart - 2))))
+                if last.get(parent, i) < i - 1:
+                    out.append((last[parent], i, FAR))
+            last[parent] = i
+        return out
+
+    def features(self) -> np.ndarray:
+        """A row for each block, see PRIOR."""
+        rows = []
+        for t, l, tag in zip(self.texts, self.linked, self.tag, strict=True):
+            n = t.count(" ") + 1
+            rows.append((1, n >= 8, n >= 25, t[-1] in ".!?…\"'”»。", l, tag == "p", tag[:1] == "h" and tag[1:].isdigit(), tag in ("li", "dd", "dt"), tag in ("td", "th")))
+        return np.array(rows, float).reshape(-1, len(PRIOR))
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -223,43 +349,80 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
             at = to[e]
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page, its blocks in page order joined by a space; empty for a null or empty page."""
-    found = blocks(page or "")
-    if not found:
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
+    """The article of a page, its blocks in page order joined by a space; empty for a null or empty page.
+
+    A page on which no element speaks of boilerplate is taken whole. Where the cut leaves nothing, what no element speaks
+    against is taken, unless it is mostly links.
+    """
+    x = Page(page or "")
+    if not x.texts:
         return ""
-    structured = any(e >= 2.5 for _, e, _, _ in found)
-    scores = [score(t, e, l, structured and e < 1.0) for t, e, l, _ in found]
-    edges = []
-    last: dict[int, int] = {}  # the last block below each element
-    for i, (_, _, _, path) in enumerate(found):
-        if i:
-            before = found[i - 1][3]
-            same = sum(1 for a, b in zip(before, path) if a == b)
-            apart = len(before) + len(path) - 2 * same
-            edges.append((i - 1, i, NEAR * (SIBLING if apart <= 2 else 1.0) / (1 + 0.5 * max(0, apart - 2))))
-            parent = path[-2] if len(path) > 1 else -1
-            if parent in last and last[parent] < i - 1:
-                edges.append((last[parent], i, FAR))
-        for x in path:
-            last[x] = i
-    keep = min_cut([max(s, 0.0) for s in scores], [max(-s, 0.0) for s in scores], edges)
-    return " ".join(t for (t, _, _, _), k in zip(found, keep, strict=True) if k)
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    for batch in batches:
-        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-            texts = [main_text(x) for x in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
+    evidence, inside = x.evidence()
+    if min(evidence) >= 0 and max(x.linked) < 0.5:
+        return " ".join(x.texts)
+    # where the page marks its article, what lies outside of it has to make its own case
+    scores = [e + s - (1.5 if i < 0 and e < 1.0 else 0.0) for e, s, i in zip(evidence, x.features() @ weights, inside, strict=True)]
+    keep = min_cut([max(s, 0.0) for s in scores], [max(-s, 0.0) for s in scores], x.edges())
+    if not any(keep):
+        keep = [e >= 0 and l < 0.5 for e, l in zip(evidence, x.linked, strict=True)]
+    return " ".join(t for t, k in zip(x.texts, keep, strict=True) if k)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def fit(x: np.ndarray, y: np.ndarray, weight: float = WEIGHT, steps: int = 30) -> np.ndarray:
+    """Weights of a logistic regression with a normal prior around PRIOR; both classes count alike. Newton's method."""
+    w = PRIOR.copy()
+    if not len(y) or y.min() == y.max():
+        return w
+    each = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        grad = x.T @ (each * (p - y)) + weight * (w - PRIOR)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + weight * np.eye(len(w)), grad)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def train(pages: DataFrame, most: int = PAGES) -> np.ndarray:
+    """Text weights from at most `most` pages: blocks in the article are content, those that elements speak against are not.
+
+    Pages are chosen by a hash of url and page_id, equal ones once. Without such blocks of both kinds the weights are PRIOR.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs, ys = [], []
+            for html in batch.column(0):
+                page = Page(html.as_py() or "")
+                evidence, inside = page.evidence()
+                y = np.array([1 if i > 0 and e >= BODY else 0 if e <= -3 else -1 for e, i in zip(evidence, inside, strict=True)], np.int8)[:PAGE_BLOCKS]
+                xs.append(page.features()[:PAGE_BLOCKS].astype(np.float32)[y >= 0].tobytes())
+                ys.append(y[y >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
+
+    x = pages.select("html", F.xxhash64("url", "page_id").alias("h"), F.xxhash64("html").alias("g"))
+    some = x.join(F.broadcast(x.select("h", "g").distinct().orderBy("h", "g").limit(most)), ["h", "g"]).dropDuplicates(["h", "g"])
+    got = sorted((bytes(r["y"]), bytes(r["x"])) for r in some.select("html").mapInArrow(rows, "x binary, y binary").collect())
+    x = np.concatenate([np.frombuffer(b, np.float32).reshape(-1, len(PRIOR)) for _, b in got] or [np.zeros((0, len(PRIOR)))]).astype(float)
+    return fit(x, np.concatenate([np.frombuffer(a, np.int8) for a, _ in got] or [np.zeros(0)]).astype(float))
+
+
+def extract(pages: DataFrame, most: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of pages (page_id, url, html).
 
     Other columns are ignored. A null or empty html has the empty text, and so has a page that is all boilerplate;
-    null ids and urls stay null, repeated rows stay, and an empty table gives an empty result. Row by row,
-    without a shuffle; memory follows the longest page.
+    null ids and urls stay null, repeated rows stay, and an empty table gives an empty result. The classifier is fitted on
+    at most `most` pages; all pages are then read row by row, without a shuffle; memory follows the longest page.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    weights = train(pages, most)
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                texts = [main_text(x.as_py(), weights) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
