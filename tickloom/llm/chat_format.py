@@ -3,7 +3,8 @@ r"""Conversations as training strings with typed content parts and a loss mask.
 A turn is an ordered array of parts: text, image, audio or document. Text is escaped, other parts become
 placeholders; what they refer to and how many tokens they expand to is recorded in the same order. A turn
 reads <|im_start|>role\nbody<|im_end|>\n. Inside roles and texts "&", "<" and "[" are written as & and a
-digit, so no text can hold a control string of this or of an [INST] template, and the writing is reversible.
+digit, so no text can hold a control string of this or of an [INST] template, and the writing is reversible:
+a placeholder is the only "<" that stands in a body as it is, so parts are told apart before texts are unescaped.
 Built-in expressions only; one shuffle by conversation.
 """
 
@@ -81,13 +82,23 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def parse_chat(chats: DataFrame) -> DataFrame:
-    """Adds `turns` (role, text) and `loss_text`, read back from formatted and loss_spans alone."""
+    """Adds `turns` (role, text, parts) and `loss_text`, read back from formatted and loss_spans alone.
+
+    parts: (type, text) in order, text being null for other types than text; empty texts leave no part. The nth part of
+    another type in a conversation is the nth of `attachments`. `text` joins a turn's parts, placeholders included.
+    """
     pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
+    kinds = "|".join(TOKENS)
+
+    def part(p: Column) -> Column:
+        kind = F.regexp_extract(p, rf"^<\|({kinds})\|>$", 1)
+        return F.struct(F.when(kind == "", "text").otherwise(kind).alias("type"), F.when(kind == "", unescape(p)).alias("text"))
 
     def turn(p: Column) -> Column:
         rest = F.substring(p, len(START) + 1, 1 << 30)
         role = F.substring_index(rest, "\n", 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substr(rest, F.length(role) + 2)).alias("text"))
+        body = F.substr(rest, F.length(role) + 2)
+        return F.struct(unescape(role).alias("role"), unescape(body).alias("text"), F.transform(F.filter(F.split(body, rf"(?=<\|)|(?<=<\|(?:{kinds})\|>)"), lambda x: x != ""), part).alias("parts"))
 
     loss = F.transform("loss_spans", lambda s: F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))
     return chats.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", unescape(F.array_join(loss, "")))
