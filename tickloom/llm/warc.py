@@ -1,10 +1,12 @@
 """WARC archives of pages with a two-level capture index.
 
 Tasks write one gzip member per record into archive files in the shared folder. The capture index has a
-line per record, ordered by URL key with the host reversed, in compressed blocks; a sparse directory keeps the
-first and last key and the place of each block. A lookup bisects the directory, reads one block by range,
-bisects its lines and reads only the records that it wants. File names carry the task attempt and
-are passed on in written tables, so a repeated task never mixes with an earlier one.
+line per record, ordered by URL key with the host reversed and page_id, in compressed blocks. Next to each
+index file lies its sparse directory: the first line's key and the place of each block; a table names the files with
+their first and last keys. A lookup bisects the files, then the directory, reads one block by range, bisects its lines
+and reads only the records that it wants. Reading an archive back is a lookup of every capture in key order, so a
+task decompresses each block once. File names carry the task attempt and are passed on in written tables, so a repeated
+task never mixes with an earlier one.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import new_dir, written
+from .skew import lookup
+from .store import new_dir, numbered, sized, written
 
 BLOCK_LINES = 256
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CAPTURES = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first string, last string, file string, offset long, length long, lines int"
+CAPTURES = "order string, file string, offset long, length long"
+FILES = "first string, last string, file string, blocks int"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -36,7 +39,7 @@ def url_key(url: str | None) -> str:
     """com,example,www)/path?query for http://www.example.com/path?query; host lower-cased, port kept, fragment dropped."""
     try:
         u = urlsplit((url or "").strip())
-        host = u.netloc.rpartition("@")[2].lower()
+        host = quote(u.netloc.rpartition("@")[2].lower(), safe="[]:!$&'()*+,;=~")
     except ValueError:
         return ")" + quote(url or "", safe="/?=&%:")
     name, colon, port = host.partition(":")
@@ -81,6 +84,8 @@ def _name(kind: str) -> str:
 
 
 def _write(folder: str):
+    schema = pa.schema([("order", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, at, file = None, 0, _name("pages") + ".warc.gz"
         for batch in batches:
@@ -88,101 +93,146 @@ def _write(folder: str):
                 fs, path = pa.fs.FileSystem.from_uri(folder)
                 out = fs.open_output_stream(f"{path}/{file}", compression=None)
             rows = []
-            for page_id, url, html, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = (html or "").encode()
+            for page_id, url, html, refers_to in zip(*map(iter, batch.columns), strict=True):
+                page_id, url, refers_to = page_id.as_py(), url.as_py(), refers_to.as_py()
+                payload = (html.as_py() or "").encode()
                 member = gzip.compress(record(page_id, url, payload, digest(payload), refers_to), 6, mtime=0)
                 out.write(member)
-                rows.append((url_key(url), page_id, file, at, len(member)))
+                rows.append({"order": _sort_key(url_key(url), page_id), "file": file, "offset": at, "length": len(member)})
                 at += len(member)
             if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(("key", "page_id", "file", "offset", "length"), r, strict=True)) for r in rows], pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
+                yield pa.RecordBatch.from_pylist(rows, schema)
         if out is not None:
             out.close()
 
     return run
 
 
+def _sort_key(key: str, page_id: int | None) -> str:
+    """A string that orders lines as (key, page_id) does, null first; no key holds a tab."""
+    return f"{key}\t" if page_id is None else f"{key}\t{page_id + (1 << 63):020d}"
+
+
 def _index(folder: str, block_lines: int):
-    schema = pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("lines", pa.int32())])
+    """Writes sorted lines (order, file, offset, length) as blocks and their directory; a row for each index file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, file, lines = None, 0, _name("captures") + ".gz", []
+        out, at, file, lines, blocks, last = None, 0, _name("captures"), [], [], ""
 
-        def flush():
-            nonlocal at, lines
-            part, lines = lines[:block_lines], lines[block_lines:]
-            data = zlib.compress("\n".join("\t".join(map(str, x)) for x in part).encode(), 6)
+        def flush(n: int):
+            nonlocal at, lines, last
+            part, lines = lines[:n], lines[n:]
+            data = zlib.compress("\n".join("\x01".join(map(str, x)) for x in part).encode(), 6)
             out.write(data)
-            row = {"first": part[0][0], "last": part[-1][0], "file": file, "offset": at, "length": len(data), "lines": len(part)}
-            at += len(data)
-            return row
+            blocks.append(f"{part[0][0]}\x01{at}\x01{len(data)}")
+            at, last = at + len(data), part[-1][0]
 
+        fs, path = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
             if out is None:
-                fs, path = pa.fs.FileSystem.from_uri(folder)
-                out = fs.open_output_stream(f"{path}/{file}", compression=None)
-            lines += zip(*(["" if v is None else v for v in batch.column(i).to_pylist()] for i in range(5)), strict=True)
-            rows = []
+                out = fs.open_output_stream(f"{path}/{file}.idx", compression=None)
+            lines += zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
             while len(lines) >= block_lines:
-                rows.append(flush())
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                flush(block_lines)
         if lines:
-            yield pa.RecordBatch.from_pylist([flush()], schema)
+            flush(len(lines))
         if out is not None:
             out.close()
+        if blocks:
+            with fs.open_output_stream(f"{path}/{file}.dir", compression=None) as d:
+                d.write(zlib.compress("\n".join(blocks).encode(), 6))
+            first = blocks[0].split("\x01")[0]
+            yield pa.RecordBatch.from_pylist([{"first": first, "last": last, "file": file, "blocks": len(blocks)}], pa.schema([("first", pa.string()), ("last", pa.string()), ("file", pa.string()), ("blocks", pa.int32())]))
 
     return run
 
 
-def _fetch(folder: str, keys: list[str] | None, with_payload: bool):
+class _Reader:
+    """Looks captures up in an archive; keeps one directory and one block, which suits sorted requests."""
+
+    def __init__(self, folder: str, files: list[tuple[str, str, str]]):
+        self.fs, self.path = pa.fs.FileSystem.from_uri(folder)
+        self.files, self.lasts = files, [last for _, last, _ in files]
+        self.handles: dict[str, pa.NativeFile] = {}
+        self.held: dict[str, tuple] = {}
+
+    def read(self, file: str, at: int, n: int) -> bytes:
+        if file not in self.handles:
+            if len(self.handles) >= 32:
+                self.handles.pop(next(iter(self.handles))).close()
+            self.handles[file] = self.fs.open_input_file(f"{self.path}/{file}")
+        return self.handles[file].read_at(n, at)
+
+    def directory(self, file: str) -> tuple[list[str], list[tuple[int, int]]]:
+        """First orders and places of a file's blocks."""
+        if self.held.get("dir", ("",))[0] != file:
+            with self.fs.open_input_stream(f"{self.path}/{file}.dir", compression=None) as d:
+                rows = [x.split("\x01") for x in zlib.decompress(d.read()).decode().split("\n")]
+            self.held["dir"] = (file, [x[0] for x in rows], [(int(x[1]), int(x[2])) for x in rows])
+        return self.held["dir"][1:]
+
+    def block(self, file: str, at: int, n: int) -> tuple[list[str], list[list[str]]]:
+        """Orders and lines of a block."""
+        if self.held.get("block", ("", 0))[:2] != (file, at):
+            lines = [x.split("\x01") for x in zlib.decompress(self.read(f"{file}.idx", at, n)).decode().split("\n")]
+            self.held["block"] = (file, at, [x[0] for x in lines], lines)
+        return self.held["block"][2:]
+
+    def find(self, low: str, high: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the records with low <= order < high, by binary search on all three levels."""
+        for f in range(bisect.bisect_left(self.lasts, low), len(self.files)):
+            first, _, file = self.files[f]
+            if first >= high:
+                return
+            firsts, places = self.directory(file)
+            for b in range(max(0, bisect.bisect_left(firsts, low) - 1), bisect.bisect_left(firsts, high)):
+                orders, lines = self.block(file, *places[b])
+                for x in lines[bisect.bisect_left(orders, low) : bisect.bisect_left(orders, high)]:
+                    yield x[1], int(x[2]), int(x[3])
+
+
+def _fetch(folder: str, files, with_payload: bool):
+    """Of (low, high), sorted: the records in each range of orders."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pa.fs.FileSystem.from_uri(folder)
-        handles: dict[str, pa.NativeFile] = {}
-
-        def read(file: str, at: int, n: int) -> bytes:
-            if file not in handles:
-                if len(handles) >= 32:
-                    handles.pop(next(iter(handles))).close()
-                handles[file] = fs.open_input_file(f"{path}/{file}")
-            return handles[file].read_at(n, at)
-
+        reader = _Reader(folder, files.value)
+        rows, held = [], 0
         for batch in batches:
-            for block in batch.to_pylist():
-                wanted = keys
-                if keys is not None:
-                    wanted = keys[bisect.bisect_left(keys, block["first"]) : bisect.bisect_right(keys, block["last"])]
-                    if not wanted:
-                        continue
-                lines = [x.split("\t") for x in zlib.decompress(read(block["file"], block["offset"], block["length"])).decode().split("\n")]
-                if wanted is not None:
-                    names = [x[0] for x in lines]
-                    lines = [lines[i] for key in wanted for i in range(bisect.bisect_left(names, key), bisect.bisect_right(names, key))]
-                rows = []
-                for _, _, file, at, n in sorted(lines, key=lambda x: (x[2], int(x[3]))):
-                    got = parse(gzip.decompress(read(file, int(at), int(n))))
+            for low, high in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for file, at, n in reader.find(low, high):
+                    got = parse(gzip.decompress(reader.read(file, at, n)))
                     rows.append(dict(zip(schema.names, got if with_payload else (*got[:2], None, *got[3:]), strict=True)))
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    held += n if with_payload else 64
+                    if held > 1 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
 
 class Archive:
-    """An archive in `folder`: its `directory` is a table of the blocks of the capture index."""
+    """An archive in `folder`. files: a table of the index files, one row each; captures: (order, file, offset, length) of all records."""
+
+    def __init__(self, spark: SparkSession, folder: str, files: DataFrame, captures: DataFrame):
+        self.spark, self.folder, self.files, self.captures = spark, folder, files, captures
 
-    def __init__(self, spark: SparkSession, folder: str, directory: DataFrame):
-        self.spark, self.folder, self.directory = spark, folder, directory
+    def _find(self, ranges: DataFrame, with_payload: bool) -> DataFrame:
+        # one short row per index file, as many as the tasks that wrote the index
+        files = self.spark.sparkContext.broadcast(sorted((r["first"], r["last"], r["file"]) for r in self.files.collect()))
+        return ranges.mapInArrow(_fetch(self.folder, files, with_payload), RECORDS)
 
     def read(self, with_payload: bool = False) -> DataFrame:
-        """All records, by way of the index; payload is null for revisits, and for all rows without with_payload."""
-        n = max(8, self.spark.sparkContext.defaultParallelism * 2)
-        return self.directory.repartition(n).mapInArrow(_fetch(self.folder, None, with_payload), RECORDS)
+        """All records, each looked up by its key and page_id; payload is null for revisits, and for all rows without with_payload."""
+        low = self.captures.select("order").distinct().repartitionByRange("order").sortWithinPartitions("order")
+        return self._find(low.select("order", F.concat("order", F.lit("\x02")).alias("high")), with_payload)
 
     def lookup(self, urls: list[str]) -> DataFrame:
-        """The records of a stated list of URLs, with payloads. Blocks that can't hold one are not read."""
-        return self.directory.mapInArrow(_fetch(self.folder, sorted({url_key(u) for u in urls}), True), RECORDS)
+        """The records of a stated list of URLs, with payloads."""
+        keys = sorted({url_key(u) for u in urls})
+        return self._find(self.spark.createDataFrame([(f"{k}\t", f"{k}\n") for k in keys], "low string, high string"), True)
 
 
 def write_archive(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK_LINES) -> Archive:
@@ -197,12 +247,13 @@ def write_archive(pages: DataFrame, min_bytes: int = 0, block_lines: int = BLOCK
     folder = new_dir(spark, "archive")
     fs, path = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    html = F.coalesce("html", F.lit(""))
-    x = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
-    best = x.groupBy("sha1").agg(F.max("page_id").alias("best"))
-    x = x.join(best, "sha1")
-    other = (F.octet_length("html") >= min_bytes) & F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("page_id"))
-    x = x.select("page_id", "url", "html", F.when(other, F.col("best")).alias("refers_to"))
+    x = numbered(pages, "row", ["page_id", "url", "html"]).withColumn("html", F.coalesce("html", F.lit("")))
+    sums = written(x.select("row", "page_id", F.octet_length("html").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sha1")), "digests")
+    best = sums.groupBy("sha1").agg(F.count("*").alias("c"), F.max("page_id").alias("best")).where("c > 1")
+    refers = lookup(sums, best, ["sha1"], sums.count(), F.col("row"))
+    other = (F.col("size") >= min_bytes) & F.col("best").isNotNull() & ~F.col("best").eqNullSafe(F.col("page_id"))
+    refers = written(refers.where(other).select("row", F.col("best").alias("refers_to")), "refers")
+    x = x.join(sized(refers), "row", "left").select("page_id", "url", "html", "refers_to")
     captures = written(x.mapInArrow(_write(folder), CAPTURES), "captures")
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return Archive(spark, folder, written(ordered.mapInArrow(_index(folder, block_lines), DIRECTORY), "directory"))
+    ordered = captures.repartitionByRange("order").sortWithinPartitions("order")
+    return Archive(spark, folder, written(ordered.mapInArrow(_index(folder, block_lines), FILES), "files"), captures)
