@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tickloom.llm import toxicity
 from tickloom.llm.decontaminate import clean
 from tickloom.llm.mixing import mix
-from tickloom.llm.ngram_join import ngram_components
+from tickloom.llm.ngram_join import row_components, sketch_bits
 from tickloom.llm.sharding import shard
-from tickloom.llm.store import numbered, written
+from tickloom.llm.store import numbered, sized, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     goes before rows without, and of equal ids the first row stays. Texts without words have no copies and stay.
     """
     rows = numbered(docs, "_row")
-    groups = ngram_components(rows.select(F.col("_row").alias("doc_id"), "text"), k=5, num=80, den=100)
-    groups = groups.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).join(rows.select("_row", "doc_id"), "_row")
-    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"))
-    copies = written(groups.join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti").select("_row"), "copies")
-    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
+    groups = row_components(rows.select(F.col("_row").alias("row"), "text", "doc_id"), k=5, num=80, den=100, bits=sketch_bits(docs))
+    groups = written(groups.select("row", "component", "doc_id"), "groups")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    copies = written(groups.join(first.select(F.col("first.row").alias("row")), "row", "left_anti").select(F.col("row").alias("_row")), "copies")
+    return rows.join(sized(copies), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = numbered(docs, "_row")
     drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=("_row",))
-    times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias("times")
-    x = rows.join(drawn.select("_row", times).where("times > 0"), "_row")
-    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
+    times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias("_times")
+    drawn = written(drawn.select("_row", times).where("_times > 0"), "times")
+    x = rows.join(sized(drawn), "_row")
+    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
