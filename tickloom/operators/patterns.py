@@ -22,7 +22,7 @@ HARMONICS = {
 }
 
 
-def confirmation(x: DataFrame, n: int = 20, factor: float = 0.5) -> DataFrame:
+def confirmation(x: DataFrame, n: int = 20, factor: float = 2.0) -> DataFrame:
     """Adds confirmation: how far volume and range lie above their n-bar means, squashed."""
     x = x.withColumn("_w", col("high") - col("low"))
     return x.withColumn("confirmation", F.tanh((_above("volume", n) + _above("_w", n)) * factor)).drop("_w")

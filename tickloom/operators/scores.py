@@ -1,4 +1,4 @@
-"""Signal scores per bar, each limited to [-1, 1].
+"""Signal scores per bar, each limited to [-1, 1].
 
 A score is a weighted sum of parts. Look-backs of d bars compare with the bar d - 1 before. A part whose
 divisor is 0 or that lacks history makes the score null.
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.rolling import clamp, col, lag, ratio, sma, squash
+from . import recursive
 
 # Weights and scales of the scores.
 TREND = {"ma": 0.25, "ichimoku": 0.25, "dmi": 0.20, "psar": 0.15, "bands": 0.15}
@@ -176,33 +177,27 @@ def family(weights: dict[str, float], columns: dict[str, str]) -> Column:
     return weighted([(w, col(columns[n])) for n, w in weights.items()])
 
 
-def candles() -> dict[str, Column]:
-    """Shapes of one candle and of two in a row, as 1 (bullish), -1 (bearish) or 0."""
-    o, h, l, c = (col(n) for n in ("open", "high", "low", "close"))
-    body, span = F.abs(c - o), h - l
-    up, down = h - F.greatest(o, c), F.least(o, c) - l
-    po, pc = lag("open"), lag("close")
-    engulf = F.when((pc < po) & (c > o) & (o <= pc) & (c >= po), 1).when((pc > po) & (c < o) & (o >= pc) & (c <= po), -1).otherwise(0)
-    inside = (F.greatest(o, c) < F.greatest(po, pc)) & (F.least(o, c) > F.least(po, pc))
-    return {
-        "doji": (F.coalesce(ratio(body, span), F.lit(1.0)) <= 0.1).cast("int"),
-        "hammer": F.when((body > 0) & (down >= 2 * body) & (up <= 0.5 * body), 1).otherwise(0),
-        "shooting_star": F.when((body > 0) & (up >= 2 * body) & (down <= 0.5 * body), -1).otherwise(0),
-        "engulfing": engulf,
-        "harami": F.when(inside & (pc < po) & (c > o), 1).when(inside & (pc > po) & (c < o), -1).otherwise(0),
-    }
-
-
-def zones() -> dict[str, Column]:
-    """Classes of rsi, adx, band place and trend consistency (columns rsi, adx, bb_pos, sma_5, sma_10, sma_20)."""
-    r, a, b = col("rsi"), col("adx"), col("bb_pos")
-    up, down = (col("sma_5") > col("sma_10")) & (col("sma_10") > col("sma_20")), (col("sma_5") < col("sma_10")) & (col("sma_10") < col("sma_20"))
-    return {
-        "rsi_zone": F.when(r.isNull(), None).when(r >= 70, "overbought").when(r <= 30, "oversold").when(r >= 50, "bullish").otherwise("bearish"),
-        "adx_class": F.when(a.isNull(), None).when(a >= 50, "very_strong").when(a >= 25, "strong").otherwise("weak"),
-        "band_zone": F.when(b.isNull(), None).when(b > 1, "above").when(b < 0, "below").otherwise("inside"),
-        "trend": F.when(up, 1).when(down, -1).when(col("sma_20").isNotNull(), 0),
-    }
+def classes(x: DataFrame) -> DataFrame:
+    """Adds rsi_zone (2 to -2, from rsi), band_zone (2 above the upper band, 1 above the middle, mirrored below), trend
+    (1 if the price lies above the means of 10, 20 and 50 bars and these fall in this order, -1 mirrored) and level_event
+    (1 breakout or bounce, -1 breakdown or rejection at the high and low of 10 bars), each 0 otherwise."""
+    c, p, r = col("close"), lag("close"), col("rsi")
+    m, d = sma("close", 20), R.std("close", 20)
+    a, b, e = sma("close", 10), sma("close", 20), sma("close", 50)
+    hi, lo = R.highest("high", 10), R.lowest("low", 10)
+    near_hi, near_lo = F.abs(ratio(hi - c, hi)) < 0.01, F.abs(ratio(c - lo, c)) < 0.01
+    event = F.when((c > hi) & (p < hi), 1).when((c < lo) & (p > lo), -1).when(near_hi & (c < p), -1).when(near_lo & (c > p), 1).otherwise(0)
+    return x.withColumns({
+        "rsi_zone": F.when(r > 70, 2).when(r > 60, 1).when(r < 30, -2).when(r < 40, -1).otherwise(0),
+        "band_zone": F.when(c > m + 2 * d, 2).when(c > m, 1).when(c < m - 2 * d, -2).when(c < m, -1).otherwise(0),
+        "trend": F.when((c > a) & (c > b) & (c > e) & (a > b) & (b > e), 1).when((c < a) & (c < b) & (c < e) & (a < b) & (b < e), -1).otherwise(0),
+        "level_event": event,
+    })
+
+
+def adx_class(c: str = "adx") -> Column:
+    """2 very strong, 1 strong, -1 weak, 0 between."""
+    return F.when(col(c) > 40, 2).when(col(c) > 25, 1).when(col(c) < 15, -1).otherwise(0)
 
 
 def volatility_class(x: DataFrame, c: str = "vol") -> DataFrame:
@@ -279,53 +274,68 @@ def garch_score(x: DataFrame, persistence: int = 60) -> DataFrame:
 def parkinson_score(x: DataFrame) -> DataFrame:
     """Adds parkinson_score: trend of the range volatility, expansion, place of the range among the symbol's ranges so far, lengths.
 
-    The place counts ranges up to the bar, which at the last bar is all of them.
+    The place counts all ranges up to the bar, so that the last bar's is its place in the whole history.
     """
     import math
 
     k = 1 / math.sqrt(4 * math.log(2))
     x = x.withColumns({"_p": F.when((col("high") > 0) & (col("low") > 0), k * F.abs(F.ln(col("high") / col("low")))), "_w": col("high") - col("low")})
-    x = x.withColumn("_k", F.array_sort(F.collect_list("_w").over(R.frame(252))))
-    place = F.size(F.filter("_k", lambda v: v <= col("_w"))) / F.size("_k")
+    x = recursive.per_symbol(x, ["_k"], lambda p: {"_k": recursive.rank_so_far(p["_w"].to_numpy(float))})
+    place = col("_k")
     lengths = sum((w * squash(_above("_p", n), 0.5) for n, w in list(PARKINSON.items())[1:]), PARKINSON[5] * squash(_above("_p", 5), 0.5))
     score = weighted([(0.35, squash(_above("_p", 21), 0.5)), (0.25, squash(_above("_w", 10), 0.5)), (0.2, (place - 0.5) * 2), (0.2, lengths)])
     return x.withColumn("parkinson_score", score).drop("_p", "_w", "_k")
 
 
-def three_candles() -> dict[str, Column]:
-    """Shapes of three candles in a row, as 1, -1 or 0."""
-    o, c = col("open"), col("close")
-    o1, c1, o2, c2 = lag("open"), lag("close"), lag("open", 2), lag("close", 2)
-    small = F.abs(c1 - o1) < 0.5 * F.abs(c2 - o2)
-    return {
-        "star": F.when((c2 < o2) & small & (c > o) & (c > (o2 + c2) / 2), 1).when((c2 > o2) & small & (c < o) & (c < (o2 + c2) / 2), -1).otherwise(0),
-        "soldiers": F.when((c2 > o2) & (c1 > o1) & (c > o) & (c1 > c2) & (c > c1), 1).when((c2 < o2) & (c1 < o1) & (c < o) & (c1 < c2) & (c < c1), -1).otherwise(0),
-    }
+#: Fixed value: bars over which the weight of a touch falls to 1 / e. Weights are whole multiples of 1e-12, so that sums are exact.
+DECAY, UNIT = 100.0, 10**12
 
 
 def levels(bars: DataFrame, bins: int = 1000, touches: int = 3, keep: int = 5) -> DataFrame:
-    """Per symbol the strongest price bins (of 1 / bins of its range) that at least `touches` bars cover, newer bars weighing more.
+    """Per symbol the strongest price bins (of 1 / bins of its range) that at least `touches` bars reach into.
 
-    A bar is exploded to the bins that it covers, and bins are counted by partial sums.
+    The strength is the number of touches times the sum of their weights, which fall with the bar's place in the
+    history, exp(-place / DECAY), as in the rule that this follows. A bar gives two rows, one where its bins begin and one after
+    they end; running sums over the bins, 1 / bins of the range each, give the counts.
     """
-    ends = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"), F.count("*").alias("_n"))
-    x = bars.withColumn("_i", F.row_number().over(R.ordered())).join(ends, "symbol").where("_hi > _lo")
+    ends = bars.groupBy("symbol").agg(F.min("low").alias("_lo"), F.max("high").alias("_hi"))
+    x = bars.withColumn("_i", F.row_number().over(R.ordered()) - 1).join(ends.where("_hi > _lo"), "symbol")
     step = (F.col("_hi") - F.col("_lo")) / bins
-    at = lambda c: F.least(F.floor((F.col(c) - F.col("_lo")) / step), F.lit(bins - 1))
-    x = x.select("symbol", "_lo", "_hi", (F.col("_i") / F.col("_n")).alias("_w"), F.explode(F.sequence(at("low"), at("high"))).alias("bin"))
-    g = x.groupBy("symbol", "bin").agg(F.count("*").alias("touches"), F.sum("_w").alias("strength"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi")).where(F.col("touches") >= touches)
+    x = x.withColumns({"_a": F.floor((F.col("low") - F.col("_lo")) / step), "_b": F.ceil((F.col("high") - F.col("_lo")) / step), "_w": F.floor(F.exp(-F.col("_i") / DECAY) * UNIT)})
+    x = x.where("_b > _a").select("symbol", F.inline(F.array(F.struct(F.col("_a").alias("bin"), F.lit(1).alias("n"), F.col("_w").alias("w")), F.struct(F.col("_b").alias("bin"), F.lit(-1).alias("n"), (-F.col("_w")).alias("w")))))
+    x = x.groupBy("symbol", "bin").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    every = ends.where("_hi > _lo").select("symbol", "_lo", "_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    run = Window.partitionBy("symbol").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    g = every.join(x, ["symbol", "bin"], "left").select("symbol", "bin", "_lo", "_hi", F.sum(F.coalesce("n", F.lit(0))).over(run).alias("touches"), F.sum(F.coalesce("w", F.lit(0))).over(run).alias("_w"))
+    g = g.where(F.col("touches") >= touches).withColumn("strength", F.col("touches") * F.col("_w") / UNIT)
     w = Window.partitionBy("symbol").orderBy(F.desc("strength"), "bin")
     g = g.withColumns({"rank": F.row_number().over(w), "price": F.col("_lo") + (F.col("bin") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins})
     return g.where(F.col("rank") <= keep).select("symbol", "rank", "bin", "price", "touches", "strength")
 
 
-def trendline(x: DataFrame, n: int = 20) -> DataFrame:
-    """Adds slopes of the rolling highs and lows and trend_break: 1 above the last channel, -1 below, 0 inside."""
-    x = x.withColumns({"_h": R.highest("high", 5), "_l": R.lowest("low", 5), "_n": F.row_number().over(R.ordered()).cast("double")})
-    w = R.frame(n)
-    s = lambda c: F.when(F.count(c).over(w) == n, F.regr_slope(c, "_n").over(w))
-    x = x.withColumns({"high_slope": s("_h"), "low_slope": s("_l"), "trend_break": F.when(lag("_h").isNull(), None).when(col("close") > lag("_h"), 1).when(col("close") < lag("_l"), -1).otherwise(0)})
-    return x.drop("_h", "_l", "_n")
+def level_signal(bars: DataFrame, found: DataFrame, near: float = 10.0, factor: float = 2.0) -> DataFrame:
+    """Per symbol the pull of its levels on the last close: against the side that it is on, the more the nearer and the stronger."""
+    last = bars.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
+    d = ratio(F.col("close") - F.col("price"), F.col("price"))
+    x = last.join(found, "symbol", "left").groupBy("symbol").agg(F.sum(-F.signum(d) * F.exp(-F.abs(d) * near) * F.col("strength")).alias("_s"), F.sum("strength").alias("_t"))
+    return x.select("symbol", F.coalesce(F.tanh(ratio(F.col("_s"), F.col("_t")) * factor), F.lit(0.0)).alias("level_signal"))
+
+
+def trendline(x: DataFrame, n: int = 20, least: float = 1e-4, near: float = 0.02, test: float = 0.5, factor: float = 2.0) -> DataFrame:
+    """Adds slopes of the rolling maximum and minimum of close over the bars so far, and trend_signal.
+
+    The line's level is the last extreme plus the slope. A price within `near` of it tests it and counts `test` in the
+    slope's direction; one beyond it counts 1, against the slope if above. A slope below `least` counts nothing.
+    """
+    w, so_far = R.ordered().rowsBetween(-n, 0), R.ordered().rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_h": F.max("close").over(w), "_l": F.min("close").over(w), "_n": F.row_number().over(R.ordered()).cast("double")})
+    x = x.withColumns({"high_slope": F.coalesce(F.regr_slope("_h", "_n").over(so_far), F.lit(0.0)), "low_slope": F.coalesce(F.regr_slope("_l", "_n").over(so_far), F.lit(0.0))})
+
+    def signal(level: str, slope: str) -> Column:
+        d = ratio(col("close") - (col(level) + col(slope)), col(level) + col(slope))
+        return F.when(F.abs(col(slope)) < least, 0.0).when(F.abs(d) < near, F.signum(slope) * test).otherwise(-F.signum(d) * F.signum(slope))
+
+    return x.withColumn("trend_signal", F.tanh((signal("_h", "high_slope") + signal("_l", "low_slope")) * factor)).drop("_h", "_l", "_n")
 
 
 def yang_zhang_score(x: DataFrame, k: float = 0.34) -> DataFrame:
@@ -351,6 +361,39 @@ def blend(columns: dict[str, str]) -> Column:
     return family(BLEND, columns)
 
 
+# Weights of the volume patterns.
+VOLUME = {"volume_trend": 0.30, "price_volume": 0.25, "volume_burst": 0.25, "accumulation": 0.20}
+
+
+def _diverging(price: Column, other: Column, down: float, limit: float, scale: float) -> Column:
+    """Where price moved by more than the limit and the other went the other way: twice the other, with `down` as its sign
+    when price rose; else the squashed other."""
+    return F.when(price.isNull() | other.isNull(), None).when((price < -limit) & (other > 0), other * 2).when((price > limit) & (other < 0), down * other * 2).otherwise(F.tanh(other * scale))
+
+
+def volume_score(x: DataFrame) -> DataFrame:
+    """Adds volume_trend, price_volume, volume_burst, accumulation and volume_score, their limited weighted sum.
+
+    Trend: 5 over 20 bars of volume against price. Price-volume: correlation of their changes over 20 bars, negative is bullish,
+    and the side of the mean product over 10. Burst: z-score of volume in the direction of 5 bars, against it
+    above 3. Accumulation: 5 over 20 bars of the accumulation line against the price 19 bars before.
+    """
+    x = x.withColumns({"_pc": R.ret(), "_vc": R.ret("volume")})
+    clv = ratio((col("close") - col("low")) - (col("high") - col("close")), col("high") - col("low"))
+    x = x.withColumns({"_f": col("_pc") * col("_vc"), "_ad": F.sum(F.coalesce(clv, F.lit(0.0)) * col("volume")).over(R.ordered().rowsBetween(Window.unboundedPreceding, 0))})
+    over = lambda c: F.when(sma(c, 20) == 0, 0.0).otherwise(ratio(sma(c, 5), sma(c, 20)) - 1)
+    both, w = F.when(col("_pc").isNotNull() & col("_vc").isNotNull(), 1), R.frame(20)
+    corr = F.when(F.count(both).over(w) == 20, F.corr("_pc", "_vc").over(w))
+    dev, m = R.std("volume", 20), R.ret("close", 5)
+    z = F.when(dev == 0, 0.0).otherwise(ratio(col("volume") - sma("volume", 20), dev))
+    burst = F.when(z.isNull() | m.isNull(), None).when((F.abs(z) > 3) & (m > 0.02), -1.0).when((F.abs(z) > 3) & (m < -0.02), 1.0).otherwise(F.tanh(z * F.signum(m) * 1.5))
+    x = x.withColumns({
+        "volume_trend": _diverging(over("close"), over("volume"), -1.0, 0.02, 2.0), "price_volume": F.tanh((-corr + F.signum(sma("_f", 10))) * 2.0), "volume_burst": burst,
+        "accumulation": _diverging(R.ret("close", 19), ratio(sma("_ad", 5), sma("_ad", 20)) - 1, 1.0, 0.02, 1.5),
+    })
+    return x.withColumn("volume_score", family(VOLUME, {c: c for c in VOLUME})).drop("_pc", "_vc", "_f", "_ad")
+
+
 def volume_divergence(n: int = 20) -> Column:
     """Direction of price over n bars where volume grew with it, half of its opposite where volume fell."""
     price, vol = change("close", n), change("volume", n)

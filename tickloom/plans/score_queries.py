@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import rolling as R
 from ..operators import indicators as I
-from ..operators import patterns, recursive, scores
-from .sql import HOURLY, lag, over, roll, rounded, select
+from ..operators import candles, patterns, recursive, scores
+from .sql import CENTS, HOURLY, lag, over, roll, rounded, select
 
 QUERIES, ORACLES = {}, {}
 
@@ -96,27 +96,98 @@ def g13_money_flow_score(s, d):
     return rounded(x.select("symbol", "ts", scores.mfi_score().alias("mfi_score")))
 
 
-_CD = HOURLY + f", c AS (SELECT *, {lag('open')} AS po, {lag('close')} AS pc, abs(close - open) AS bo, high - greatest(open, close) AS u, least(open, close) - low AS d FROM bars)"
-_IN = "greatest(open, close) < greatest(po, pc) AND least(open, close) > least(po, pc)"
+_CS = CENTS + (
+    f", c AS (SELECT *, abs(close - open) AS b, high - greatest(open, close) AS u, least(open, close) - low AS d, high - low AS r, {lag('open')} AS o1, {lag('close')} AS c1, {lag('high')} AS h1, {lag('low')} AS l1, {lag('open', 2)} AS o2, {lag('close', 2)} AS c2, {lag('high', 2)} AS h2, {lag('low', 2)} AS l2 FROM bars), "
+    f"e AS (SELECT *, {roll('avg', 'b', 20)} AS ab, {roll('avg', 'b', 5)} - {roll('avg', 'b', 20)} AS tr, {roll('avg', 'r', 20)} AS ar, {roll('avg', 'volume', 20)} AS av, abs(c1 - o1) AS b1, abs(c2 - o2) AS b2 FROM c)"
+)
 
 
-@query(
-    f"WITH {_CD} SELECT {K}, (coalesce(bo / nullif(high - low, 0), 1) <= 0.1)::INT AS doji, CASE WHEN bo > 0 AND d >= 2 * bo AND u <= 0.5 * bo THEN 1 ELSE 0 END AS hammer, CASE WHEN bo > 0 AND u >= 2 * bo AND d <= 0.5 * bo THEN -1 ELSE 0 END AS shooting_star, "
-    f"CASE WHEN pc < po AND close > open AND open <= pc AND close >= po THEN 1 WHEN pc > po AND close < open AND open >= pc AND close <= po THEN -1 ELSE 0 END AS engulfing, CASE WHEN {_IN} AND pc < po AND close > open THEN 1 WHEN {_IN} AND pc > po AND close < open THEN -1 ELSE 0 END AS harami FROM c"
-)
+def _cap(a, b):
+    return f"least(coalesce(({a}) / nullif({b}, 0), 2), 2)"
+
+
+def _both(up, down, v):
+    return f"CASE WHEN {up} THEN {v} WHEN {down} THEN -({v}) ELSE 0 END"
+
+
+_TAIL = "CASE WHEN b = 0 THEN 0 ELSE {} END"
+_UP3, _DN3 = "close > open AND close > c1", "close < open AND close < c1"
+_SHAPES = {
+    "hammer": f"CASE WHEN u <= b * 0.25 AND d >= b * 2 AND b >= ab * 0.3 THEN CASE WHEN tr < 0 THEN 1 ELSE -1 END * {_TAIL.format(_cap('d', 'b * 2'))} ELSE 0 END",
+    "shooting_star": f"CASE WHEN u >= b * 2 AND d <= b * 0.25 AND b <= ab * 0.3 AND tr > 0 THEN -{_TAIL.format(_cap('u', 'b * 2'))} ELSE 0 END",
+    "doji": "CASE WHEN b <= ab * 0.1 THEN CASE WHEN tr < 0 THEN 1 ELSE -1 END * CASE WHEN ab = 0 THEN 1 ELSE 1 - b / (ab * 0.1) END ELSE 0 END",
+    "engulfing": _both("c1 < o1 AND close > open AND open < c1 AND close > o1", "c1 > o1 AND close < open AND open > c1 AND close < o1", _cap("b", "b1")),
+    "harami": _both("c1 < o1 AND close > open AND open > c1 AND close < o1 AND b <= b1 * 0.6", "c1 > o1 AND close < open AND open < c1 AND close > o1 AND b <= b1 * 0.6", "1"),
+    "tweezer": "CASE WHEN abs(high - h1) <= ar * 0.001 AND high > low THEN -1 WHEN abs(low - l1) <= ar * 0.001 AND low < high THEN 1 ELSE 0 END",
+    "star": _both("c2 < o2 AND b1 < (b2 + b1 + b) / 3 * 0.25 AND close > open AND close > (o2 + c2) / 2", "c2 > o2 AND b1 < (b2 + b1 + b) / 3 * 0.25 AND close < open AND close < (o2 + c2) / 2", _cap("b", "b2")),
+    "soldiers": _both(
+        "c2 > o2 AND c1 > o1 AND close > open AND c1 > c2 AND close > c1 AND o1 > o2 AND open > o1 AND h2 - greatest(o2, c2) <= b2 * 0.2 AND h1 - greatest(o1, c1) <= b1 * 0.2 AND u <= b * 0.2",
+        "c2 < o2 AND c1 < o1 AND close < open AND c1 < c2 AND close < c1 AND o1 < o2 AND open < o1 AND least(o2, c2) - l2 <= b2 * 0.2 AND least(o1, c1) - l1 <= b1 * 0.2 AND d <= b * 0.2", _cap("b2 + b1 + b", "b2 * 3"),
+    ),
+    "inside": _both(f"c2 < o2 AND c1 > o1 AND b1 < b2 * 0.7 AND {_UP3}", f"c2 > o2 AND c1 < o1 AND b1 < b2 * 0.7 AND {_DN3}", _cap("b", "b2")),
+    "outside": _both(f"c2 < o2 AND c1 > o1 AND o1 < c2 AND c1 > o2 AND {_UP3}", f"c2 > o2 AND c1 < o1 AND o1 > c2 AND c1 < o2 AND {_DN3}", _cap("b", "b2")),
+}
+
+
+def _c(s, d):
+    return schema.in_cents(_b(s, d))
+
+
+@query(select(_CS, "e", K, 10, **{k: _SHAPES[k] for k in ("hammer", "shooting_star", "doji", "engulfing", "harami", "tweezer")}))
 def g19_g20_candles(s, d):
-    x = _b(s, d)
-    return x.select("symbol", "ts", *(c.alias(n) for n, c in scores.candles().items()))
+    x = candles.double(candles.single(_c(s, d)))
+    return rounded(x.select("symbol", "ts", *candles.SINGLE, *candles.DOUBLE), 10)
 
 
-_Z = HOURLY + f", z AS (SELECT symbol, ts, {roll('stddev_samp', 'close', 20)} AS vol, {roll('avg', 'close', 5)} AS a, {roll('avg', 'close', 10)} AS b, {roll('avg', 'close', 20)} AS c FROM bars), y AS (SELECT *, first_value(vol IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS f FROM z)"
+@query(select(_CS, "e", K, 10, **{k: _SHAPES[k] for k in ("star", "soldiers", "inside", "outside")}))
+def g21_three_candles(s, d):
+    return rounded(candles.triple(_c(s, d)).select("symbol", "ts", *candles.TRIPLE), 10)
 
 
-@query(f"WITH {_Z} SELECT {K}, CASE WHEN vol IS NULL THEN NULL WHEN vol < 0.5 * f THEN 'low' WHEN vol > 2 * f THEN 'high' ELSE 'normal' END AS vol_class, CASE WHEN a > b AND b > c THEN 1 WHEN a < b AND b < c THEN -1 WHEN c IS NOT NULL THEN 0 END AS trend FROM y")
+_CONF = "tanh((CASE WHEN av = 0 THEN 0 ELSE (volume - av) / av END + CASE WHEN ar = 0 THEN 0 ELSE (r - ar) / ar END) * 2)"
+_WEIGHTS = {"hammer": 0.35, "shooting_star": 0.35, "doji": 0.3, "engulfing": 0.4, "harami": 0.3, "tweezer": 0.3, "star": 0.3, "soldiers": 0.3, "inside": 0.2, "outside": 0.2}
+_PART = lambda *names: "(" + " + ".join(f"{_WEIGHTS[n]} * {n}" for n in names) + ")"
+_SCORE = f"0.25 * {_PART('hammer', 'shooting_star', 'doji')} + 0.3 * {_PART('engulfing', 'harami', 'tweezer')} + 0.3 * {_PART('star', 'soldiers', 'inside', 'outside')} + 0.15 * conf"
+
+
+@query(select(_CS + f", f AS (SELECT symbol, ts, {_CONF} AS conf, {', '.join(f'({e})::DOUBLE AS {k}' for k, e in _SHAPES.items())} FROM e)", "f", K, 5, confirmation="conf", candlestick_score=f"CASE WHEN conf IS NOT NULL THEN {cl(_SCORE)} END"))
+def g22_confirmation(s, d):
+    return rounded(candles.candlestick(_c(s, d)).select("symbol", "ts", "confirmation", "candlestick_score"), 5)
+
+
+_Z = CENTS + f", z0 AS (SELECT *, close - {lag('close')} AS dd FROM bars), z1 AS (SELECT *, CASE WHEN dd IS NOT NULL THEN greatest(dd, 0) END AS g, CASE WHEN dd IS NOT NULL THEN greatest(-dd, 0) END AS l FROM z0), z AS (SELECT *, {lag('close')} AS p, {roll('stddev_samp', 'close', 20)} AS vol, {roll('avg', 'close', 10)} AS a, {roll('avg', 'close', 20)} AS m, {roll('avg', 'close', 50)} AS e, {roll('max', 'high', 10)} AS hi, {roll('min', 'low', 10)} AS lo, {roll('avg', 'g', 14)} AS ag, {roll('avg', 'l', 14)} AS al FROM z1), y AS (SELECT *, CASE WHEN al = 0 AND ag > 0 THEN 100 ELSE 100 - 100 / (1 + ag / nullif(al, 0)) END AS rsi, first_value(vol IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS f FROM z)"
+
+
+@query(
+    f"WITH {_Z} SELECT {K}, CASE WHEN vol IS NULL THEN NULL WHEN vol < 0.5 * f THEN 'low' WHEN vol > 2 * f THEN 'high' ELSE 'normal' END AS vol_class, CASE WHEN rsi > 70 THEN 2 WHEN rsi > 60 THEN 1 WHEN rsi < 30 THEN -2 WHEN rsi < 40 THEN -1 ELSE 0 END AS rsi_zone, "
+    "CASE WHEN close > m + 2 * vol THEN 2 WHEN close > m THEN 1 WHEN close < m - 2 * vol THEN -2 WHEN close < m THEN -1 ELSE 0 END AS band_zone, CASE WHEN close > a AND close > m AND close > e AND a > m AND m > e THEN 1 WHEN close < a AND close < m AND close < e AND a < m AND m < e THEN -1 ELSE 0 END AS trend, "
+    "CASE WHEN close > hi AND p < hi THEN 1 WHEN close < lo AND p > lo THEN -1 WHEN abs((hi - close) / nullif(hi, 0)) < 0.01 AND close < p THEN -1 WHEN abs((close - lo) / nullif(close, 0)) < 0.01 AND close > p THEN 1 ELSE 0 END AS level_event FROM y"
+)
 def g29_classes(s, d):
-    x = _b(s, d).withColumns({"vol": R.std("close", 20), "sma_5": R.sma("close", 5), "sma_10": R.sma("close", 10), "sma_20": R.sma("close", 20)})
-    x = x.withColumns({"rsi": F.lit(50.0), "adx": F.lit(1.0), "bb_pos": F.lit(0.5)})
-    return scores.volatility_class(x).select("symbol", "ts", "vol_class", scores.zones()["trend"].alias("trend"))
+    x = I.with_gains(_c(s, d)).withColumn("rsi", I.rsi(14))
+    x = scores.volatility_class(scores.classes(x).withColumn("vol", R.std("close", 20)))
+    return x.select("symbol", "ts", "vol_class", "rsi_zone", "band_zone", "trend", "level_event")
+
+
+@query()
+def g29_adx_class(s, d):
+    return recursive.recursive_columns(_b(s, d)).select("symbol", "ts", scores.adx_class().alias("adx_class"))
+
+
+@query(f"WITH {CENTS}, gl AS (SELECT *, close - {lag('close')} AS dd FROM bars), gm AS (SELECT *, {roll('avg', 'close', 5)} AS s, {roll('avg', 'close', 20)} AS l, {roll('avg', 'CASE WHEN dd IS NOT NULL THEN greatest(dd, 0) END', 14)} AS ag, {roll('avg', 'CASE WHEN dd IS NOT NULL THEN greatest(-dd, 0) END', 14)} AS al FROM gl), gr AS (SELECT *, CASE WHEN al = 0 AND ag > 0 THEN 100 ELSE 100 - 100 / (1 + ag / nullif(al, 0)) END AS rsi FROM gm) SELECT {K}, CASE WHEN s > l AND rsi > 70 THEN 'SELL' WHEN s < l AND rsi < 30 THEN 'BUY' END AS action FROM gr")
+def g03_average_rsi_rule(s, d):
+    x = I.with_gains(_c(s, d)).withColumns({"rsi": I.rsi(14), "short": R.sma("close", 5), "long": R.sma("close", 20)})
+    return x.select("symbol", "ts", scores.average_rsi_rule("short", "long", "rsi").alias("action"))
+
+
+_G32 = CENTS + f", g AS (SELECT *, (close - {roll('min', 'low', 20)}) / nullif({roll('max', 'high', 20)} - {roll('min', 'low', 20)}, 0) AS k, close / nullif(max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd, close / nullif({lag('close', 20)}, 0) - 1 AS mo FROM bars)"
+
+
+@query(select(_G32, "g", K, 5, leverage="CASE WHEN k IS NOT NULL AND dd IS NOT NULL AND mo IS NOT NULL THEN greatest(least((1.5 - k) * exp(4 * dd) * (1 + 0.5 * tanh(mo * 10)), 3), 0.2) END"))
+def g32_leverage(s, d):
+    x = _c(s, d).withColumns({"k": I.channel(20)["ch_pos"], "dd": I.drawdown()["drawdown"], "mo": R.ret("close", 20)})
+    known = F.col("k").isNotNull() & F.col("dd").isNotNull() & F.col("mo").isNotNull()
+    return rounded(x.select("symbol", "ts", F.when(known, scores.leverage(F.col("k"), F.col("dd"), F.col("mo"))).alias("leverage")), 5)
 
 
 @query(select(HOURLY + ", w AS (SELECT *, CASE symbol WHEN 'click' THEN 0.5 WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.2 END AS wt FROM bars)", "w", "ts", 5, where="WHERE wt IS NOT NULL GROUP BY ts", high="sum(high * wt)", low="sum(low * wt)", close="sum(close * wt)"))
@@ -147,33 +218,32 @@ def g16_g17_garch_parkinson_scores(s, d):
     return rounded(scores.parkinson_score(x).select("symbol", "ts", "garch_score", "parkinson_score"))
 
 
-_C3 = HOURLY + f", c AS (SELECT *, {lag('open')} AS o1, {lag('close')} AS c1, {lag('open', 2)} AS o2, {lag('close', 2)} AS c2 FROM bars)"
-_SM = "abs(c1 - o1) < 0.5 * abs(c2 - o2)"
+_G24 = HOURLY + ", e AS (SELECT symbol, min(low) AS lo, max(high) AS hi, (max(high) - min(low)) / 1000 AS step FROM bars GROUP BY symbol HAVING max(high) > min(low)), k AS (SELECT symbol, lo, hi, step, unnest(range(1000)) AS bin FROM e), b AS (SELECT symbol, floor((low - lo) / step) AS a, ceil((high - lo) / step) AS z, floor(exp(-(seq - 1) / 100.0::DOUBLE) * 1000000000000)::HUGEINT AS w FROM seqs JOIN e USING (symbol)), g AS (SELECT k.symbol, bin, count(*) AS touches, sum(w) AS w, any_value(lo) AS lo, any_value(hi) AS hi FROM k JOIN b ON k.symbol = b.symbol AND bin >= a AND bin < z GROUP BY k.symbol, bin HAVING count(*) >= 3), s AS (SELECT *, touches * w::DOUBLE / 1e12::DOUBLE AS strength, lo + (bin + 0.5) * (hi - lo) / 1000 AS price FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY strength DESC, bin)::INT AS rank FROM s)"
 
 
-@query(f"WITH {_C3} SELECT {K}, CASE WHEN c2 < o2 AND {_SM} AND close > open AND close > (o2 + c2) / 2 THEN 1 WHEN c2 > o2 AND {_SM} AND close < open AND close < (o2 + c2) / 2 THEN -1 ELSE 0 END AS star, CASE WHEN c2 > o2 AND c1 > o1 AND close > open AND c1 > c2 AND close > c1 THEN 1 WHEN c2 < o2 AND c1 < o1 AND close < open AND c1 < c2 AND close < c1 THEN -1 ELSE 0 END AS soldiers FROM c")
-def g21_three_candles(s, d):
-    return _b(s, d).select("symbol", "ts", *(c.alias(n) for n, c in scores.three_candles().items()))
-
-
-_G24 = HOURLY + ", e AS (SELECT symbol, min(low) AS lo, max(high) AS hi, count(*) AS k FROM bars GROUP BY symbol), b AS (SELECT s.symbol, lo, hi, seq / k AS w, unnest(range(least(floor((low - lo) / ((hi - lo) / 1000)), 999)::BIGINT, least(floor((high - lo) / ((hi - lo) / 1000)), 999)::BIGINT + 1)) AS bin FROM seqs s JOIN e USING (symbol) WHERE hi > lo), g AS (SELECT symbol, bin, count(*) AS touches, sum(w) AS st, any_value(lo) AS lo, any_value(hi) AS hi FROM b GROUP BY symbol, bin HAVING count(*) >= 3), r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY st DESC, bin)::INT AS rank FROM g)"
-
-
-@query(select(_G24, "r", "symbol, rank, bin, touches", 4, where="WHERE rank <= 5", price="lo + (bin + 0.5) * (hi - lo) / 1000", strength="st"))
+@query(select(_G24, "r", "symbol, rank, bin, touches", 4, where="WHERE rank <= 5", price="price", strength="strength"))
 def g24_levels(s, d):
     return rounded(scores.levels(_b(s, d)), 4)
 
 
-def _slope(c):
-    return f"CASE WHEN count({c}) {over(20)} = 20 THEN regr_slope({c}, seq) {over(20)} END"
+@query(select(_G24 + ", q AS (SELECT symbol, arg_max(close, ts) AS c FROM bars GROUP BY symbol), v AS (SELECT q.symbol, (c - price) / price AS d, strength FROM q LEFT JOIN r ON q.symbol = r.symbol AND rank <= 5)", "v", "symbol", 5, where="GROUP BY symbol", level_signal="coalesce(tanh(sum(-sign(d) * exp(-abs(d) * 10) * strength) / sum(strength) * 2), 0)"))
+def g24_level_signal(s, d):
+    b = _b(s, d)
+    return rounded(scores.level_signal(b, scores.levels(b)), 5)
+
+
+_W25 = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+_G25 = HOURLY + f", h AS (SELECT *, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 20 PRECEDING) AS h, min(close) OVER (PARTITION BY symbol ORDER BY ts ROWS 20 PRECEDING) AS l FROM seqs), k AS (SELECT *, CASE WHEN seq > 1 THEN regr_slope(h, seq) {_W25} ELSE 0 END AS hs, CASE WHEN seq > 1 THEN regr_slope(l, seq) {_W25} ELSE 0 END AS ls FROM h)"
 
 
-_G25 = HOURLY + f", h AS (SELECT *, {roll('max', 'high', 5)} AS h5, {roll('min', 'low', 5)} AS l5 FROM seqs)"
+def _line(level, slope):
+    d = f"((close - ({level} + {slope})) / nullif({level} + {slope}, 0))"
+    return f"(CASE WHEN abs({slope}) < 0.0001 THEN 0 WHEN abs({d}) < 0.02 THEN sign({slope}) * 0.5 ELSE -sign({d}) * sign({slope}) END)"
 
 
-@query(select(_G25, "h", K + f", CASE WHEN {lag('h5')} IS NULL THEN NULL WHEN close > {lag('h5')} THEN 1 WHEN close < {lag('l5')} THEN -1 ELSE 0 END AS trend_break", 4, high_slope=_slope("h5"), low_slope=_slope("l5")))
+@query(select(_G25, "k", K, 4, high_slope="hs", low_slope="ls", trend_signal=f"tanh(({_line('h', 'hs')} + {_line('l', 'ls')}) * 2)"))
 def g25_trendline(s, d):
-    return rounded(scores.trendline(_b(s, d)).select("symbol", "ts", "high_slope", "low_slope", "trend_break"), 4)
+    return rounded(scores.trendline(_b(s, d)).select("symbol", "ts", "high_slope", "low_slope", "trend_signal"), 4)
 
 
 @query()
@@ -186,26 +256,47 @@ def g18_g28_yang_zhang_blend(s, d):
     return rounded(x.select("symbol", "ts", "yang_zhang_score", "trend", scores.blend({"trend": "trend", "momentum": "rsi_score", "volatility": "yang_zhang_score", "pattern": "pattern"}).alias("blend")))
 
 
-@query(select(HOURLY, f"(SELECT *, {ch('close', 20)} AS p, {ch('volume', 20)} AS v FROM bars)", K, score="CASE WHEN p IS NULL OR v IS NULL THEN NULL WHEN v > 0 THEN sign(p) ELSE -0.5 * sign(p) END"))
+def _over(c):
+    m = roll("avg", c, 20)
+    return f"(CASE WHEN {m} = 0 THEN 0 ELSE {roll('avg', c, 5)} / {m} - 1 END)"
+
+
+_G27 = CENTS + (
+    f", v0 AS (SELECT *, close / nullif({lag('close')}, 0) - 1 AS pc, volume / nullif({lag('volume')}, 0) - 1 AS vc, close / nullif({lag('close', 5)}, 0) - 1 AS m5, close / nullif({lag('close', 19)}, 0) - 1 AS m19, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) * volume AS f0 FROM bars), "
+    f"v1 AS (SELECT *, pc * vc AS f, sum(f0) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ad, {_over('close')} AS pt, {_over('volume')} AS vt FROM v0), "
+    f"v2 AS (SELECT *, CASE WHEN count(CASE WHEN pc IS NOT NULL AND vc IS NOT NULL THEN 1 END) {over(20)} = 20 THEN corr(pc, vc) {over(20)} END AS co, {roll('avg', 'f', 10)} AS fs, {roll('avg', 'ad', 5)} / nullif({roll('avg', 'ad', 20)}, 0) - 1 AS am, CASE WHEN {roll('stddev_samp', 'volume', 20)} = 0 THEN 0 ELSE (volume - {roll('avg', 'volume', 20)}) / {roll('stddev_samp', 'volume', 20)} END AS z FROM v1), "
+    "v3 AS (SELECT symbol, ts, CASE WHEN pt IS NULL OR vt IS NULL THEN NULL WHEN pt < -0.02 AND vt > 0 THEN vt * 2 WHEN pt > 0.02 AND vt < 0 THEN -vt * 2 ELSE tanh(vt * 2) END AS a, tanh((-co + sign(fs)) * 2) AS b, CASE WHEN z IS NULL OR m5 IS NULL THEN NULL WHEN abs(z) > 3 AND m5 > 0.02 THEN -1 WHEN abs(z) > 3 AND m5 < -0.02 THEN 1 ELSE tanh(z * sign(m5) * 1.5) END AS c, CASE WHEN m19 IS NULL OR am IS NULL THEN NULL WHEN m19 < -0.02 AND am > 0 THEN am * 2 WHEN m19 > 0.02 AND am < 0 THEN am * 2 ELSE tanh(am * 1.5) END AS e FROM v2)"
+)
+
+
+@query(select(_G27, "v3", K, 4, volume_trend="a", price_volume="b", volume_burst="c", accumulation="e", volume_score=f"CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND e IS NOT NULL THEN {cl('0.3 * a + 0.25 * b + 0.25 * c + 0.2 * e')} END"))
 def g27_volume_divergence(s, d):
-    return rounded(_b(s, d).select("symbol", "ts", scores.volume_divergence().alias("score")))
+    return rounded(scores.volume_score(_c(s, d)).select("symbol", "ts", *scores.VOLUME, "volume_score"), 4)
 
 
-def _rel(c):
-    m = roll("avg", c, 20)
-    return f"(CASE WHEN {m} = 0 THEN 0 ELSE ({c} - {m}) / {m} END)"
+_SW = lambda c, f, op, jump: f"coalesce(count({c}) OVER pre = 5 AND count({c}) OVER post = 5 AND {c} {op} {f}({c}) OVER pre AND {c} {op} {f}({c}) OVER post AND {c} {op} lag({c}) OVER al * {jump}, false)"
+_G23 = HOURLY + (
+    f", s0 AS (SELECT *, {_SW('high', 'max', '>', 1.01)} AS sh, {_SW('low', 'min', '<', 0.99)} AS sl FROM bars WINDOW al AS (PARTITION BY symbol ORDER BY ts), pre AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), post AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)), "
+    "s1 AS (SELECT *, CASE WHEN sh AND row_number() OVER a >= 4 THEN [lag(high, 3) OVER a, lag(high, 2) OVER a, lag(high) OVER a, high] END AS h, CASE WHEN sl AND row_number() OVER b >= 4 THEN [lag(low, 3) OVER b, lag(low, 2) OVER b, lag(low) OVER b, low] END AS l FROM s0 WINDOW a AS (PARTITION BY symbol, sh ORDER BY ts), b AS (PARTITION BY symbol, sl ORDER BY ts)), "
+    "s2 AS (SELECT symbol, ts, last_value(h IGNORE NULLS) OVER w AS h, last_value(l IGNORE NULLS) OVER w AS l FROM s1 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)), "
+    "s3 AS (SELECT symbol, ts, [h[1], l[2], h[3], l[4]] AS u, [l[1], h[2], l[3], h[4]] AS d FROM s2), "
+    "s4 AS (SELECT symbol, ts, " + ", ".join(f"[abs(({p}[3] - {p}[2]) / nullif({p}[2] - {p}[1], 0)), abs(({p}[4] - {p}[3]) / nullif({p}[3] - {p}[2], 0)), abs(({p}[4] - {p}[2]) / nullif({p}[2] - {p}[1], 0))] AS {p}" for p in "ud") + " FROM s3)"
+)
 
 
-@query(select(HOURLY + ", r AS (SELECT *, high - low AS w FROM bars)", "r", K, 5, confirmation=f"tanh(({_rel('volume')} + {_rel('w')}) * 0.5)"))
-def g22_confirmation(s, d):
-    return rounded(patterns.confirmation(_b(s, d)).select("symbol", "ts", "confirmation"), 5)
+def _harmonic(p, targets):
+    near = [f"(1 - abs({p}[{i + 1}] - {t}) / (0.05 * {t}))" for i, t in enumerate(targets)]
+    return f"(CASE WHEN {' AND '.join(f'{n} >= 0' for n in near)} THEN ({' + '.join(near)}) / 3 ELSE 0 END)"
 
 
-@query()
+_HA = {n: f"coalesce(({_harmonic('u', t)} - {_harmonic('d', t)}) / nullif(({_harmonic('u', t)} > 0)::INT + ({_harmonic('d', t)} > 0)::INT, 0), 0)" for n, (_, *t) in patterns.HARMONICS.items()}
+
+
+@query(select(_G23, "s4", K, 6, **_HA, harmonic=" + ".join(f"{patterns.HARMONICS[n][0]} * {e}" for n, e in _HA.items())))
 def g23_harmonics(s, d):
-    return rounded(patterns.harmonics(_b(s, d), w=2, tolerance=0.25).select("symbol", "ts", *patterns.HARMONICS, "harmonic"))
+    return rounded(patterns.harmonics(_b(s, d)).select("symbol", "ts", *patterns.HARMONICS, "harmonic"))
 
 
 @query()
 def g26_formations(s, d):
-    return rounded(patterns.formations(_b(s, d), w=2, near=0.05).select("symbol", "ts", "head_shoulders", "double", "triangle", "rectangle"))
+    return rounded(patterns.formations(_b(s, d)).select("symbol", "ts", "head_shoulders", "double", "triangle", "rectangle"))

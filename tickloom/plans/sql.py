@@ -11,6 +11,8 @@ bars AS (SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, ts) AS open
   sum(volume) AS volume, count(*) AS n FROM t GROUP BY symbol, date_trunc('hour', ts)),
 seqs AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS seq FROM bars),
 rets AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM seqs)"""
+#: The same bars with prices in whole cents, see schema.in_cents.
+CENTS = HOURLY.replace("value AS price", "round(value * 100) AS price")
 DAILY = """
 d AS (SELECT o_orderpriority AS symbol, date_trunc('day', o_orderdate) AS ts, avg(o_totalprice) AS close FROM orders GROUP BY ALL)"""
 LEDGER = """

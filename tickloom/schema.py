@@ -75,6 +75,11 @@ def bars(spark: SparkSession, sf_dir: str, unit: str = "hour", symbol: str = "ev
     return to_bars(ticks(spark, sf_dir, symbol), unit)
 
 
+def in_cents(x: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close")) -> DataFrame:
+    """Prices as whole numbers of cents. Sums of them are exact whatever their order, so ratios don't depend on the plan."""
+    return x.withColumns({c: F.round(F.col(c) * 100) for c in columns})
+
+
 def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol (order priority), ts (day), close (mean order value): a long daily series."""
     o = table(spark, sf_dir, "orders")
