@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as R
 from ..functions.rolling import col, frame, highest, lag, log_ret, lowest, ordered, ratio, ret, roll, running, sma, std
+from . import recursive
 
 Columns = dict[str, Column]
 
@@ -226,10 +227,12 @@ def term_slope(x: DataFrame, windows: tuple[int, ...] = (5, 10, 20, 50)) -> Data
 
 
 def range_rank(bars: DataFrame) -> DataFrame:
-    """The share of a symbol's bars whose relative range is no larger than this bar's."""
+    """range_rel, and range_rank: the share of a symbol's bars up to this one whose relative range is no larger.
+
+    Bars without a range (close 0) count in neither part and have no rank. One grouped pass, n log n for a symbol.
+    """
     x = bars.withColumn("range_rel", ratio(col("high") - col("low"), col("close")))
-    w = Window.partitionBy("symbol").orderBy("range_rel")
-    return x.where("range_rel is not null").withColumn("range_rank", F.cume_dist().over(w))
+    return recursive.per_symbol(x, ["range_rank"], lambda p: {"range_rank": recursive.rank_so_far(p["range_rel"].to_numpy(float))})
 
 
 PAIR = ("sym1", "sym2")

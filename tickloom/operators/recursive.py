@@ -6,6 +6,7 @@ them in one grouped pass, so bars are shuffled by symbol once.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -168,6 +169,16 @@ def garch(ret: np.ndarray, omega: float = 2.5e-5, a: float = 0.1, b: float = 0.8
     return out
 
 
+def rank_so_far(x: np.ndarray) -> np.ndarray:
+    """The share of the values up to each place that are no larger than the one there; NaN counts nowhere."""
+    out, seen = np.full(len(x), np.nan), []
+    for i, v in enumerate(x):
+        if not np.isnan(v):
+            bisect.insort(seen, v)
+            out[i] = bisect.bisect_right(seen, v) / len(seen)
+    return out
+
+
 FIELDS = [
     "ema_12", "ema_26", "ema_rel_20", "ema_rel_40", "ema_delta_20_40", "ewm_03", "ewm_win", "rsi", "macd", "macd_signal", "macd_hist", "atr", "plus_di", "minus_di", "adx", "adxr",
     "sar_fast", "sar_slow", "smi", "smi_signal", "garch",
@@ -208,6 +219,19 @@ def recursive_columns(bars: DataFrame) -> DataFrame:
     return per_symbol(bars, FIELDS, lambda p: compute(p["high"].to_numpy(float), p["low"].to_numpy(float), p["close"].to_numpy(float)))
 
 
+def ema_grid(bars: DataFrame, start: int = 20, end: int = 100, step: int = 20) -> DataFrame:
+    """Bars with exponential means over close for every length from start up to (not with) end, and all their differences."""
+    ns = list(range(start, end, step))
+    pairs = [(a, b) for i, a in enumerate(ns) for b in ns[i + 1 :]]
+
+    def run(p: pd.DataFrame) -> dict[str, np.ndarray]:
+        c = p["close"].to_numpy(float)
+        rel = {n: _over(ema(c, n), c) for n in ns}
+        return {f"ema_rel_{n}": v for n, v in rel.items()} | {f"ema_delta_{a}_{b}": rel[a] - rel[b] for a, b in pairs}
+
+    return per_symbol(bars, [f"ema_rel_{n}" for n in ns] + [f"ema_delta_{a}_{b}" for a, b in pairs], run)
+
+
 def diversification(wide: DataFrame, columns: list[str], n: int = 60) -> DataFrame:
     """Ts and 1 - largest eigenvalue / trace of the covariance of the last n rows of wide return columns.
 

@@ -9,7 +9,7 @@ from ..functions import rolling as R
 from ..operators import align, pairs
 from ..operators import indicators as I
 
-from .sql import HOURLY, PAIRS, lag, over, roll, rounded, select, so_far
+from .sql import CENTS, HOURLY, PAIRS, lag, over, roll, rounded, select, so_far
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,9 +58,13 @@ def w05_averages(s, d):
 _REL = {n: f"({roll('avg', 'close', n)} / nullif(close, 0))" for n in (20, 40, 60, 80)}
 
 
-@query(select(HOURLY, "bars", K, 4, **{f"sma_rel_{n}": e for n, e in _REL.items()}, **{f"sma_delta_{a}_{b}": f"{_REL[a]} - {_REL[b]}" for a in _REL for b in _REL if a < b}))
+#: Sums of whole cents are exact, so these ratios are compared to the last bit: rounding would differ on exact halves.
+_GRID = {f"sma_rel_{n}": e for n, e in _REL.items()} | {f"sma_delta_{a}_{b}": f"{_REL[a]} - {_REL[b]}" for a in _REL for b in _REL if a < b}
+
+
+@query(f"WITH {CENTS} SELECT {K}, {', '.join(f'{e} AS {n}' for n, e in _GRID.items())} FROM bars")
 def w06_average_grid(s, d):
-    return rounded(schema.bars(s, d).select("symbol", "ts", *(c.alias(n) for n, c in I.average_grid().items())), 4)
+    return schema.in_cents(schema.bars(s, d)).select("symbol", "ts", *(c.alias(n) for n, c in I.average_grid().items()))
 
 
 _GL = HOURLY + f", gl AS (SELECT symbol, ts, greatest(d, 0) AS g, greatest(-d, 0) AS l FROM (SELECT *, close - {lag('close')} AS d FROM bars)), gm AS (SELECT symbol, ts, {roll('avg', 'CASE WHEN g IS NOT NULL THEN g END', 14)} AS g, {roll('avg', 'l', 14)} AS l FROM (SELECT symbol, ts, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS g, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS l FROM (SELECT *, close - {lag('close')} AS d FROM bars)))"
@@ -211,7 +215,7 @@ def w40_autocorrelation_slopes(s, d):
     return rounded(I.term_slope(x).select("symbol", "ts", "autocorr", "slope", F.col("term_slope").alias("term")), 5)
 
 
-@query(select(HOURLY, "(SELECT symbol, ts, (high - low) / nullif(close, 0) AS r FROM bars) WHERE r IS NOT NULL", K, range_rel="r", range_rank="cume_dist() OVER (PARTITION BY symbol ORDER BY r)"))
+@query(select(HOURLY + ", r AS (SELECT symbol, ts, (high - low) / nullif(close, 0) AS r FROM bars), l AS (SELECT *, list(r) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM r)", "l", K, range_rel="r", range_rank="CASE WHEN r IS NOT NULL THEN len(list_filter(l, lambda v: v <= r)) / len(list_filter(l, lambda v: v IS NOT NULL)) END"))
 def w41_range_rank(s, d):
     return rounded(I.range_rank(schema.bars(s, d)).select("symbol", "ts", "range_rel", "range_rank"))
 
@@ -256,9 +260,21 @@ def w47_w48_peaks_swings(s, d):
     return schema.bars(s, d).select("symbol", "ts", *(F.coalesce(c, F.lit(False)).alias(n) for n, c in cols.items()))
 
 
-@query(select(HOURLY, "rets", K, 4, p_21=f"close / nullif({roll('avg', 'close', 21)}, 0)", cross_21_50=f"{roll('avg', 'close', 21)} / nullif({roll('avg', 'close', 50)}, 0)", roc_21=f"close / nullif({lag('close', 21)}, 0) - 1", v_ratio=f"{roll('stddev_samp', 'ret', 10)} / nullif({roll('stddev_samp', 'ret', 63)}, 0)", range_pos=f"(close - {roll('min', 'close', 50)}) / nullif({roll('max', 'close', 50)} - {roll('min', 'close', 50)}, 0)"))
+_N9 = {n: roll("avg", "close", n) for n in (21, 50, 200)}
+_X9 = CENTS + f", x AS (SELECT *, {', '.join(f'close / nullif({lag("close", n)}, 0) - 1 AS roc_{n}' for n in (10, 21, 63))}, {', '.join(f'{roll("stddev_samp", "ret", n)} AS v_{n}' for n in (10, 21, 63))}, CASE WHEN {roll('max', 'close', 21)} IS NOT NULL THEN (close >= {roll('max', 'close', 21)})::DOUBLE END AS h, CASE WHEN {roll('min', 'close', 21)} IS NOT NULL THEN (close <= {roll('min', 'close', 21)})::DOUBLE END AS l FROM rets)"
+
+
+_EXACT = {f"p_{n}": f"close / nullif({e}, 0)" for n, e in _N9.items()} | {f"roc_{n}": f"roc_{n}" for n in (10, 21, 63)} | {
+    "cross_21_50": f"{_N9[21]} / nullif({_N9[50]}, 0)", "cross_50_200": f"{_N9[50]} / nullif({_N9[200]}, 0)", "drawdown": f"close / nullif({so_far('max', 'close')}, 0) - 1",
+    "range_pos": f"(close - {roll('min', 'close', 50)}) / nullif({roll('max', 'close', 50)} - {roll('min', 'close', 50)}, 0)",
+    "mom_state": "CASE WHEN roc_21 IS NULL OR roc_63 IS NULL THEN NULL WHEN roc_21 > 0 AND roc_63 > 0 THEN 1 WHEN roc_21 < 0 AND roc_63 < 0 THEN -1 ELSE 0 END",
+}
+
+
+@query(select(_X9, "x", K + "".join(f", {e} AS {n}" for n, e in _EXACT.items()), 4, **{f"v_{n}": f"v_{n}" for n in (10, 21, 63)}, new_high=roll("avg", "h", 21), new_low=roll("avg", "l", 21), v_ratio="v_10 / nullif(v_63, 0)", nvts="roc_21 / nullif(v_21, 0)"))
 def w49_regime_features(s, d):
-    return rounded(I.regime_features(schema.bars(s, d)).select("symbol", "ts", "p_21", "cross_21_50", "roc_21", "v_ratio", "range_pos"), 4)
+    x = I.regime_features(schema.in_cents(schema.bars(s, d))).drop("close", "ret")
+    return x.withColumns({c: F.round(c, 4) + 0.0 for c in ("v_10", "v_21", "v_63", "new_high", "new_low", "v_ratio", "nvts")})
 
 
 @query(select(HOURLY, "bars", K, rank="(rank() OVER (PARTITION BY ts ORDER BY close) + (count(*) OVER (PARTITION BY ts, close) - 1) / 2) / count(*) OVER (PARTITION BY ts)"))

@@ -108,8 +108,12 @@ def stream_pair_decisions(routed: DataFrame, n: int = 60, enter: float = 3.0, le
     return routed.groupBy("pair").applyInPandasWithState(run, "pair string, ts timestamp, z double, kappa double, position int", "a array<double>, b array<double>, position int", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
-def covariance_sink(path: str, keep_hours: int = 24):
-    """A foreachBatch function: appends the batch's bars and rewrites return covariances over the recent hours below `path`."""
+def covariance_sink(path: str, keep_hours: int = 24, weights: dict[str, float] | None = None):
+    """A foreachBatch function: appends the batch's bars and rewrites return covariances over the recent hours below `path`.
+
+    With weights (holdings by symbol, a stated list) it also writes the portfolio's value at each of these hours, of the symbols
+    that have a bar then.
+    """
     from ..functions.rolling import ret
     from ..operators.align import pair_bars
     from ..operators.metrics import pair_covariance
@@ -123,6 +127,9 @@ def covariance_sink(path: str, keep_hours: int = 24):
         r = bars.withColumn("close", ret())
         cov = pair_covariance(pair_bars(r, same=True).withColumnsRenamed({"close1": "ret1", "close2": "ret2"}), 1.0)
         cov.write.mode("overwrite").parquet(f"{path}/cov/epoch={epoch}")
+        if weights:
+            held = F.element_at(F.create_map(*(F.lit(v) for kv in sorted(weights.items()) for v in kv)), F.col("symbol"))
+            bars.groupBy("ts").agg(F.sum(held * F.col("close")).alias("value")).write.mode("overwrite").parquet(f"{path}/value/epoch={epoch}")
 
     return run
 
