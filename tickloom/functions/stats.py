@@ -95,43 +95,31 @@ def engle_granger(y: np.ndarray, x: np.ndarray) -> tuple[float, float, float]:
     return t, p_value(t, 2) if math.isfinite(t) else math.nan, float(b[0])
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+def beta_inc(a: float, b: float, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function of every x: Lentz's continued fraction on the side where it converges fast."""
+    x = np.asarray(x, float)
+    flip = x > (a + 1) / (a + b + 2)
+    p, q = np.where(flip, b, a), np.where(flip, a, b)
+    y = np.clip(np.where(flip, 1 - x, x), 1e-300, 1 - 1e-16)
+    front = np.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + p * np.log(y) + q * np.log1p(-y)) / p
+    safe = lambda v: np.where(np.abs(v) < 1e-300, 1e-300, v)
+    c, d = np.ones_like(y), 1 / safe(1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    for m in range(1, 300):
+        for k in (m * (q - m) / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / safe(1 + k * y * d), safe(1 + k * y / c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
             break
-    return h
-
-
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+    out = np.where(flip, 1 - front * h, front * h)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
 def t_cdf(x: np.ndarray, df: float, loc: float = 0.0, scale: float = 1.0) -> np.ndarray:
-    """Student's t distribution function."""
+    """Student's t distribution function, whole arrays at once; NaN stays NaN."""
     z = (np.asarray(x, float) - loc) / scale
-
-    def one(v: float) -> float:
-        if math.isnan(v):
-            return math.nan
-        tail = 0.5 * beta_inc(df / 2, 0.5, df / (df + v * v))
-        return 1 - tail if v > 0 else tail
-
-    return np.array([one(v) for v in np.ravel(z)]).reshape(np.shape(z))
+    tail = 0.5 * beta_inc(df / 2, 0.5, df / (df + z * z))
+    return np.where(np.isnan(z), np.nan, np.where(z > 0, 1 - tail, tail))
 
 
 def t_quantile(p: np.ndarray, df: float) -> np.ndarray:

@@ -83,12 +83,15 @@ def wallet(bars: DataFrame, capital: float = 1_000.0) -> DataFrame:
 def sweep(bars: DataFrame, grid: DataFrame, capital: float = 1_000.0) -> DataFrame:
     """E5: final balance of the average-and-RSI rule for every symbol and parameter set (short, long, rsi).
 
-    Averages are computed once for each distinct length and shared by the whole grid: the group is a symbol, its
-    bars are held once, and the grid is a small table that every task gets.
+    A group is a symbol and a block of the grid, the sets of one short length: its averages are computed once for each distinct
+    length and shared by the block. The grid is a small stated table, and bars are dealt once for each block.
     """
-    sets = [tuple(r) for r in grid.select("short", "long", "rsi").distinct().orderBy("short", "long", "rsi").collect()]
+    blocks: dict[int, list[tuple[int, int, int]]] = {}
+    for r in grid.select("short", "long", "rsi").distinct().orderBy("short", "long", "rsi").collect():
+        blocks.setdefault(r["short"], []).append(tuple(r))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        sets, key = blocks[key[1]], key[:1]
         c = pdf.sort_values("ts")["close"].to_numpy(float)
         s = pd.Series(c)
         sma = {n: s.rolling(n).mean().to_numpy() for n in {x for a, b, _ in sets for x in (a, b)}}
@@ -105,7 +108,8 @@ def sweep(bars: DataFrame, grid: DataFrame, capital: float = 1_000.0) -> DataFra
             out.append((*key, a, b, r, money + units * c[-1], n))
         return pd.DataFrame(out, columns=["symbol", "short", "long", "rsi", "balance", "n_buys"])
 
-    return bars.select("symbol", "ts", "close").groupBy("symbol").applyInPandas(run, "symbol string, short int, long int, rsi int, balance double, n_buys int")
+    x = bars.select("symbol", "ts", "close", F.explode(F.array(*map(F.lit, blocks)).cast("array<int>")).alias("block"))
+    return x.groupBy("symbol", "block").applyInPandas(run, "symbol string, short int, long int, rsi int, balance double, n_buys int")
 
 
 def pair_fold(p1: np.ndarray, p2: np.ndarray, beta: np.ndarray, signal: np.ndarray, capital: float, rate: float, stop: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

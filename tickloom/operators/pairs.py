@@ -152,7 +152,15 @@ def fit_marginals(returns: DataFrame) -> DataFrame:
 
 @F.pandas_udf(DoubleType())
 def _t_cdf(x: pd.Series, df: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-    return pd.Series([_none(float(stats.t_cdf(np.array([a]), b, c, d)[0])) if pd.notna(a) and pd.notna(b) else None for a, b, c, d in zip(x, df, loc, scale, strict=True)], dtype=float)
+    x, p = x.to_numpy(float), np.stack([df.to_numpy(float), loc.to_numpy(float), scale.to_numpy(float)], 1)
+    out = np.full(len(x), np.nan)
+    ok = np.isfinite(x) & np.isfinite(p).all(1)
+    kinds, of = np.unique(p[ok], axis=0, return_inverse=True)  # a batch holds few symbols, so few parameter sets
+    at = np.flatnonzero(ok)
+    for k, (d, m, s) in enumerate(kinds):
+        rows = at[of.reshape(-1) == k]
+        out[rows] = stats.t_cdf(x[rows], d, m, s)
+    return pd.Series(np.where(np.isfinite(out), out, np.nan)).astype(object).where(np.isfinite(out), None).astype(float)
 
 
 def to_uniform(pair_ret: DataFrame, marginals: DataFrame) -> DataFrame:
@@ -207,6 +215,16 @@ def gaussian_conditional(u: pd.Series, v: pd.Series, rho: pd.Series) -> pd.Serie
     return pd.Series(stats.normal_cdf((x - r * y) / np.sqrt(1 - r * r)))
 
 
+def t_conditional(rho: float, df: float):
+    """A column function P(U <= u | v) under a t copula, whole columns at once."""
+
+    @F.pandas_udf(DoubleType())
+    def run(u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series(stats.conditional_t(u.to_numpy(float), v.to_numpy(float), rho, df))
+
+    return run
+
+
 def copula_signal(h1: Column, h2: Column, high: float = 0.95, low: float = 0.05) -> Column:
     """+1: leg 1 is cheap and leg 2 dear; -1: the other way round; 0 else."""
     return F.when(h1.isNull() | h2.isNull(), None).when((h1 <= low) & (h2 >= high), 1).when((h1 >= high) & (h2 <= low), -1).otherwise(0)

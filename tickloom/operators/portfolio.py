@@ -182,7 +182,7 @@ def ledger_equity(ledger: DataFrame, capital: float, key: str = "portfolio") ->
     w = Window.partitionBy(key, "symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     day = ledger.groupBy(key, "symbol", "ts").agg(F.sum("qty").alias("qty"), F.sum(-F.col("qty") * F.col("price") - F.col("commission")).alias("flow"), F.max("price").alias("price"))
     x = day.withColumn("mark", F.sum("qty").over(w) * F.col("price"))
-    x = x.withColumn("step", F.col("mark") - F.coalesce(F.lag("mark").over(Window.partitionBy(key, "symbol").orderBy("ts")), F.lit(0.0)))
+    x = x.withColumn("step", F.col("mark") - F.coalesce(F.lag("mark").over(Window.partitionBy(key, "symbol").orderBy("ts")), F.lit(0)))
     per = x.groupBy(key, "ts").agg(F.sum("flow").alias("flow"), F.sum("step").alias("step"))
     run = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     per = per.withColumns({"cash": capital + F.sum("flow").over(run), "market_value": F.sum("step").over(run)})

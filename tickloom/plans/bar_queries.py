@@ -215,9 +215,9 @@ def j10_walk_forward(s, d):
     return rounded(x.groupBy("symbol", "iter", "phase").agg(F.count("*").alias("n"), F.avg("close").alias("mean")))
 
 
-@query(f"WITH {HOURLY}, q AS (SELECT event_type AS symbol, ts, event_id FROM events WHERE event_id % 10 = 0) SELECT q.symbol, q.ts, q.event_id, b.close FROM q ASOF LEFT JOIN bars b ON q.symbol = b.symbol AND q.ts >= b.ts")
+@query(f"WITH {HOURLY}, q AS (SELECT event_type AS symbol, ts, event_id FROM events) SELECT q.symbol, q.ts, q.event_id, b.close FROM q ASOF LEFT JOIN bars b ON q.symbol = b.symbol AND q.ts >= b.ts")
 def j11_as_of(s, d):
-    q = schema.table(s, d, "events").where("event_id % 10 = 0").select(F.col("event_type").alias("symbol"), "ts", "event_id")
+    q = schema.table(s, d, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id")
     return align.as_of(q, _bars(s, d).select("symbol", "ts", "close"), ["close"])
 
 
