@@ -63,3 +63,19 @@ def test_one_of_each_row_whatever_its_id(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()]
     assert Counter(got) == Counter([(5, a), (None, b), (1, c), (7, d), (9, e), (None, None), (None, ""), (3, ""), (3, "")])
+
+
+def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
+    """Every stage keeps the columns of documents, extra ones named like its own included, and takes empty tables and nulls."""
+    extra = DOCS + ", row long, _row long, comp string, times int, rep long, x string"
+    rows = [(1, "a b c d e f g", "en", "s", 7, 1, 1, "c", 1, 1, "x"), (None, None, None, None, None, 1, 1, "c", 1, 1, "x"), (1, "", None, None, 0, 1, 1, "c", 1, 1, "x"), (2, "long " * 60_000, "en", "s", 7, 1, 1, "c", 1, 1, "x")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, some in (("empty", []), ("few", rows)):
+        spark.createDataFrame(some, extra).write.parquet(f"{tmp_path}/{name}.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        for stage, run in corpus_pipeline.STAGES:
+            got = run(spark, docs, str(tmp_path))
+            assert stage == "sharding" or got.columns == docs.columns
+            kept = got.count()
+            assert kept == len(some) or stage == "source_mixing" and kept >= len(some) - 2, (name, stage)

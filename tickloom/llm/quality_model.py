@@ -135,7 +135,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.
 
     known = some(labels.select("doc_id", "quality").where(F.col("quality").isNotNull()).distinct(), most, 3)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
-    got = sorted((r[0], r[2], r[1]) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").collect())
+    # rows that repeat a doc_id count once, so that the sample is bounded
+    rows = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.max("x").alias("x"))
+    got = sorted((r[0], r[2], r[1]) for r in rows.collect())
     x = np.array([np.frombuffer(r[1], np.float32) for r in got], np.float32).reshape(-1, WIDTH)
     return vectors, fit(x.astype(np.float64), np.array([r[2] == 1 for r in got], float))
 

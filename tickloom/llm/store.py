@@ -60,6 +60,13 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def free_name(df: DataFrame, name: str = "_row") -> str:
+    """`name` behind as many underscores as it takes that no column of df starts like it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def numbered(docs: DataFrame, name: str = "row", columns: list[str] | None = None) -> DataFrame:
     """docs (all columns, or those named) with a long that no other row has and that stays the same whenever it is read: the file's number and the place in it.
 

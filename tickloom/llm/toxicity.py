@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     yes = some(toxic, positive, 1).withColumn("toxic", F.lit(True))
     any_ = some(docs.select("doc_id"), unlabelled, 2).distinct().withColumn("plain", F.lit(True))
     ids = written(yes.join(any_, "doc_id", "full_outer"), "sample")  # at most positive + unlabelled rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "plain")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic", "plain", "doc_id")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
             for _, f in _features(batch.column(0)):
                 f = _counted(f)
                 got.append(f[np.isin(f & mask, chosen)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["toxic", "plain", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(1), batch.column(2), pa.array(got, pa.binary())], names=["doc_id", "toxic", "plain", "f"])
 
-    got = rows.mapInArrow(sample, "toxic boolean, plain boolean, f binary").collect()
+    # rows that repeat a doc_id count once, so that the sample is bounded
+    got = rows.mapInArrow(sample, "doc_id long, toxic boolean, plain boolean, f binary").groupBy("doc_id", "toxic", "plain").agg(F.max("f").alias("f")).collect()
     sets = lambda name: [np.frombuffer(x, np.int32) for x in sorted(bytes(r["f"]) for r in got if r[name])]
     return fit(sets("toxic"), sets("plain"), chosen, odds, best, prior)
 
