@@ -14,7 +14,7 @@ from tickloom.llm.decontaminate import clean
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import row_components, sketch_bits
 from tickloom.llm.sharding import shard
-from tickloom.llm.store import numbered, sized, written
+from tickloom.llm.store import free_name, numbered, sized, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are compared one by one, so of rows that share a doc_id or have none a group keeps one too; a row with an id
     goes before rows without, and of equal ids the first row stays. Texts without words have no copies and stay.
     """
-    rows = numbered(docs, "_row")
-    groups = row_components(rows.select(F.col("_row").alias("row"), "text", "doc_id"), k=5, num=80, den=100, bits=sketch_bits(docs))
+    row = free_name(docs)
+    rows = numbered(docs, row)
+    groups = row_components(rows.select(F.col(row).alias("row"), "text", "doc_id"), k=5, num=80, den=100, bits=sketch_bits(docs))
     groups = written(groups.select("row", "component", "doc_id"), "groups")
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    copies = written(groups.join(first.select(F.col("first.row").alias("row")), "row", "left_anti").select(F.col("row").alias("_row")), "copies")
-    return rows.join(sized(copies), "_row", "left_anti").select(*docs.columns)
+    copies = written(groups.join(first.select(F.col("first.row").alias("row")), "row", "left_anti").select(F.col("row").alias(row)), "copies")
+    return rows.join(sized(copies), row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +48,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every row gets its own draws, whether or not it has a doc_id and whoever shares it.
     """
-    rows = numbered(docs, "_row")
-    drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=("_row",))
-    times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias("_times")
-    drawn = written(drawn.select("_row", times).where("_times > 0"), "times")
-    x = rows.join(sized(drawn), "_row")
-    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("_time")).drop("_time")
+    row = free_name(docs)
+    rows = numbered(docs, row)
+    drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=(row,))
+    times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias(f"{row}_times")
+    drawn = written(drawn.select(row, times).where(f"{row}_times > 0"), "times")
+    x = rows.join(sized(drawn), row)
+    return x.select(*docs.columns, F.explode(F.sequence(F.lit(1), f"{row}_times")).alias(row)).drop(row)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
