@@ -20,7 +20,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: int, spread:
     values = [c for c in small.columns if c not in (*keys, "c")]
     hot = F.col("c") * HOT > F.lit(rows)
     few = small.where(hot).select(*keys, F.struct(*values).alias("_hot"))
-    rest = small.where(~hot).select(*keys, F.lit(0).cast("long").alias("_spread"), F.struct(*values).alias("_cold"))
+    # 0 as a value that depends on the row: a constant would be taken out of the join's keys
+    rest = small.where(~hot).select(*keys, F.least("c", F.lit(0)).cast("long").alias("_spread"), F.struct(*values).alias("_cold"))
     away = F.col("_hot").isNotNull()
     for k in keys:
         away = away | F.col(k).isNull()
