@@ -56,19 +56,20 @@ def choose(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> tu
 
     p, u: texts that have each feature among n_p toxic and n_u unlabelled ones.
     """
-    p, u = p / max(1, n_p), u / max(1, n_u)
+    some_of = np.append(np.flatnonzero(p[:LENGTH] >= LEAST), LENGTH)  # features that few toxic texts have stay out
+    p, u = p[some_of] / max(1, n_p), u[some_of] / max(1, n_u)
     # unlabelled texts hold toxic ones at the rate of the prior; what is left is the rate in clean texts
     clean = np.maximum(u - prior * p, 0)
-    # features that few toxic texts have, or that are commoner in them by chance, stay out
+    # and so do those that are commoner in them by chance
     z = (p - clean) / np.sqrt(clean / max(1, n_p) + clean / max(1, n_u) + 1.0 / max(1, n_p) ** 2)
-    gain = np.where((p * n_p >= LEAST) & (z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
-    gain[LENGTH] = 0
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    clear = (gain > 0) & (p > CLEAR * clean)
-    chosen = np.append(np.union1d(best[gain[best] > 0], np.flatnonzero(clear)), LENGTH)
-    best = np.isin(chosen, best)
-    best[-1] = True
-    return chosen, np.log((p[chosen] + 1 / max(1, n_u)) / (clean[chosen] + 1 / max(1, n_u))), best
+    gain = np.where((z > 5) & (p > 4 * clean), p * np.log((p + 2e-3) / (clean + 2e-3)), 0)
+    gain[-1] = 0
+    best = np.zeros(len(gain), bool)
+    best[np.argsort(-gain, kind="stable")[:FEATURES]] = True
+    best &= gain > 0
+    chosen = best | ((gain > 0) & (p > CLEAR * clean))
+    best[-1] = chosen[-1] = True
+    return some_of[chosen], np.log((p[chosen] + 1 / max(1, n_u)) / (clean[chosen] + 1 / max(1, n_u))), best[chosen]
 
 
 def fit(toxic: list[np.ndarray], plain: list[np.ndarray], chosen: np.ndarray, odds: np.ndarray, best: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
