@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_model, toxicity
+from . import filter_audit, merkle, quality_model, toxicity
 from .chat_format import digests, format_chat, text_parts
 from .decontaminate import leaks
 from .html_extract import extract
@@ -15,6 +15,7 @@ from .mixing import mix
 from .ngram_join import ngram_components
 from .quality_rules import apply_policy, ledger
 from .sharding import shard
+from .vector_join import vector_components
 from .warc import write_archive
 
 
@@ -69,6 +70,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    return merkle.audit(merkle.manifest(docs, F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(_read(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
@@ -80,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
 ORACLES: dict[str, str] = {}
@@ -215,3 +233,74 @@ WITH RECURSIVE t AS (
 )
 SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_RUN = "array_to_string(ds[1:(pos % 3)::INT], '')", "array_to_string(ds[(pos % 3)::INT + 2:], '')"
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8
+), tab AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8
+), t AS (
+  SELECT row_number() OVER () AS rid, *, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::INT + 1])) & 1 = 1 AS tampered FROM documents, tab
+), l AS (
+  SELECT rid, doc_id, coalesce('=' || source, '') AS tree, {_LEAF.format("text")} AS leaf, CASE WHEN tampered THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS seen FROM t
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM l
+), nodes AS (
+  SELECT tree, 0 AS lvl, pos, leaf AS d, n FROM n
+  UNION ALL SELECT tree, lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 2) // 3) FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), runs AS (SELECT tree, lvl, pos // 3 AS run, list(d ORDER BY pos) AS ds FROM nodes WHERE n > 1 GROUP BY tree, lvl, pos // 3
+), f AS (
+  SELECT rid, tree, 0 AS lvl, pos, '' AS proof, seen AS h FROM n
+  UNION ALL SELECT rid, f.tree, f.lvl + 1, pos // 3, proof || {_RUN[0]} || {_RUN[1]}, sha256({_RUN[0]} || h || {_RUN[1]}) FROM f JOIN runs ON f.tree = runs.tree AND f.lvl = runs.lvl AND pos // 3 = run
+), s AS (
+  SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), nodes2 AS (
+  SELECT 0 AS lvl, pos, subroot AS d, n FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 2) // 3) FROM nodes2 WHERE n > 1 GROUP BY lvl, pos // 3
+), runs2 AS (SELECT lvl, pos // 3 AS run, list(d ORDER BY pos) AS ds FROM nodes2 WHERE n > 1 GROUP BY lvl, pos // 3
+), f2 AS (
+  SELECT rid, tree, 0 AS lvl, s.pos, proof, h FROM (SELECT rid, tree, arg_max(proof, lvl) AS proof, arg_max(h, lvl) AS h FROM f GROUP BY rid, tree) JOIN s USING (tree)
+  UNION ALL SELECT rid, tree, f2.lvl + 1, pos // 3, proof || {_RUN[0]} || {_RUN[1]}, sha256({_RUN[0]} || h || {_RUN[1]}) FROM f2 JOIN runs2 ON f2.lvl = runs2.lvl AND pos // 3 = run
+), e AS (SELECT rid, arg_max(proof, lvl) AS proof, arg_max(h, lvl) AS h FROM f2 GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM n JOIN s USING (tree) JOIN e USING (rid), (SELECT d AS root FROM nodes2 WHERE n = 1)
+"""
+
+ORACLES["op12_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (SELECT rid, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), r AS (SELECT rid, rid AS other FROM v UNION SELECT r.rid, l.b FROM r JOIN l ON r.other = l.a
+), c AS (SELECT r.rid, min(o.vec_id) AS component_id FROM r JOIN v o ON r.other = o.rid GROUP BY r.rid)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = v.rid)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid)
+"""
+
+ORACLES["op13_filter_interaction"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT doc_id, part, (CASE WHEN len(w) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+    + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS f FROM d
+), g AS (
+  SELECT part, f, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS c FROM m LEFT JOIN y USING (doc_id) GROUP BY ALL
+), l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b
+), o AS (
+  SELECT p.x || q.x || r.x || s.x || u.x AS filter_order, [p.b, q.b, r.b, s.b, u.b] AS bs FROM l p, l q, l r, l s, l u
+  WHERE len(list_distinct([p.b, q.b, r.b, s.b, u.b])) = 5
+), k AS (
+  SELECT filter_order, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+), x AS (
+  SELECT part, filter_order, step, own, coalesce(sum(c) FILTER (f & (before | own) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(c) FILTER (f & before = 0 AND f & own <> 0), 0)::BIGINT AS removed, coalesce(sum(c) FILTER (f & before <> 0 AND f & own <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(c) FILTER (f = own), 0)::BIGINT AS unique_fails, coalesce(sum(c) FILTER (f & before = 0 AND f & own <> 0 AND good = 1), 0)::BIGINT AS good_lost,
+    coalesce(sum(c) FILTER (f & before = 0 AND f & own <> 0 AND toxic = 1), 0)::BIGINT AS toxic_lost
+  FROM g, k GROUP BY ALL
+)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM x
+"""
