@@ -147,7 +147,7 @@ def test_vector_components_equal_brute_force(spark, monkeypatch, size, tile):
 
 
 def test_vectors_at_the_threshold_and_empty_table(spark):
-    c, s = 0.9, np.sqrt(1 - 0.81)
+    c, s = 0.9, 0.19**0.5
     rows = [(1, [1.0, 0.0]), (2, [c + 1e-4, s]), (3, [c - 1e-4, s]), (4, [-1.0, 0.0])]
     assert vector_rows(spark, rows) == brute_vectors(rows, 0.9)
     assert vector_rows(spark, []) == []
