@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import last_known, next_known
+from .prefix import numbered
 
 
 def drop_duplicate_times(bars: DataFrame, order: str = "ingest") -> DataFrame:
@@ -73,12 +74,9 @@ def last_hours(bars: DataFrame, hours: int) -> DataFrame:
 def split_by_time(bars: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """P10: `part` (train, validation or test) by position on the calendar of all symbols.
 
-    The calendar is ranked once: distinct times, a small table next to the bars.
+    The calendar, distinct times, is numbered by ranges, so no task gets all of it.
     """
-    cal = bars.select("ts").distinct()
-    one = Window.orderBy("ts")
-    n = F.count("*").over(Window.partitionBy())
-    cal = cal.select("ts", (F.row_number().over(one) - 1).alias("i"), n.alias("n"))
+    cal = numbered(bars.select("ts").distinct(), ["ts"], "i", "n")
     a, b = F.floor(F.col("n") * train), F.floor(F.col("n") * (train + validation))
     cal = cal.select("ts", F.when(F.col("i") < a, "train").when(F.col("i") < b, "validation").otherwise("test").alias("part"))
     return bars.join(cal, "ts")

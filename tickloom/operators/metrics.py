@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ratio, ret
+from .prefix import running
 
 
 def _long(row: DataFrame, columns: list[str], value: str) -> DataFrame:
@@ -292,8 +293,10 @@ def mad(x: DataFrame, c: str, key: str = "symbol") -> DataFrame:
 
 
 def capital_curve(trades: DataFrame, capital: float, keys: list[str]) -> DataFrame:
-    """Ts and capital plus the running sum of pnl - commission; a trade that is repeated in its keys counts once."""
+    """Ts and capital plus the running sum of pnl - commission; a trade that is repeated in its keys counts once.
+
+    The running sum goes by ranges of time, so no task gets all times.
+    """
     once = trades.groupBy(*keys).agg(F.first("pnl").alias("pnl"), F.first("commission").alias("commission"))
     per = once.groupBy("ts").agg(F.sum(F.col("pnl") - F.col("commission")).alias("net"))
-    w = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)  # one row a time
-    return per.withColumn("capital", capital + F.sum("net").over(w))
+    return running(per, ["ts"], {"_sum": "net"}).select("ts", "net", (F.lit(capital) + F.col("_sum")).alias("capital"))

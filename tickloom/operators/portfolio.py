@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import ratio, ret
+from .prefix import running
 
 
 def top_pairs(tests: DataFrame, n: int, ascending: bool = True) -> DataFrame:
@@ -163,9 +164,10 @@ def book(bars: DataFrame, weights: DataFrame, capital: float) -> DataFrame:
     first = bars.groupBy("symbol").agg(F.min_by("close", "ts").alias("_p")).join(weights, "symbol")
     shares = first.select("symbol", F.coalesce(ratio(F.col("weight") * capital, F.col("_p")), F.lit(0.0)).alias("shares"))
     x = bars.join(shares, "symbol").groupBy("ts").agg(F.sum(F.col("shares") * F.col("close")).alias("value"))
-    one = Window.partitionBy(F.lit(1)).orderBy("ts")  # one row a time
-    x = x.withColumns({"pnl": F.col("value") - F.lag("value").over(one), "ret": ratio(F.col("value"), F.lag("value").over(one)) - 1})
-    return x.withColumn("cum_ret", ratio(F.col("value"), F.first("value").over(one.rowsBetween(Window.unboundedPreceding, 0))) - 1)
+    x = running(x, ["ts"], {}, {"_prev": "value"})
+    start = x.agg(F.min_by("value", "ts").alias("_start"))
+    x = x.join(F.broadcast(start)).withColumns({"pnl": F.col("value") - F.col("_prev"), "ret": ratio(F.col("value"), F.col("_prev")) - 1})  # one row
+    return x.withColumn("cum_ret", ratio(F.col("value"), F.col("_start")) - 1).drop("_prev", "_start")
 
 
 def position_weights(positions: DataFrame) -> DataFrame:

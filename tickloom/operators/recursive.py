@@ -12,8 +12,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefix import numbered
+
 
 def ema(x: np.ndarray, n: float | None = None, alpha: float | None = None, seed: str = "first") -> np.ndarray:
     """e = a x + (1 - a) e. seed "first": starts at the first value; "sma": at the mean of the first n, null before."""
@@ -233,29 +236,31 @@ def ema_grid(bars: DataFrame, start: int = 20, end: int = 100, step: int = 20) -
 
 
 def diversification(wide: DataFrame, columns: list[str], n: int = 60) -> DataFrame:
-    """Ts and 1 - largest eigenvalue / trace of the covariance of the last n rows of wide return columns.
+    """Ts and 1 - largest eigenvalue / trace of the covariance of the last n rows of wide columns; rows with a null don't count.
 
-    One row a time over the symbols that are stated; blocks of a few thousand times overlap by n rows, so a long
-    calendar is spread over tasks.
+    Times are numbered by ranges. Blocks of a few thousand overlap by n rows, so a long calendar is spread over tasks; inside a block the
+    covariances of all windows are differences of running sums of outer products, and their eigenvalues one call.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     size = 20 * n
-    x = wide.select("ts", *columns).withColumn("_i", F.row_number().over(Window.orderBy("ts")) - 1)
+    x = numbered(wide.select("ts", *columns), ["ts"], "_i")
     block = F.floor(F.col("_i") / size)
     x = x.withColumn("_b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_i") + n - 1) / size)))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         v, i, b = pdf[columns].to_numpy(float), pdf["_i"].to_numpy(), int(pdf["_b"].iloc[0])
-        out = np.full(len(v), np.nan)
-        for r in range(len(v)):
-            w = v[max(0, r - n + 1) : r + 1]
-            w = w[~np.isnan(w).any(1)]
-            if len(w) >= 2 and i[r] // size == b:
-                lam = np.linalg.eigvalsh(np.cov(w.T))
-                out[r] = 1 - lam[-1] / lam.sum() if lam.sum() > 0 else np.nan
+        ok = ~np.isnan(v).any(1)
+        v = np.where(ok[:, None], v - v[ok].mean(0), 0.0) if ok.any() else np.zeros_like(v)  # centred, so that the sums stay small
+        upto = lambda s: np.concatenate([np.zeros((1, *s.shape[1:])), np.cumsum(s, 0)])
+        hi = np.arange(1, len(v) + 1)
+        lo = np.maximum(0, hi - n)
+        count, first, second = (c[hi] - c[lo] for c in map(upto, (ok.astype(float), v, v[:, :, None] * v[:, None, :])))
+        few = np.maximum(count, 2)
+        cov = (second - first[:, :, None] * first[:, None, :] / few[:, None, None]) / (few - 1)[:, None, None]
+        lam = np.linalg.eigvalsh(cov)
+        total = lam.sum(1)
+        good = (count >= 2) & (total > 1e-12 * np.maximum(1.0, np.abs(second).max((1, 2))))
+        out = np.where(good, 1 - lam[:, -1] / np.where(good, total, 1.0), np.nan)
         keep = i // size == b
         return pd.DataFrame({"ts": pdf["ts"][keep], "diversification": pd.Series(out[keep]).astype(object).where(~np.isnan(out[keep]), None).to_numpy()})
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import rolling as R
-from ..operators import align, metrics, ml, pairs, portfolio
+from ..operators import align, gram, metrics, ml, pairs, portfolio
 from .sql import DAILY, HOURLY, LEDGER, PAIRS, rounded, select
 
 QUERIES, ORACLES = {}, {}
@@ -79,6 +79,28 @@ def a08_covariance(s, d):
     return rounded(metrics.pair_covariance(_pr(s, d)), 3)
 
 
+#: Each symbol's own returns at times that two symbols share; users of the sample tables are many symbols with gaps.
+_OWN = """t AS (SELECT user_id::VARCHAR AS symbol, ts, value AS price FROM events),
+b AS (SELECT symbol, date_trunc('day', ts) AS ts, arg_max(price, ts) AS close FROM t GROUP BY symbol, date_trunc('day', ts)),
+o AS (SELECT symbol, ts, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS ret FROM b),
+q AS (SELECT a.symbol AS sym1, b.symbol AS sym2, a.ret AS ret1, b.ret AS ret2 FROM o a JOIN o b ON a.ts = b.ts AND a.symbol <= b.symbol AND a.ret IS NOT NULL AND b.ret IS NOT NULL)"""
+
+
+def _own(s, d):
+    return schema.bars(s, d, "day", "user_id").withColumn("ret", R.ret())
+
+
+@query(f"WITH {_OWN} SELECT sym1, sym2, count(*) AS n, CASE WHEN count(*) > 2 THEN round(corr(ret1, ret2), 5) + 0.0::DOUBLE END AS corr FROM q WHERE sym1 < sym2 GROUP BY sym1, sym2")
+def a07_correlation_matrix(s, d):
+    x = gram.correlations(_own(s, d))
+    return x.select("sym1", "sym2", "n", F.when(F.col("n") > 2, F.round("corr", 5) + 0.0).alias("corr"))
+
+
+@query(f"WITH {_OWN} SELECT sym1, sym2, count(*) AS n, round(covar_samp(ret1, ret2) * 252, 3) + 0.0::DOUBLE AS cov FROM q GROUP BY sym1, sym2")
+def a08_covariance_matrix(s, d):
+    return rounded(gram.covariances(_own(s, d)), 3)
+
+
 _MK = HOURLY + ", mk AS (SELECT ts, avg(ret) AS m FROM rets GROUP BY ts)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import rolling as R
-from ..operators import align, evaluate, ml, pairs, portfolio, recursive
+from ..operators import align, evaluate, gram, ml, pairs, portfolio, recursive
 from ..sources.shared import new_folder
 from ..streaming import jobs
 from .sql import HOURLY, LEDGER, PAIRS, lag, over, roll, rounded, select
@@ -68,6 +68,18 @@ def t05_pair_screen(s, d):
     return rounded(pairs.screen(_pb(s, d), 60, -1.0, 100), 4)
 
 
+_T5G = _T5 + """, own AS (SELECT symbol, ts, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS r FROM bars),
+cd AS (SELECT a.symbol AS sym1, b.symbol AS sym2 FROM own a JOIN own b ON a.ts = b.ts AND a.symbol < b.symbol AND a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY ALL HAVING corr(a.r, b.r) >= 0)"""
+
+
+@query(select(_T5G, "z5 JOIN cd USING (sym1, sym2)", "sym1, sym2, count(*) AS n", 4, where="GROUP BY sym1, sym2 HAVING avg(c) >= -1 AND count(*) >= 100", mean_corr="avg(c)", spread_vol="stddev_samp(ls)", z_mean="avg(z)", z_std="stddev_samp(z)"))
+def t05_screen_candidates(s, d):
+    """Pairs are made only for what the matrix of whole-sample correlations lets through."""
+    b = schema.bars(s, d)
+    few = gram.candidates(b.withColumn("ret", R.ret()), 0.0)
+    return rounded(pairs.screen(align.pair_bars(b, few), 60, -1.0, 100), 4)
+
+
 @query()
 def t06_unit_root_windows(s, d):
     x = align.formation_windows(_pb(s, d), 5).withColumn("spread", F.col("close1") - F.col("close2"))
