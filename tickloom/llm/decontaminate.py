@@ -13,6 +13,7 @@ are read once and never shuffled.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,44 +23,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import shingle_blocks, shingle_sets
+from .words import mix, shingle_blocks, shingle_sets, text_buffers, words
 
 #: Items go to the executors in blocks of so many bytes of text at most (or one item); each block is one pass over the documents.
 BLOCK_BYTES = 32 << 20
 #: The chance that a match becomes no candidate, at most.
 MISS = 1e-9
-_rng = np.random.Generator(np.random.PCG64(71))
-#: Hash functions: (x ^ a) * b modulo 2**64, one to one on shingle hashes. There are more than any partition takes.
-_XOR = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
+
+
+@functools.lru_cache(1 << 14)
+def _family(f: int) -> tuple[np.uint64, np.uint64]:
+    """Hash function f: (x ^ a) * b modulo 2**64, one to one on shingle hashes; as many as are asked for."""
+    a, b = mix(np.array([2 * f + 1, 2 * f + 2], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return a, b | np.uint64(1)
+
+
+def signatures(s: np.ndarray, f: int) -> np.ndarray:
+    a, b = _family(f)
+    return (s ^ a) * b
 
 
 def functions(q: int, w: int, num: int, den: int, miss: float = MISS) -> int:
     """Hash functions that find an item of q shingles, num/den of them in tiles of w, but for a chance of miss."""
     hit = -(-num * q // den) / (q + w - 1)
-    return 1 if hit >= 1 else min(len(_XOR), math.ceil(math.log(miss) / math.log1p(-hit)))
+    return 1 if hit >= 1 else math.ceil(math.log(miss) / math.log1p(-hit))
 
 
 def make_index(items: list[tuple[int | None, str]], k: int, num: int, den: int, miss: float = MISS) -> dict:
-    """Items with their shingle sets, and for each size partition its tile and the items by signature."""
-    found = [(items[r][0], u) for r, u in shingle_sets(pa.array([t for _, t in items], pa.string()), k) if len(u)]
-    ids, sets = [i for i, _ in found], [u for _, u in found]
+    """Items with their shingle sets, and for each size partition its tile and the items by signature.
+
+    short: for each number of words below k, the hashes of the items of so many words, sorted, and the items.
+    """
+    texts = pa.array([t for _, t in items], pa.string())
+    size = np.concatenate([np.zeros(0, np.int64), *(np.diff(at) for _, _, at, _, _ in words(*text_buffers(texts)))])
+    found = [(items[r][0], u, int(size[r])) for r, u in shingle_sets(texts, k) if len(u)]
+    ids, sets = [i for i, *_ in found], [u for _, u, _ in found]
     members: dict[int, list[int]] = {}
-    for i, u in enumerate(sets):
-        members.setdefault(len(u).bit_length(), []).append(i)
+    few: dict[int, list[int]] = {}
+    for i, (_, u, n) in enumerate(found):
+        if n < k:
+            few.setdefault(n, []).append(i)
+        else:
+            members.setdefault(len(u).bit_length(), []).append(i)
+    short = {}
+    for n, own in sorted(few.items()):
+        own = np.array(own)[np.argsort([sets[i][0] for i in own], kind="stable")]
+        short[n] = np.array([sets[i][0] for i in own], np.uint64), own
     parts = []
     for _, own in sorted(members.items()):
         q = min(len(sets[i]) for i in own)
         tile, tables = max(1, q // 2), []
         for f in range(functions(q, tile, num, den, miss)):
-            signed = np.array([((sets[i] ^ _XOR[f]) * _TIMES[f]).min() for i in own], np.uint64)
+            signed = np.array([signatures(sets[i], f).min() for i in own], np.uint64)
             order = np.argsort(signed, kind="stable")
             bits = len(own).bit_length() + 6
             some = np.zeros(1 << bits, bool)  # which leading bits occur, a quick first test
             some[(signed >> np.uint64(64 - bits)).astype(np.int64)] = True
             tables.append((signed[order], np.array(own)[order], some, np.uint64(64 - bits)))
         parts.append((tile, tables))
-    return {"k": k, "ids": ids, "sets": sets, "need": [-(-num * len(u) // den) for u in sets], "parts": parts}
+    return {"k": k, "ids": ids, "sets": sets, "need": [-(-num * len(u) // den) for u in sets], "parts": parts, "short": short}
 
 
 def candidates(parts: list, bounds: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -71,7 +93,7 @@ def candidates(parts: list, bounds: np.ndarray, s: np.ndarray) -> np.ndarray:
         begin = np.concatenate([[0], np.cumsum(n)])
         starts = bounds[row] + (np.arange(len(row)) - begin[row]) * tile
         for f, (signed, owner, some, shift) in enumerate(tables):
-            least = np.minimum.reduceat((s ^ _XOR[f]) * _TIMES[f], starts)
+            least = np.minimum.reduceat(signatures(s, f), starts)
             at = np.flatnonzero(some[(least >> shift).astype(np.int64)])
             lo, hi = np.searchsorted(signed, least[at], "left"), np.searchsorted(signed, least[at], "right")
             for t, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
@@ -92,6 +114,15 @@ def search(index: dict, column: pa.Array) -> Iterator[tuple[int, int, int, int]]
             shared = int((u[at] == own).sum())
             if shared >= index["need"][item]:
                 yield int(i + r), int(item), len(own), shared
+    # items of fewer words than a shingle, anywhere in a text; the number of words is part of a shingle's hash
+    for n, (signed, owner) in index["short"].items():
+        for i, _, bounds, s in shingle_blocks(column, n):
+            at = np.flatnonzero(signed[np.searchsorted(signed, s) % len(signed)] == s)
+            row = np.searchsorted(bounds, at, "right") - 1
+            for r, x in sorted(set(zip(row.tolist(), s[at].tolist(), strict=True))):
+                lo, hi = np.searchsorted(signed, np.uint64(x), "left"), np.searchsorted(signed, np.uint64(x), "right")
+                for item in owner[lo:hi]:
+                    yield int(i + r), int(item), 1, 1
 
 
 def _blocks(bench: DataFrame, size: int) -> Iterator[tuple[list[tuple[int | None, str]], bool]]:
@@ -116,7 +147,7 @@ def leaks(docs: DataFrame, bench: DataFrame, k: int = 5, num: int = 80, den: int
     """(doc_id, item_id, n_item, n_shared): items of which num/den of the shingles or more lie in a document.
 
     docs: doc_id, text; bench: item_id, text; other columns are ignored. k-word shingles with A-Z lower-cased; an
-    item of fewer words is one shingle, found in texts that equal it. Null, empty and blank texts match nothing.
+    item of fewer words is one shingle and is found wherever a text holds these words in a row. Null, empty and blank texts match nothing.
     Repeated documents each give rows, repeated items give one row per pair, null ids stay null. Items are read in blocks of
     block_bytes, so what the driver and tasks hold is bounded by that or by the longest item however large bench is;
     documents take one pass per block. Empty tables give an empty result.

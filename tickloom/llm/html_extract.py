@@ -56,6 +56,12 @@ _WORDS = _COMMENTS | {
     "pagination", "pager", "copyright", "hidden",
 }
 _FINE = {"article", "articlebody", "content", "main", "post", "entry", "story", "text", "body", "prose"}
+#: Words that go with those in names of page parts (site-footer, related-posts). A name that has any other word may be the slug of a heading.
+_PLACES = {
+    "site", "page", "main", "left", "right", "top", "bottom", "inner", "outer", "wrap", "wrapper", "container", "box", "block", "bar", "area", "section", "list", "item", "items", "group", "row", "col",
+    "column", "panel", "slot", "unit", "holder", "module", "region", "buttons", "button", "links", "link", "icons", "icon", "posts", "articles", "stories", "news", "content", "title", "header", "head", "body", "thread",
+    "primary", "secondary", "global", "mobile", "desktop", "sticky", "fixed", "media", "text", "user", "users", "view", "form", "field", "input", "count", "meta", "author", "policy", "message", "dialog", "google", "gpt", "dfp", "id", "js",
+}
 #: Names that start with one of these tell of a state (has-sidebar, no-ads, with-comments), not of what is inside.
 _STATE = {"has", "no", "not", "with", "without", "is", "non", "show", "hide", "js"}
 #: Smoothness: between neighbours in page order, more for the same parent, less the further apart in the DOM.
@@ -66,45 +72,49 @@ PRIOR = np.array([-0.6, 0.8, 0.6, 0.4, -3.0, 0.0, 0.0, 0.0, 0.0])
 PAGES, PAGE_BLOCKS, WEIGHT = 2000, 200, 50.0
 
 
-def _named(value: str) -> tuple[float, bool]:
-    """Evidence of a class or id, and whether it speaks of readers' comments. Names count as a whole, not what they contain."""
-    e, comments = 0.0, False
+def _named(value: str, is_id: bool) -> tuple[float, bool, bool]:
+    """Evidence of a class or id, whether it speaks of readers' comments, and whether it may be a heading's slug.
+
+    Names count as a whole, not what they contain. A slug is an id, or a name of three or more words, that has a word which isn't one of page parts.
+    """
+    e, comments, slug = 0.0, False, True
     for name in value.split():
         parts = [p.lower() for p in _PART.findall(name)]
         if not parts or parts[0] in _STATE:
             continue
         ends = {parts[0], parts[-1], "".join(parts)}
         if ends & _WORDS and not (parts[-1] == "header" and parts[0] in _FINE):  # entry-header holds the headline
-            e, comments = BAD, comments or bool(ends & _COMMENTS)
+            may = (is_id and len(parts) > 1 or len(parts) > 2) and not all(p in _PLACES or p in _WORDS or p in _FINE or len(p) == 1 for p in parts)
+            e, comments, slug = BAD, comments or not may and bool(ends & _COMMENTS), slug and may
         elif e == 0.0 and ends & _FINE:
             e = GOOD
-    return e, comments
+    return e, comments, e < 0 and slug
 
 
-def _evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float, bool]:
-    """(of tags and roles, of names, whether it holds comments) for one element."""
-    hard, soft, comments = _TAG.get(tag, 0.0), 0.0, False
+def _evidence(tag: str, attrs: str, in_article: bool) -> tuple[float, float, bool, bool]:
+    """(of tags and roles, of names, whether it holds comments, whether what speaks against it may be a slug) for one element."""
+    hard, soft, comments, slug = _TAG.get(tag, 0.0), 0.0, False, True
     if tag == "header" and in_article:
         hard = 0.0  # the head of the article holds its headline
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id") and tag not in ("html", "body"):
-            e, c = _named(value)
-            soft, comments = e if soft == 0 or e < 0 else soft, comments or c
+            e, c, may = _named(value, name == "id")
+            soft, comments, slug = e if soft == 0 or e < 0 else soft, comments or c, slug and (may or e >= 0)
         elif name == "role":
             hard += _ROLE.get(value.lower(), 0.0)
         elif name == "itemprop":
             hard += BODY if value.lower() == "articlebody" else 0.0
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDES.search(value):
             hard += HIDDEN
-    return hard, soft, comments
+    return hard, soft, comments, soft < 0 and slug
 
 
 class Page:
     """Blocks of a page and the elements around them; element 0 is the page.
 
-    texts, linked (share of characters in links), at (the innermost element) and tag of each block; parent, hard, soft and
-    comments of each element. The work is linear in the page's length.
+    texts, linked (share of characters in links), at (the innermost element) and tag of each block; parent, hard, soft,
+    comments and slug of each element. The work is linear in the page's length.
     """
 
     def __init__(self, page: str):
@@ -112,7 +122,7 @@ class Page:
         self.linked: list[float] = []
         self.at: list[int] = []
         self.tag: list[str] = []
-        self.parent, self.hard, self.soft, self.comments = [-1], [0.0], [0.0], [False]
+        self.parent, self.hard, self.soft, self.comments, self.slug = [-1], [0.0], [0.0], [False], [False]
         stack: list[tuple[str, int]] = [("", 0)]
         count: dict[str, int] = {}  # open elements on the stack by tag
         beyond: dict[str, int] = {}  # and those too deep for it
@@ -151,6 +161,7 @@ class Page:
                 state["link"] = 0
 
         pos, end = 0, len(page)
+        endless: set[str] = set()  # raw elements that have no end tag from here on
         while pos < end:
             m = _TOKEN.search(page, pos)
             if m is None:
@@ -180,8 +191,9 @@ class Page:
                 continue
             if tag in _RAW:
                 if not attrs.rstrip().endswith("/") or tag not in ("svg", "math", "iframe"):
-                    close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+                    close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
                     if close is None and tag in ("noscript", "select", "svg", "math", "object", "canvas"):
+                        endless.add(tag)
                         continue
                     pos = close.end() if close else end
                 continue
@@ -207,7 +219,7 @@ class Page:
                         break
                     if stack[i][0] in ends:
                         pop(i)
-            hard, soft, comments = _evidence(tag, attrs, bool(count.get("article")))
+            hard, soft, comments, slug = _evidence(tag, attrs, bool(count.get("article")))
             if block or hard or soft:  # other inline elements leave no trace
                 if len(stack) > DEEP:
                     beyond[tag] = beyond.get(tag, 0) + 1
@@ -216,6 +228,7 @@ class Page:
                     self.hard.append(hard)
                     self.soft.append(soft)
                     self.comments.append(comments)
+                    self.slug.append(slug)
                     stack.append((tag, len(self.parent) - 1))
                     count[tag] = count.get(tag, 0) + 1
             if tag == "a":
@@ -228,14 +241,20 @@ class Page:
         Negative tags undo what positive ones around them say, and a bad name holds for all that is inside. Two things
         release a wrapper: the article that has most of the text drops what its ancestors say, unless one of them is
         a sidebar, a menu, a footer or the comments; and a bad name or a form around nine tenths of the
-        text of a page without article says nothing.
+        text of a page without article says nothing. Inside the article a slug speaks against what it names only where the text there
+        agrees: half of it links, or no heading and no block of eight words.
         """
         n = len(self.parent)
-        size = [0.0] * n  # characters outside of links
-        for t, l, e in zip(self.texts, self.linked, self.at, strict=True):
+        size, whole = [0.0] * n, [0.0] * n  # characters outside of links, and all
+        prose = [False] * n
+        for t, l, e, tag in zip(self.texts, self.linked, self.at, self.tag, strict=True):
             size[e] += len(t) * (1 - l)
+            whole[e] += len(t)
+            prose[e] |= t.count(" ") >= 7 or tag[:1] == "h" and tag[1:].isdigit()
         for e in range(n - 1, 0, -1):
             size[self.parent[e]] += size[e]
+            whole[self.parent[e]] += whole[e]
+            prose[self.parent[e]] |= prose[e]
         barred, inside = [False] * n, [False] * n
         best = 0
         for e in range(1, n):
@@ -253,6 +272,8 @@ class Page:
             p, h, s = self.parent[e], self.hard[e], self.soft[e]
             if best and e in up or not best and size[0] > 0 and size[e] >= 0.9 * size[0] and not barred[e] and (s < 0 or h == _TAG["form"]):
                 h, s = max(h, 0.0), max(s, 0.0)
+            if inside[p] and self.slug[e] and prose[e] and 2 * size[e] > whole[e]:
+                s = 0.0
             inside[e] = inside[p] or e == best
             hard[e] = min(hard[p], 0.0) + h if h < 0 else hard[p] if hard[p] < 0 else max(hard[p], h)
             soft[e] = s if s < 0 else soft[p] if soft[p] < 0 else max(s, soft[p])

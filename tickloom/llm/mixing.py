@@ -1,6 +1,6 @@
 """Mixing sources to target weights: exact quotas, a hypergeometric splitting tree and permuted blocks.
 
-Every source is dealt into blocks by the md5 of its doc_id. Its target is met by whole passes over all
+Every source is dealt into blocks by the md5 of its doc_id, and of the row's number where an id is missing or shared. Its target is met by whole passes over all
 its blocks and one more pass over its blocks in a permuted order until the target is full, to the word.
 A tree over the output shards splits the quotas of blocks: at each node a uniformly chosen half of the
 node's places, a multivariate hypergeometric draw over the sources, goes to the left. A shard draws its
@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .skew import lookup
+from .store import free_name, numbered, written
 
 WS = r"[\x20\x09-\x0D]+"
 #: Hex digits of a block (16 ** 2 blocks a source), and documents that a range of running sums may hold.
@@ -71,27 +72,32 @@ def splitting_tree(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     return x.groupBy("node", "i").agg(F.count("*").alias("blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17, keep: tuple[str, ...] = (), row: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, draws.
 
     docs: doc_id, text, source; other columns are ignored. size: words; taken: words that the mix takes, repeats
     counted, between 0 and most * size; draws: (pass, shard, order, words) for every time the document is drawn,
     `order` being its place inside the shard. The last document of a source is taken in part, so that each
-    source gives its rounded target exactly. A null source is a source of its own, null doc_ids are dealt as
-    "null", repeated rows are separate documents, and empty texts are drawn with no words. The same input and
+    source gives its rounded target exactly. A null source is a source of its own,
+    repeated rows are separate documents, and empty texts are drawn with no words. The same input and
     seed give the same mix. An empty table gives an empty result. Per-source tables are small: a row for each
-    source, and 16 ** DIGITS blocks of each. keep: columns of docs that go along, such as a row's number; they also order
-    rows that are equal otherwise.
+    source, and 16 ** DIGITS blocks of each. keep: columns of docs that go along. row: a column that numbers the rows of docs, the same
+    whenever it is read; without one they are numbered here. Rows without doc_id and rows that share one are dealt by
+    their number, so that none of them is a cell of its own size.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = docs.select(
-        "doc_id", "source",
-        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
-        word_count("text").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), key)).alias("h"),
-        *keep,
-    )
+    at = row or free_name(docs)
+    if row is None:
+        docs = numbered(docs, at, ["doc_id", "text", "source", *keep])
+    go = list(dict.fromkeys([*keep, at]))
+    sized = docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), word_count("text").alias("size"), *go)
     sized = written(sized, "sizes")
+    again = written(sized.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").withColumn("again", F.lit(True)), "again")
+    shared = F.col("doc_id").isNull()
+    if not again.isEmpty():
+        sized = lookup(sized, again, ["doc_id"], sized.count(), F.col(at))
+        shared = shared | F.col("again").isNotNull()
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.when(shared, F.concat(F.lit(":"), F.col(at).cast("string"))).otherwise(F.lit("")))
+    sized = sized.select("doc_id", "source", "skey", "size", F.md5(key).alias("h"), *go)
     sources = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     # running sums are made in ranges of the permuted order that hold about RANGE_DOCS documents
     digits = F.greatest(F.lit(DIGITS), F.ceil(F.log(16.0, F.greatest(F.col("docs") / RANGE_DOCS, F.lit(1.0))))).cast("int")
@@ -124,12 +130,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     cells = cells.withColumn("block", F.substring("cell", 1, DIGITS)).join(home, ["skey", "block"], "left")
 
     x = dealt.join(cells.select("skey", "cell", "source_size", "target", "full", "rest", "before", "home"), ["skey", "cell"])
-    run = Window.partitionBy("skey", "cell").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy("skey", "cell").orderBy("h", "doc_id", "size", at).rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("upto", F.col("before") + F.sum("size").over(run))
     x = x.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size"))))
     # a pass in which some shard draws the document's block gives all of it, the last pass what the target still needs
     draws = """transform(filter(sort_array(map_keys(coalesce(home, map()))), p -> p < full OR extra > 0),
         p -> struct(p as pass, home[p] as shard, md5(concat(h, ':', p)) as order, IF(p < full, size, extra) as words))"""
-    x = x.select("doc_id", "source", "size", "source_size", "target", F.expr(draws).alias("draws"), *keep)
+    x = x.select("doc_id", "source", "size", "source_size", "target", F.expr(draws).alias("draws"), *go)
     taken = F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken")
     return x.select("doc_id", "source", "size", "source_size", "target", taken, "draws", *keep)

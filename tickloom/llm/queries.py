@@ -199,9 +199,11 @@ WITH t AS (
   SELECT doc_id AS id, 0 AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
   UNION ALL
   SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark
+), k AS (SELECT DISTINCT len(w) AS m FROM t WHERE item = 1 AND len(w) BETWEEN 1 AND 4 UNION SELECT 5
+), u AS (
+  SELECT id, item, w, least(len(w), 5) AS m FROM t WHERE item = 1 AND len(w) > 0 UNION ALL SELECT id, item, w, m FROM t, k WHERE item = 0 AND len(w) >= m
 ), s AS (
-  SELECT DISTINCT id, item, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
-  FROM (SELECT id, item, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM t WHERE len(w) > 0)
+  SELECT DISTINCT id, item, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT id, item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM u)
 ), n AS (SELECT id, count(*) AS n FROM s WHERE item = 1 GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, any_value(n.n) AS n_item, count(*) AS n_shared
 FROM s b JOIN s d ON d.g = b.g AND d.item = 0 AND b.item = 1 JOIN n ON n.id = b.id

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import word_count
-from .store import written
+from .store import numbered, written
 
 #: Cells per shard for small groups; a group with more than 1 / (HEAVY * shards) of a dimension is packed on its own.
 CELLS, HEAVY = 256, 32
+#: Pieces for each shard's fair share that a larger group holds.
+PIECES = 8
 #: Rows in a slot range, about.
 RANGE_ROWS = 1024
 
@@ -53,14 +55,14 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     empty result.
     """
     t = F.coalesce("text", F.lit(""))
-    x = docs.select(
-        "doc_id",
+    x = numbered(docs, "row", ["doc_id", "text"]).select(
+        "doc_id", "row",
         (F.octet_length(t) + 8).cast("long").alias("size"),
         word_count("text").alias("tokens"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("ga"),
         F.xxhash64(F.lit(7), F.reverse(F.md5(t.cast("binary")))).alias("gb"),
-    )
+    )
     x = written(x, "sizes")
     groups = x.groupBy("ga", "gb").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     groups = written(groups, "groups")
@@ -72,37 +74,32 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
         big = big | (F.col(c) * F.lit(HEAVY * shards) > F.lit(int(total[c])))
     # at most HEAVY * shards groups exceed the share of one dimension, so this list is bounded
     heavy = groups.where(big).orderBy("ga", "gb").collect()
-    light = groups.where(~big).groupBy(F.pmod("ga", F.lit(cells)).cast("int").alias("cell")).agg(*(F.sum(c).alias(c) for c in dims)).orderBy("cell").collect()
-    vectors, owner = [[float(r[c]) for c in dims] for r in light], [(r["cell"], 0) for r in light]
     pieces = []
     for n, r in enumerate(heavy):
         parts = max(1, max(int(np.ceil(r[c] * shards / total[c])) if total[c] else 1 for c in dims))
-        parts = parts if parts == 1 else 4 * parts
-        pieces.append((r["ga"], r["gb"], cells + n, parts))
-        for p in range(parts):
-            vectors.append([r[c] / parts for c in dims])
-            owner.append((cells + n, p))
-    home = pack(np.array(vectors).reshape(-1, len(dims)), shards)
+        pieces.append((r["ga"], r["gb"], cells + n, parts if parts == 1 else PIECES * parts))
     spark = docs.sparkSession
-    home = spark.createDataFrame([(*o, int(h)) for o, h in zip(owner, home, strict=True)], "cell int, piece int, shard int")
     own = spark.createDataFrame(pieces, "ga long, gb long, own int, parts int")
-
-    # both tables have at most cells + 4 * shards * (HEAVY + 1) rows
-    x = x.join(F.broadcast(own), ["ga", "gb"], "left")
-    key = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
-    x = x.select(
-        "doc_id", "size", "tokens", "text_crc32",
+    # rows are dealt by their number, since any share of them may have one doc_id or none
+    key = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30))
+    x = x.join(F.broadcast(own), ["ga", "gb"], "left").select(
+        "doc_id", "row", "size", "tokens", "text_crc32",
         F.coalesce("own", F.pmod("ga", F.lit(cells)).cast("int")).alias("cell"),
         F.when(F.col("parts") > 1, F.pmod(key, F.col("parts"))).otherwise(F.lit(0)).cast("int").alias("piece"),
         key.alias("key"),
-    ).join(F.broadcast(home), ["cell", "piece"])
-    # a cell is cut into ranges in proportion to its rows, by the hash of doc_id
+    )
+    # what is packed, at most cells + PIECES * shards * (HEAVY + 3) rows, are the sums that the deal came to
+    parts = x.groupBy("cell", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).orderBy("cell", "piece").collect()
+    home = pack(np.array([[float(r[c]) for c in dims] for r in parts]).reshape(-1, len(dims)), shards)
+    home = spark.createDataFrame([(r["cell"], r["piece"], int(h)) for r, h in zip(parts, home, strict=True)], "cell int, piece int, shard int")
+    x = x.join(F.broadcast(home), ["cell", "piece"])
+    # a cell is cut into ranges in proportion to its rows, by the hash of their numbers
     per = x.groupBy("cell", "piece").agg(F.count("*").alias("n"))
     cuts = per.select("cell", "piece", F.greatest(F.lit(1), F.ceil(F.col("n") / RANGE_ROWS)).cast("int").alias("cuts")).where("cuts > 1")
     x = x.join(F.broadcast(cuts), ["cell", "piece"], "left").withColumn("range", F.pmod(F.shiftright("key", 8), F.coalesce("cuts", F.lit(1))).cast("int"))
     counts = x.groupBy("shard", "cell", "piece", "range").agg(F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("cell", "piece", "range").rowsBetween(Window.unboundedPreceding, 0)
     starts = counts.select("shard", "cell", "piece", "range", (F.sum("n").over(order) - F.col("n")).alias("first"))
-    inside = Window.partitionBy("cell", "piece", "range", "shard").orderBy("doc_id", "size", "text_crc32")
+    inside = Window.partitionBy("cell", "piece", "range", "shard").orderBy("doc_id", "size", "text_crc32", "row")
     x = x.withColumn("slot", F.row_number().over(inside) - 1).join(starts, ["cell", "piece", "range", "shard"])
     return x.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + F.col("slot")).cast("long").alias("slot"))

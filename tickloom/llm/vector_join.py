@@ -18,6 +18,7 @@ Equal vectors are one class with a count; only one of them is compared.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ LANDMARKS = 256
 SLACK = 1e-4
 
 
+@functools.lru_cache(8)
 def rotation(size: int) -> np.ndarray:
     """An orthogonal matrix, the same for every call."""
     q, r = np.linalg.qr(np.random.Generator(np.random.PCG64(size)).standard_normal((size, size)))
@@ -50,68 +52,66 @@ def blocks(size: int) -> list[tuple[int, int]]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (row, embedding): row, size and the unit vector as bytes, null for a vector that links with nothing."""
+    """Of (row, embedding): row, size and the values as bytes, in single precision if that loses nothing; null for a vector that links with nothing."""
     for batch in batches:
         column = batch.column(1)
-        if isinstance(column, pa.ChunkedArray):
-            column = column.combine_chunks()
         size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = column.flatten()  # without the values of null lists
-        values = flat.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
+        values = column.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False)  # without the values of null lists
         ends = np.cumsum(size)
-        units = []
+        raw = []
         for n, end in zip(size, ends, strict=True):
             v = values[end - n : end]
-            top = np.abs(v).max(initial=0.0)
-            if not n or not np.isfinite(top) or top == 0:
-                units.append(None)
+            if not n or not np.isfinite(v).all() or not v.any():
+                raw.append(None)
                 continue
-            v = v / top  # so that squares neither overflow nor vanish
-            units.append((v / np.sqrt((v * v).sum()) + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(units, pa.binary())], names=["row", "size", "unit"])
+            with np.errstate(over="ignore"):
+                short = v.astype(np.float32)
+            raw.append((short if (short == v).all() else v).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(raw, pa.binary())], names=["row", "size", "raw"])
 
 
-def _matrix(units: list[bytes] | pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x if isinstance(x, bytes) else x.as_py() for x in units), np.float64).reshape(-1, size)
+def turned(raw: pa.Array, size: int) -> np.ndarray:
+    """The unit vectors of values as _parse gives them, turned."""
+    parts = [x.as_buffer() for x in raw]
+    x = np.stack([np.frombuffer(p, np.float32 if p.size == 4 * size else np.float64).astype(np.float64) for p in parts])
+    x /= np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    return x @ rotation(size)
 
 
 def _assign(marks):
-    """Of (row, c, size, unit): row, c, size, turned unit vector, cell (number of the nearest landmark of that size)."""
+    """Of (row, c, size, raw): the same and cell, the number of the nearest landmark of that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             sizes = batch.column(2).to_numpy()
-            cell, turned = np.zeros(len(sizes), np.int32), [b""] * len(sizes)
-            for size in np.unique(sizes):
-                if size not in turn:
-                    q = rotation(int(size))
-                    turn[size] = q, _matrix(marks.value[int(size)], int(size)) @ q
-                q, m = turn[size]
+            cell = np.zeros(len(sizes), np.int32)
+            for size in map(int, np.unique(sizes)):
+                if size not in known:
+                    known[size] = turned(pa.array(marks.value[size], pa.binary()), size) if size in marks.value else np.zeros((1, size))
                 at = np.flatnonzero(sizes == size)
-                x = _matrix(batch.column(3).take(pa.array(at)), int(size)) @ q
-                cell[at] = (x @ m.T).argmax(1)
-                for i, v in zip(at, x, strict=True):
-                    turned[i] = v.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(turned, pa.binary()), pa.array(cell)], names=["row", "c", "size", "unit", "cell"])
+                for part in np.array_split(at, -(-len(at) // TILE)):
+                    cell[part] = (turned(batch.column(3).take(pa.array(part)), size) @ known[size].T).argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["row", "c", "size", "raw", "cell"])
 
     return run
 
 
 def _grid(reach: float):
-    """Of tiles (tile, size, units): tile, size, block, gx, gy (a cell that the tile's ball enters), center and radius in the block."""
+    """Of tiles (tile, size, raw): tile, size, block, gx, gy (a cell that the tile's ball enters), center and radius in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tile, size, units in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x, rows = _matrix(units, size), []
+            for k in range(batch.num_rows):
+                tile, size = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                x, rows = turned(batch.column(2)[k].values, size), []
                 for b, (lo, hi) in enumerate(blocks(size)):
                     part = x[:, lo:hi]
                     center = part.mean(0)
                     radius = float(np.sqrt(((part - center) ** 2).sum(1).max())) + 1e-9
-                    wide = np.sqrt(reach * (hi - lo) / size)  # two balls are near if their centers are within both radii and this
-                    step = wide  # the cells' width
-                    span = [range(int(np.floor((c - radius - wide / 2) / step)), int(np.floor((c + radius + wide / 2) / step)) + 1) for c in center[:2]]
+                    wide = np.sqrt(reach * (hi - lo) / size)  # the range of the block, and the cells' width
+                    span = [range(int(np.floor((c - radius) / wide - 0.5)), int(np.floor((c + radius) / wide + 0.5)) + 1) for c in center[:2]]
                     rows += [(b, gx, gy, center.tobytes(), radius) for gx in span[0] for gy in (span[1] if len(span) > 1 else [0])]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -174,14 +174,14 @@ def groups(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _links(cosine: float):
-    """Of pairs of tiles (size, mask, same, rows, counts and units of both): row, links (vectors linked with), root (one of its component)."""
+    """Of pairs of tiles (size, mask, same, rows, counts and values of both): row, links (vectors linked with), root (one of its component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 size, mask, same = (batch.column(i)[k].as_py() for i in range(3))
                 ra, ca, rb, cb = (batch.column(i)[k].values.to_numpy() for i in range(3, 7))
-                x, y = _matrix(batch.column(7)[k].values, size), _matrix(batch.column(8)[k].values, size)
+                x, y = turned(batch.column(7)[k].values, size), turned(batch.column(8)[k].values, size)
                 i, j = compare(x, y, mask, cosine, same)
                 if not len(i):
                     continue
@@ -206,38 +206,35 @@ def vector_components(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = numbered(vectors, "row", ["vec_id", "embedding"])
-    parsed = written(rows.select("row", F.col("embedding").cast("array<double>")).mapInArrow(_parse, "row long, size int, unit binary"), "units")
-    prints = parsed.select("row", "size", "unit", F.xxhash64("unit").alias("fa"), F.xxhash64(F.lit(7), F.md5("unit")).alias("fb")).where("unit IS NOT NULL")
+    parsed = written(rows.select("row", F.col("embedding").cast("array<double>")).mapInArrow(_parse, "row long, size int, raw binary"), "values")
+    prints = parsed.select("row", "size", "raw", F.xxhash64("raw").alias("fa"), F.xxhash64(F.lit(7), F.md5("raw")).alias("fb")).where("raw IS NOT NULL")
     n = prints.count()
     classes = written(prints.groupBy("fa", "fb", "size").agg(F.min("row").alias("rep"), F.count("*").alias("c")), "classes")
-    member = written(lookup(prints.drop("unit"), classes, ["fa", "fb", "size"], n, F.col("row")).select("row", "rep"), "members")
-    reps = prints.select(F.col("row").alias("rep"), "unit").join(classes, "rep").select(F.col("rep").alias("row"), "c", "size", "unit")
+    member = written(lookup(prints.drop("raw"), classes, ["fa", "fb", "size"], n, F.col("row")).select("row", "rep"), "members")
+    reps = prints.select(F.col("row").alias("rep"), "raw").join(classes, "rep").select(F.col("rep").alias("row"), "c", "size", "raw")
     reps = written(reps, "reps")
 
-    # a few vectors of each length, at most LANDMARKS in all
-    sizes = [r[0] for r in reps.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(LANDMARKS).select("size").collect()]
+    # a few vectors of the commonest lengths, at most LANDMARKS in all; other lengths have one cell each
+    sizes = [r[0] for r in reps.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(8).collect()]
     most = max(1, min(LANDMARKS // max(1, len(sizes)), -(-n // TILE)))
-    marks: dict[int, list[bytes]] = {}
-    for size in sizes[:8]:
-        marks[size] = [bytes(r[0]) for r in reps.where(F.col("size") == size).orderBy(F.xxhash64("row", F.lit(5)), "row").limit(most).select("unit").collect()]
-    shared = spark.sparkContext.broadcast(_Marks(marks))
-    placed = written(reps.mapInArrow(_assign(shared), "row long, c long, size int, unit binary, cell int"), "placed")
+    marks = {size: [bytes(r[0]) for r in reps.where(F.col("size") == size).orderBy(F.xxhash64("row", F.lit(5)), "row").limit(most).select("raw").collect()] for size in sizes}
+    placed = written(reps.mapInArrow(_assign(spark.sparkContext.broadcast(marks)), "row long, c long, size int, raw binary, cell int"), "placed")
     per = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")).cast("int").alias("chunk")
-    dealt = placed.join(sized(written(per, "cells")), ["size", "cell"]).select("size", "cell", chunk, F.struct("row", "c", "unit").alias("x"))
+    dealt = placed.join(sized(written(per, "cells")), ["size", "cell"]).select("size", "cell", chunk, F.struct("row", "c", "raw").alias("x"))
     tiles = dealt.groupBy("size", "cell", "chunk").agg(F.collect_list("x").alias("x"))
-    tiles = tiles.select(F.xxhash64("size", "cell", "chunk").alias("tile"), "size", F.col("x.row").alias("rows"), F.col("x.c").alias("counts"), F.col("x.unit").alias("units"))
+    tiles = tiles.select(F.xxhash64("size", "cell", "chunk").alias("tile"), "size", F.col("x.row").alias("rows"), F.col("x.c").alias("counts"), F.col("x.raw").alias("raw"))
     tiles = written(tiles, "tiles")
 
     reach = 2 - 2 * cosine
-    balls = written(tiles.select("tile", "size", "units").mapInArrow(_grid(reach), "tile long, size int, block int, gx int, gy int, center binary, radius double"), "balls")
+    balls = written(tiles.select("tile", "size", "raw").mapInArrow(_grid(reach), "tile long, size int, block int, gx int, gy int, center binary, radius double"), "balls")
     a, b = (balls.select("size", "block", "gx", "gy", *(F.col(c).alias(f"{x}_{c}") for c in ("tile", "center", "radius"))) for x in "ab")
     met = a.join(b, ["size", "block", "gx", "gy"]).where("a_tile <= b_tile").drop("gx", "gy").dropDuplicates(["block", "a_tile", "b_tile"])
     met = met.where(_near(reach)("size", "block", "a_center", "a_radius", "b_center", "b_radius"))
     pairs = written(met.groupBy("a_tile", "b_tile").agg(F.expr("bit_or(shiftleft(1L, block))").alias("mask")), "tile_pairs")
-    side = lambda x: tiles.select(F.col("tile").alias(f"{x}_tile"), "size", *(F.col(c).alias(f"{x}_{c}") for c in ("rows", "counts", "units")))
+    side = lambda x: tiles.select(F.col("tile").alias(f"{x}_tile"), "size", *(F.col(c).alias(f"{x}_{c}") for c in ("rows", "counts", "raw")))
     both = pairs.join(side("a"), "a_tile").join(side("b").drop("size"), "b_tile")
-    both = both.select("size", "mask", (F.col("a_tile") == F.col("b_tile")).alias("same"), "a_rows", "a_counts", "b_rows", "b_counts", "a_units", "b_units")
+    both = both.select("size", "mask", (F.col("a_tile") == F.col("b_tile")).alias("same"), "a_rows", "a_counts", "b_rows", "b_counts", "a_raw", "b_raw")
     found = written(both.mapInArrow(_links(cosine), "row long, links long, root long"), "links")
 
     label = components(reps.select(F.col("row").alias("id"), F.col("row").alias("comp")), found.select(F.col("row").alias("a"), F.col("root").alias("b")))
@@ -250,10 +247,3 @@ def vector_components(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     first = written(x.groupBy("comp").agg(F.count("*").alias("c"), F.min("vec_id").alias("component_id")), "first")
     out = lookup(x, first, ["comp"], x.count(), F.col("row"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-class _Marks(dict):
-    """Landmarks by length; a length without any has its first unit vector."""
-
-    def __missing__(self, size: int) -> list[bytes]:
-        return [np.eye(1, size).tobytes()]
