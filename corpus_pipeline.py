@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     row = free_name(docs)
     rows = numbered(docs, row)
-    drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=(row,))
+    drawn = mix(rows, weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, keep=(row,), row=row)
     times = F.size(F.filter("draws", lambda d: 2 * d["words"] >= F.col("size"))).alias(f"{row}_times")
     drawn = written(drawn.select(row, times).where(f"{row}_times > 0"), "times")
     x = rows.join(sized(drawn), row)
