@@ -9,7 +9,7 @@ from .skew import HOT, lookup
 from .store import Kept, written
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
     """The smallest id that links reach from each node: (id, comp).
 
     nodes: (id, comp), where comp is a label that is known to belong to the same component, id itself
@@ -17,7 +17,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     name must be nodes. Each round takes the least label of the neighbours, then the label of that
     label; stars end after one round, chains after a number that grows with the logarithm of their length.
     Where a hub or a large component holds a large share of the rows, its label is broadcast, fewer than skew.HOT of
-    each, so that none makes a task that gets this share.
+    each, so that none makes a task that gets this share. rounds: stop after so many, with labels that hold but may not be the least yet.
     """
     kept = Kept()
     one = links.where("a <> b").select("a", "b")
@@ -25,7 +25,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     label = nodes.select("id", "comp")
     degree = both.groupBy("b").agg(F.count("*").alias("c"))
     n_links, hub = degree.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
-    while n_links:
+    while n_links and (rounds is None or rounds > 0):
+        rounds = None if rounds is None else rounds - 1
         if hub * HOT > n_links:
             ends = label.withColumnRenamed("id", "b").join(degree, "b")
             ends = lookup(both, ends, ["b"], n_links, F.xxhash64("a"))

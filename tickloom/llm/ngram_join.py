@@ -239,11 +239,11 @@ def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST
     sketch.unpersist()
 
     # long lists first: their near copies are found by comparison with a pivot
-    long = post.where(F.col("df") > LONG).drop("df")
+    long = written(post.where(F.col("df") > LONG).drop("df").join(nodes, "id"), "long")
     label = long.select("id").distinct().withColumn("comp", F.col("id"))
     done = None  # the pairs that were compared
     for step in range(rounds):
-        here = kept.add(long.join(nodes, "id").join(label, "id"))
+        here = kept.add(long.join(label, "id"))
         mixed = _mixed(here)
         size = mixed.agg(F.sum(F.col("c") - 1), F.sum((F.col("c") - F.col("top")) * F.col("c"))).first()
         if not size[0] or size[1] <= 4 * size[0]:
@@ -253,7 +253,7 @@ def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST
         pivot = pivot.select("token", "p.*").select("token", *_side("a"))
         pairs = here.select("token", *_side("b")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits())
         found = job.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), done)
-        label = components(label, found.where("linked"))
+        label = components(label, found.where("linked"), rounds=1)  # stars need no more; what is left shows at the end
         done = found if done is None else done.unionByName(found)
 
     # then every pair that can still join two components, over all lists
@@ -265,7 +265,8 @@ def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST
     pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits())
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
     found = job.verify(pairs, done)
-    label = components(here.select("id", "comp").unionByName(label).distinct(), found.where("linked"))
+    links = (found if done is None else found.unionByName(done)).where("linked")
+    label = components(here.select("id", "comp").unionByName(label).distinct(), links)
 
     member = kept.add(classes.select("rep", "c")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
     member = written(member.select("rep", "c", F.coalesce("comp", "rep").alias("component")), "members")
