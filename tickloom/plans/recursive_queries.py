@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from .. import schema
-from ..operators import scan
-from .sql import HOURLY, rounded
+from ..operators import regimes, scan
+from .sql import HOURLY, lag, roll, rounded
 
 QUERIES, ORACLES = {}, {}
 
@@ -73,3 +73,84 @@ _GRID = (20, 40, 60, 80)
 @query(f"WITH {WALK} SELECT symbol, ts, {', '.join([_r(f'e{n} / nullif(close, 0)', f'ema_rel_{n}') for n in _GRID] + [_r(f'(e{a} - e{b}) / nullif(close, 0)', f'ema_delta_{a}_{b}') for i, a in enumerate(_GRID) for b in _GRID[i + 1:]])} FROM r")
 def w08_ema_grid_scanned(s, d):
     return rounded(scan.ema_grid(schema.bars(s, d)).drop("open", "high", "low", "close", "volume", "n"))
+
+
+def _mean(*names: str) -> str:
+    return f"({' + '.join(names)}) / {len(names)}.0::DOUBLE"
+
+
+def _most(op: str) -> str:
+    return " + ".join(f"({s} {op} 0)::INT" for s in ("x1", "x2", "x3", "y1", "y2", "y3", "v1", "v2", "v3", "w1", "w2"))
+
+
+_W = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+#: The eleven signals of a bar, prices in cents: trend x, momentum y, volatility v, pattern w.
+DETECT = WALK.replace("value AS price", "round(value * 100) AS price") + f""",
+q0 AS (SELECT symbol, seq, ts, r.close, st.high, st.low, st.ret, CASE WHEN seq >= 28 THEN adx END AS adx, CASE WHEN seq >= 15 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi,
+  line, sig, CASE WHEN seq >= 15 THEN r.tr END AS atr FROM r JOIN (SELECT symbol, seq, high, low, ret FROM st) st USING (symbol, seq)),
+q1 AS (SELECT *, {lag("close")} AS p, {roll("avg", "close", 50)} AS s, {roll("avg", "close", 200)} AS lg, {roll("stddev_samp", "ret", 24)} * sqrt(8760) AS vol, {roll("avg", "atr", 5)} AS a5, {roll("avg", "atr", 20)} AS a20,
+  {roll("avg", "close", 20)} AS m, {roll("stddev_samp", "close", 20)} AS d, {roll("avg", "close", 10)} AS a10, {roll("max", "high", 10)} AS hi, {roll("min", "low", 10)} AS lo FROM q0),
+q2 AS (SELECT *, first_value(vol IGNORE NULLS) {_W} AS v0, {lag("lg", 5)} AS lg5 FROM q1),
+q3 AS (SELECT *, lg IS NOT NULL AND a20 IS NOT NULL AND vol IS NOT NULL AND adx IS NOT NULL AND rsi IS NOT NULL AS known,
+  CASE WHEN s > lg THEN 1 ELSE -1 END AS x1, CASE WHEN close > lg THEN 1 ELSE -1 END AS x2, coalesce(sign(lg - lg5), 0)::INT AS x3,
+  CASE WHEN line > sig THEN 1 ELSE -1 END AS y1, CASE WHEN rsi > 70 THEN 2 WHEN rsi > 60 THEN 1 WHEN rsi < 30 THEN -2 WHEN rsi < 40 THEN -1 ELSE 0 END AS y2, CASE WHEN adx > 40 THEN 2 WHEN adx > 25 THEN 1 WHEN adx < 15 THEN -1 ELSE 0 END AS y3,
+  CASE WHEN vol > 2 * v0 THEN 1 WHEN vol < 0.5 * v0 THEN -1 ELSE 0 END AS v1, CASE WHEN a5 > a20 * 1.1::DOUBLE THEN 1 WHEN a5 < a20 * 0.9::DOUBLE THEN -1 ELSE 0 END AS v2,
+  CASE WHEN close > m + 2 * d THEN 2 WHEN close > m THEN 1 WHEN close < m - 2 * d THEN -2 WHEN close < m THEN -1 ELSE 0 END AS v3,
+  CASE WHEN close > a10 AND close > m AND close > s AND a10 > m AND m > s THEN 1 WHEN close < a10 AND close < m AND close < s AND a10 < m AND m < s THEN -1 ELSE 0 END AS w1,
+  CASE WHEN close > hi AND p < hi THEN 1 WHEN close < lo AND p > lo THEN -1 WHEN abs((hi - close) / nullif(hi, 0)) < 0.01 AND close < p THEN -1 WHEN abs((close - lo) / nullif(close, 0)) < 0.01 AND close > p THEN 1 ELSE 0 END AS w2 FROM q2),
+q4 AS MATERIALIZED (SELECT *, CASE WHEN known THEN 0.4::DOUBLE * 1.2::DOUBLE * {_mean("x1", "x2", "x3")} + 0.3::DOUBLE * {_mean("y1", "y2", "y3")} + 0.2::DOUBLE * {_mean("v1", "v2", "v3")} + 0.1::DOUBLE * {_mean("w1", "w2")} END AS score,
+  CASE WHEN known THEN greatest({_most(">")}, {_most("<")}, {_most("=")}) / 11.0::DOUBLE * CASE WHEN v1 <> 0 THEN 0.8::DOUBLE ELSE 1 END END AS conf FROM q3)"""
+#: The state that follows from a bar's score and the state before it.
+_STEP = """CASE WHEN b.score IS NULL THEN {was} WHEN b.conf > CASE WHEN abs(b.score) > 0.3 THEN 0.25 ELSE 0.3 END THEN
+  CASE WHEN b.score > CASE {was} WHEN 1 THEN -0.25 WHEN -1 THEN 0.25 ELSE 0.2 END THEN 1 WHEN b.score < -CASE {was} WHEN 1 THEN -0.25 WHEN -1 THEN 0.25 ELSE 0.2 END THEN -1 ELSE 0 END ELSE 0 END"""
+REGIME = DETECT + f""", h AS (
+  SELECT symbol, seq, {_STEP.format(was="0")} AS regime FROM q4 b WHERE seq = 1
+  UNION ALL SELECT b.symbol, b.seq, {_STEP.format(was="h.regime")} FROM h JOIN q4 b ON b.symbol = h.symbol AND b.seq = h.seq + 1)"""
+_BACK = {5: 4, 10: 9, 20: 19, 30: 29}
+_MOMENTUM = (
+    "0.4::DOUBLE * (" + " + ".join(f"coalesce(close > {lag('close', k)}, false)::INT" for k in _BACK.values()) + ") / 4 + 0.3::DOUBLE * ("
+    + " + ".join(f"coalesce({roll('avg', 'close', a)} > {roll('avg', 'close', b)}, false)::INT" for a, b in ((5, 10), (10, 20), (20, 30))) + ") / 3 + 0.2::DOUBLE * ("
+    + " + ".join(f"coalesce(close > {roll('avg', 'close', n)}, false)::INT" for n in _BACK) + f") / 4 + 0.1::DOUBLE * coalesce(close > {lag('close', 4)} AND close > {lag('close', 9)}, false)::INT"
+)
+LEVERAGE = REGIME + f""",
+k AS (SELECT q4.*, h.regime, CASE WHEN seq >= 20 THEN 0.2::DOUBLE * (close / {lag("close")} - 1) + 0.3::DOUBLE * (close / {lag("close", 4)} - 1) + 0.5::DOUBLE * (close / {lag("close", 19)} - 1) ELSE 0 END AS dn,
+  CASE WHEN seq >= 50 THEN {_MOMENTUM} ELSE 0 END AS mo, greatest(0, least(1, (vol - 0.5 * v0) / (1.5 * v0))) AS pl FROM q4 JOIN h USING (symbol, seq)),
+o AS (SELECT *, CASE WHEN regime > 0 THEN (2 + 3 * (regime + 1)) * (1 + 1.2::DOUBLE * (score + 1)) ELSE (1 + 0.5 * (regime + 1)) * (1 + 0.3::DOUBLE * (score + 1)) END
+  * (1 - pl * 0.2::DOUBLE * CASE WHEN regime > 0 THEN 0.2 ELSE 1.2 END) * CASE WHEN dn >= 0 THEN 1 + dn ELSE exp(4 * dn) END
+  * CASE WHEN mo > 0.2 AND pl < 0.6 AND conf > 0.4 THEN least(4, 1 + (mo - 0.2) * 5 + (0.6 - pl) * 3 + (conf - 0.4) * 3) ELSE 1 END AS total FROM k)"""
+
+
+def _detected(s, d):
+    return regimes.detect(schema.in_cents(schema.bars(s, d)))
+
+
+@query(f"WITH {DETECT} SELECT symbol, ts, round(score, 6) + 0.0::DOUBLE AS trend_score, round(conf, 6) + 0.0::DOUBLE AS confidence FROM q4")
+def g30_trend_score(s, d):
+    x = regimes.signals(scan.scanned_columns(schema.in_cents(schema.bars(s, d))))
+    return rounded(x.select("symbol", "ts", regimes.trend_score().alias("trend_score"), regimes.confidence().alias("confidence")))
+
+
+@query(f"WITH {REGIME} SELECT symbol, ts, regime::INT AS regime FROM q4 JOIN h USING (symbol, seq)")
+def g31_regime(s, d):
+    x = regimes.signals(scan.scanned_columns(schema.in_cents(schema.bars(s, d))))
+    return regimes.regimes(x.select("symbol", "ts", regimes.trend_score().alias("trend_score"), regimes.confidence().alias("confidence"))).select("symbol", "ts", "regime")
+
+
+@query(f"WITH {LEVERAGE} SELECT symbol, ts, CASE WHEN total IS NOT NULL THEN round(greatest(1, least(CASE WHEN regime > 0 THEN 5 ELSE 2.5 END, total)), 5) + 0.0::DOUBLE END AS leverage FROM o")
+def g32_regime_leverage(s, d):
+    return rounded(_detected(s, d).select("symbol", "ts", "leverage"), 5)
+
+
+@query(f"WITH {WALK} SELECT symbol, ts, CASE WHEN seq < 28 THEN 0 WHEN adx > 40 THEN 2 WHEN adx > 25 THEN 1 WHEN adx < 15 THEN -1 ELSE 0 END::INT AS adx_class FROM r")
+def g29_adx_class_scanned(s, d):
+    from ..operators import scores
+
+    return scan.scanned_columns(schema.bars(s, d)).select("symbol", "ts", scores.adx_class().alias("adx_class"))
+
+
+def g28_families(s, d):
+    """The four families and their blend for each symbol's last bar; members are tested one by one, so it has no SQL."""
+    return rounded(regimes.families(schema.bars(s, d)))
+
+
+QUERIES["g28_families"] = g28_families
