@@ -154,3 +154,110 @@ def g28_families(s, d):
 
 
 QUERIES["g28_families"] = g28_families
+
+
+# SQL of queries that are registered elsewhere: the recursive columns and the scores over them.
+
+def _sar(x: str, step: float, most: float) -> tuple[str, str, str, str, str]:
+    """The parabolic stop in five steps: state before, level, turn, state after, next level."""
+    first = "b.seq = 2"
+    return (
+        f"CASE WHEN {first} THEN b.up >= b.dn ELSE r.{x}l END AS {x}l0, CASE WHEN {first} THEN CASE WHEN b.up >= b.dn THEN b.l1 ELSE b.h1 END ELSE r.{x}n END AS {x}s0, CASE WHEN {first} THEN CASE WHEN b.up >= b.dn THEN b.high ELSE b.low END ELSE r.{x}e END AS {x}e0, CASE WHEN {first} THEN {step} ELSE r.{x}a END AS {x}a0",
+        f"CASE WHEN {x}l0 THEN least({x}s0, l1, coalesce(l2, l1)) ELSE greatest({x}s0, h1, coalesce(h2, h1)) END AS {x}s1",
+        f"CASE WHEN {x}l0 THEN low <= {x}s1 ELSE high >= {x}s1 END AS {x}f",
+        f"{x}l0 <> {x}f AS {x}l, CASE WHEN {x}f THEN CASE WHEN {x}l0 THEN greatest({x}e0, high) ELSE least({x}e0, low) END ELSE {x}s1 END AS {x}o, "
+        f"CASE WHEN {x}f THEN CASE WHEN {x}l0 THEN low ELSE high END WHEN {x}l0 THEN greatest({x}e0, high) ELSE least({x}e0, low) END AS {x}e, "
+        f"CASE WHEN {x}f THEN {step} WHEN {x}l0 AND high > {x}e0 OR NOT {x}l0 AND low < {x}e0 THEN least({most}, {x}a0 + {step}) ELSE {x}a0 END AS {x}a",
+        f"{x}o + {x}a * ({x}e - {x}o) AS {x}n",
+    )
+
+
+_SARS = [_sar("f", "0.02::DOUBLE", "0.2::DOUBLE"), _sar("s", "0.01::DOUBLE", "0.1::DOUBLE")]
+_STATE = ", ".join(f"{x}l, {x}o, {x}e, {x}a, {x}n" for x in "fs")
+_SUMS = "n1, q1, d1, n2, q2, d2, gs, gd"
+#: The stops and the stochastic momentum index; a mean of a mean is null until its first value, and weights decay on every bar.
+EXTRA = f"""sx AS (SELECT *, CASE WHEN seq >= 10 THEN max(high) OVER w10 END AS hh, CASE WHEN seq >= 10 THEN min(low) OVER w10 END AS ll FROM st WINDOW w10 AS (PARTITION BY symbol ORDER BY seq ROWS 9 PRECEDING)),
+e AS (
+  SELECT symbol, seq, {", ".join(f"NULL::BOOLEAN AS {x}l, NULL::DOUBLE AS {x}o, NULL::DOUBLE AS {x}e, NULL::DOUBLE AS {x}a, NULL::DOUBLE AS {x}n" for x in "fs")}, {", ".join(f"0.0::DOUBLE AS {c}" for c in _SUMS.split(", "))}, NULL::DOUBLE AS smi FROM sx WHERE seq = 1
+  UNION ALL
+  SELECT symbol, seq, {_STATE}, n1, q1, d1, n2, q2, d2, gs * (9.0::DOUBLE / 11) + coalesce(smi, 0) AS gs, gd * (9.0::DOUBLE / 11) + CASE WHEN smi IS NULL THEN 0 ELSE 1 END AS gd, smi FROM (
+    SELECT *, {", ".join(x[4] for x in _SARS)}, CASE WHEN q2 <> 0 THEN 100 * n2 / q2 END AS smi FROM (
+      SELECT *, {", ".join(x[3] for x in _SARS)}, p2n * 0.5 + CASE WHEN d1 > 0 THEN n1 / d1 ELSE 0 END AS n2, p2q * 0.5 + CASE WHEN d1 > 0 THEN q1 / d1 ELSE 0 END AS q2, p2d * 0.5 + CASE WHEN d1 > 0 THEN 1 ELSE 0 END AS d2 FROM (
+        SELECT *, {", ".join(x[2] for x in _SARS)} FROM (
+          SELECT *, {", ".join(x[1] for x in _SARS)} FROM (
+            SELECT b.symbol, b.seq, b.high, b.low, b.h1, b.l1, b.h2, b.l2, {", ".join(x[0] for x in _SARS)}, r.n2 AS p2n, r.q2 AS p2q, r.d2 AS p2d, r.gs, r.gd,
+              r.n1 * 0.5 + coalesce(b.close - (b.hh + b.ll) / 2, 0) AS n1, r.q1 * 0.5 + coalesce((b.hh - b.ll) / 2, 0) AS q1, r.d1 * 0.5 + CASE WHEN b.hh IS NULL THEN 0 ELSE 1 END AS d1
+            FROM e r JOIN sx b ON b.symbol = r.symbol AND b.seq = r.seq + 1)))))
+)"""
+#: Every recursive column of a bar, null where it has no value.
+FULL = WALK + ", " + EXTRA + f""",
+a0 AS (SELECT symbol, seq, ts, r.close, bars.open, bars.high, bars.low, bars.volume, bars.n, e12 AS ema_12, e26 AS ema_26, e20 / nullif(r.close, 0) AS ema_rel_20, e40 / nullif(r.close, 0) AS ema_rel_40, (e20 - e40) / nullif(r.close, 0) AS ema_delta_20_40,
+  num / nullif(den, 0) AS ewm_03, CASE WHEN seq >= 15 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END AS rsi, line AS macd, sig AS macd_signal, line - sig AS macd_hist, CASE WHEN seq >= 15 THEN r.tr END AS atr,
+  CASE WHEN seq >= 15 THEN 100 * p / nullif(r.tr, 0) END AS plus_di, CASE WHEN seq >= 15 THEN 100 * m / nullif(r.tr, 0) END AS minus_di, CASE WHEN seq >= 28 THEN adx END AS adx, fo AS sar_fast, so AS sar_slow, smi, gs / nullif(gd, 0) AS smi_signal,
+  CASE WHEN seq >= 21 THEN v END AS garch, st.ret FROM r JOIN (SELECT symbol, seq, {_STATE}, smi, gs, gd FROM e) e USING (symbol, seq) JOIN (SELECT symbol, seq, ret FROM st) st USING (symbol, seq) JOIN bars USING (symbol, ts)),
+a1 AS MATERIALIZED (SELECT *, (adx + {lag("adx", 13)}) / 2 AS adxr, {" + ".join(f"{0.9 ** k / sum(0.9 ** i for i in range(12))!r}::DOUBLE * " + (lag("ret", k) if k else "ret") for k in range(12))} AS ewm_win FROM a0)"""
+
+_ALL = ["ema_12", "ema_26", "ema_rel_20", "ema_rel_40", "ema_delta_20_40", "ewm_03", "ewm_win", "rsi", "macd", "macd_signal", "macd_hist", "atr", "plus_di", "minus_di", "adx", "adxr", "sar_fast", "sar_slow", "smi", "smi_signal", "garch"]
+ORACLES["w07_w39_recursive"] = f"WITH {FULL} SELECT symbol, ts, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ['open', 'high', 'low', 'close', 'volume'])}, n, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in _ALL)} FROM a1"
+ORACLES["w08_ema_grid"] = ORACLES["w08_ema_grid_scanned"]
+ORACLES["g29_adx_class"] = ORACLES["g29_adx_class_scanned"]
+
+
+def _lim(c: str) -> str:
+    return f"greatest(least({c}, 1), -1)"
+
+
+def _score(parts: list[tuple[float, str]]) -> str:
+    """The limited weighted sum, null if a part is."""
+    some = " AND ".join(f"({c}) IS NOT NULL" for _, c in parts)
+    total = " + ".join(f"{w}::DOUBLE * ({c})" for w, c in parts)
+    return f"CASE WHEN {some} THEN {_lim(total)} END"
+
+
+def _maybe(c: str, scale: float = 1.0) -> str:
+    return f"CASE WHEN ({c}) IS NOT NULL THEN {_lim(f'({c}) * {scale}::DOUBLE')} END"
+
+
+def _change(c: str, d: int) -> str:
+    return f"(({c} - {lag(c, d - 1)}) / nullif({lag(c, d - 1)}, 0))"
+
+
+def _side(c: str) -> str:
+    return f"CASE WHEN ({c}) > 0 THEN 1 ELSE -1 END"
+
+
+def _crossing(now: str, was: str, size: str) -> str:
+    return f"CASE WHEN {now} > 0 AND {was} <= 0 THEN 1 WHEN {now} < 0 AND {was} >= 0 THEN -1 ELSE {size} END"
+
+
+def _near(v: str) -> str:
+    return f"CASE WHEN {v} IS NOT NULL AND close <> 0 THEN least(abs(close - {v}) / close / 0.05::DOUBLE, 1) * {_side(f'close - {v}')} END"
+
+
+_BY = "(abs(macd) + 1e-8::DOUBLE)"
+_RECURSIVE_SCORES = {
+    "dmi_score": _score([(0.4, "rel * strong"), (0.3, f"strong * {_side('rel')}"), (0.15, f"{_maybe(_change('adx', 5), 10)} * {_side('rel')}"), (0.15, _maybe("(pm - pm1) / 5"))]),
+    "psar_score": _score([(0.3, _near("sar_fast")), (0.3, _near("sar_slow")), (0.2, "CASE WHEN sf1 > c1 AND close > sar_fast THEN 1 WHEN sf1 < c1 AND close < sar_fast THEN -1 ELSE 0 END"), (0.2, _maybe(_change("close", 5), 20))]),
+    "rsi_score": _score([(0.6, "(rsi - 50) / 50"), (0.2, "(rsi - rsi1) / 100"), (0.2, "CASE WHEN rsi >= 70 THEN (rsi - 70) / 30 WHEN rsi <= 30 THEN (rsi - 30) / 30 ELSE 0 END")]),
+    "macd_score": _score([(0.3, _crossing("macd_hist", "hist1", f"macd_hist / {_BY}")), (0.2, _maybe(f"macd_hist / {_BY}")), (0.2, _maybe("(macd_hist - hist1) / (abs(macd_hist) + 1e-8::DOUBLE)")), (0.15, _maybe(f"(macd - macd1) / {_BY}")), (0.15, _maybe(f"macd / {_BY}"))]),
+    "price_score": _score([
+        (0.35, " + ".join(f"{w}::DOUBLE * tanh({_change('close', d)} / 0.1::DOUBLE)" for d, w in ((5, 0.4), (10, 0.3), (20, 0.2), (30, 0.1)))), (0.25, "tanh((ret - ret1) / 0.02::DOUBLE)"), (0.2, "tanh((cv - cv1) / 0.05::DOUBLE)"),
+        (0.2, f"tanh(((close - {lag('close', 4)}) / nullif(atr * 5, 0)) / 2)"),
+    ]),
+    "smi_score": _score([(0.4, "smi / 100"), (0.2, "(smi - smi1) / 100"), (0.25, _crossing("(smi - smi_signal)", "gap1", "(smi - smi_signal) / 100")), (0.15, "CASE WHEN abs(smi) > 40 THEN (abs(smi) - 40) / 60 * sign(smi) ELSE 0 END")]),
+}
+SCORED = FULL + f""",
+b0 AS (SELECT *, plus_di - minus_di AS pm, CASE WHEN plus_di + minus_di > 0 THEN (plus_di - minus_di) / (plus_di + minus_di) WHEN plus_di + minus_di IS NOT NULL THEN 0 END AS rel, CASE WHEN adx IS NOT NULL THEN least(adx / 50, 1) END AS strong,
+  ({roll("avg", "close", 10)} - {roll("avg", "close", 50)}) / nullif({roll("avg", "close", 50)}, 0) AS cv FROM a1),
+b1 AS (SELECT *, {lag("pm")} AS pm1, {lag("cv")} AS cv1, {lag("ret")} AS ret1, {lag("sar_fast")} AS sf1, {lag("close")} AS c1, {lag("rsi")} AS rsi1, {lag("macd_hist")} AS hist1, {lag("macd")} AS macd1, {lag("smi")} AS smi1, {lag("smi")} - {lag("smi_signal")} AS gap1 FROM b0)"""
+ORACLES["g06_g12_recursive_scores"] = f"WITH {SCORED} SELECT symbol, ts, {', '.join(f'round({e}, 6) + 0.0::DOUBLE AS {n}' for n, e in _RECURSIVE_SCORES.items())} FROM b1"
+
+_FLOW = HOURLY + f""", tp AS (SELECT *, (high + low + close) / 3 AS t FROM bars), mf AS (SELECT *, CASE WHEN p IS NOT NULL THEN CASE WHEN t > p THEN t * volume ELSE 0 END END AS u, CASE WHEN p IS NOT NULL THEN CASE WHEN t < p THEN t * volume ELSE 0 END END AS d FROM (SELECT *, {lag("t")} AS p FROM tp)),
+mi AS (SELECT *, CASE WHEN dn = 0 AND un > 0 THEN 100 ELSE 100 - 100 / (1 + un / nullif(dn, 0)) END AS mfi FROM (SELECT *, {roll("sum", "u", 14)} AS un, {roll("sum", "d", 14)} AS dn FROM mf))"""
+_MFI = _score([(0.35, "(mfi - 50) / 50"), (0.25, f"(mfi - {lag('mfi')}) / 100"), (0.2, "CASE WHEN mfi >= 80 THEN -(mfi - 80) / 20 WHEN mfi <= 20 THEN (20 - mfi) / 20 ELSE 0 END"), (0.2, _maybe(f"((mfi - {lag('mfi', 9)}) / 100 - {_change('close', 10)}) * 5"))])
+ORACLES["g13_money_flow_score"] = f"WITH {_FLOW} SELECT symbol, ts, round({_MFI}, 6) + 0.0::DOUBLE AS mfi_score FROM mi"
+#: The simpler band around zero: in above 0.3, kept until inside 0.1.
+_BAND = "CASE WHEN {was} > 0 AND b.score >= 0.1 OR {was} < 0 AND b.score <= -0.1 THEN {was} WHEN b.score >= 0.3 THEN 1 WHEN b.score <= -0.3 THEN -1 ELSE 0 END"
+ORACLES["g31_hysteresis_regime"] = f"""WITH RECURSIVE {HOURLY}, y AS (SELECT symbol, seq, tanh((close - 50) / 50) AS score FROM seqs), h AS (
+  SELECT symbol, seq, {_BAND.format(was="0")} AS regime FROM y b WHERE seq = 1 UNION ALL SELECT b.symbol, b.seq, {_BAND.format(was="h.regime")} FROM h JOIN y b ON b.symbol = h.symbol AND b.seq = h.seq + 1)
+SELECT symbol, regime::DOUBLE AS regime, count(*) AS n FROM h GROUP BY ALL"""
