@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import rolling as R
-from ..operators import align, evaluate, gram, ml, pairs, portfolio, recursive
+from ..operators import align, copulas, evaluate, gram, ml, pairs, portfolio, recursive
 from ..sources.shared import new_folder
 from ..streaming import jobs
 from .sql import HOURLY, LEDGER, PAIRS, lag, over, roll, rounded, select
@@ -107,7 +107,12 @@ def _signals(s, d):
     return pairs.rolling_beta_zscore(_pb(s, d), 24).withColumn("p", F.lit(0.01))
 
 
-@query()
+_B9 = f"(CASE WHEN count(close2) {over(24, P, -1)} = 24 THEN sum(close1 * close2) {over(24, P, -1)} / nullif(sum(close2 * close2) {over(24, P, -1)}, 0) END)"
+_T9 = "RECURSIVE " + PAIRS + f", b9 AS (SELECT *, {_B9} AS beta, {lag('close1', 1, P)} AS l1, {lag('close2', 1, P)} AS l2, row_number() OVER (PARTITION BY sym1, sym2 ORDER BY ts) AS i FROM pb), s9 AS (SELECT *, l1 - beta * l2 AS spread FROM b9), z9 AS MATERIALIZED (SELECT sym1, sym2, ts, i, (spread - {roll('avg', 'spread', 24, P)}) / nullif({roll('stddev_pop', 'spread', 24, P)}, 0) AS z FROM s9)"
+_H9 = "CASE WHEN {was} <> 0 AND (b.z IS NULL OR {was} > 0 AND b.z >= 0 OR {was} < 0 AND b.z <= 0) THEN 0 WHEN {was} <> 0 THEN {was} WHEN abs(b.z) >= 2 THEN CASE WHEN b.z > 0 THEN -1 ELSE 1 END ELSE 0 END"
+
+
+@query(f"WITH {_T9}, h AS (SELECT sym1, sym2, i, {_H9.format(was='0')} AS position FROM z9 b WHERE i = 1 UNION ALL SELECT b.sym1, b.sym2, b.i, {_H9.format(was='h.position')} FROM h JOIN z9 b ON b.sym1 = h.sym1 AND b.sym2 = h.sym2 AND b.i = h.i + 1) SELECT sym1, sym2, ts, round(z, 6) + 0.0::DOUBLE AS z, position::DOUBLE AS position FROM z9 JOIN h USING (sym1, sym2, i)")
 def t09_held_positions(s, d):
     return rounded(pairs.held_signal(_signals(s, d)).select("sym1", "sym2", "ts", "z", "position"))
 
@@ -141,6 +146,24 @@ def t14_t16_t17_mispricing(s, d):
     return rounded(x.select("*", pairs.copula_signal(F.col("h1"), F.col("h2")).alias("signal"), pairs.copula_exit(F.col("h1"), F.col("h2")).alias("leave")))
 
 
+_LR = HOURLY + ", lr AS (SELECT symbol, ts, ln(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS r FROM bars), lp AS (SELECT a.symbol AS sym1, b.symbol AS sym2, a.ts, a.r AS x, b.r AS y FROM lr a JOIN lr b ON a.ts = b.ts AND a.symbol < b.symbol AND a.r IS NOT NULL AND b.r IS NOT NULL), ct AS (SELECT a.sym1, a.sym2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, count(*) FILTER (a.x <> b.x) AS nx, count(*) FILTER (a.y <> b.y) AS ny FROM lp a JOIN lp b ON a.sym1 = b.sym1 AND a.sym2 = b.sym2 AND a.ts < b.ts GROUP BY ALL)"
+
+
+@query(f"WITH {_LR} SELECT sym1, sym2, (SELECT count(*) FROM lp WHERE lp.sym1 = ct.sym1 AND lp.sym2 = ct.sym2) AS n, round(s / sqrt(nx::DOUBLE * ny), 6) + 0.0::DOUBLE AS tau, round(sin(pi() * s / sqrt(nx::DOUBLE * ny) / 2), 6) + 0.0::DOUBLE AS rho FROM ct")
+def t16_rank_correlation(s, d):
+    """Kendall's tau and the copulas' correlation; a distribution function keeps the order, so returns give the same as uniform values."""
+    r = _log_ret(s, d)
+    x = align.pair_bars(r.withColumnRenamed("ret", "close")).withColumnsRenamed({"close1": "u1", "close2": "u2"})
+    return rounded(copulas.fit_elliptical(x).select("sym1", "sym2", "n", "tau", "rho"))
+
+
+@query()
+def t14_t16_t17_fitted(s, d):
+    """The indices under each pair's own fits, and what they say."""
+    x = copulas.fitted_mispricing(_uniform(s, d))
+    return rounded(x.select("*", pairs.copula_signal(F.col("h1"), F.col("h2")).alias("signal"), pairs.copula_exit(F.col("h1"), F.col("h2")).alias("leave")))
+
+
 @query(select(PAIRS + ", lg AS (SELECT sym1 AS symbol, close1 AS price, CASE WHEN close1 > close2 THEN -1 ELSE 1 END * floor(1000 / nullif(close1 + 0.5 * close2, 0)) AS qty FROM pb UNION ALL SELECT sym2, close2, -CASE WHEN close1 > close2 THEN -1 ELSE 1 END * floor(floor(1000 / nullif(close1 + 0.5 * close2, 0)) * 0.5) FROM pb), nt AS (SELECT symbol, sum(qty) AS qty, max(price) AS price FROM lg GROUP BY symbol)", "nt", "symbol", 4, where="WHERE qty <> 0", qty="qty", price="price", commission="abs(qty * price) * 0.0004"))
 def t18_quantities_netting(s, d):
     side = F.when(F.col("close1") > F.col("close2"), -1.0).otherwise(1.0)
