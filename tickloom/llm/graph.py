@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import HOT, lookup
-from .store import Kept, written
+from .store import Kept, shuffled, written
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -28,19 +28,19 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) ->
     while n_links and (rounds is None or rounds > 0):
         rounds = None if rounds is None else rounds - 1
         if hub * HOT > n_links:
-            ends = label.withColumnRenamed("id", "b").join(degree, "b")
+            ends = label.withColumnRenamed("id", "b").join(shuffled(degree), "b")
             ends = lookup(both, ends, ["b"], n_links, F.xxhash64("a"))
         else:
-            ends = both.join(label.withColumnRenamed("id", "b"), "b")
+            ends = both.join(shuffled(label.withColumnRenamed("id", "b")), "b")
         near = ends.groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
-        known = kept.add(label.join(near, "id", "left"))
+        known = kept.add(label.join(shuffled(near), "id", "left"))
         # what a label's own nodes have learnt goes to all that carry the label
         groups = known.groupBy("comp").agg(F.count("*").alias("c"), F.min("near").alias("heard"))
         n, news, most = groups.agg(F.sum("c"), F.count_if(F.expr("heard < comp")), F.max(F.expr("CASE WHEN heard < comp THEN c END"))).first()
         if not news:
             break
         groups = groups.where("heard < comp")
-        step = lookup(known, groups, ["comp"], n, F.xxhash64("id")) if most * HOT > n else known.join(groups.drop("c"), "comp", "left")
+        step = lookup(known, groups, ["comp"], n, F.xxhash64("id")) if most * HOT > n else known.join(shuffled(groups.drop("c")), "comp", "left")
         label = written(step.select("id", F.least("comp", "heard", "near").alias("comp")), "labels")
     kept.release()
     return label

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .skew import lookup
-from .store import Kept, numbered, sized, written
+from .store import Kept, numbered, shuffled, sized, written
 from .words import mix, shingle_sets
 
 PARTS = 64
@@ -182,13 +182,13 @@ class _Join:
         """(a, b, linked) for every pair (a, b) that isn't done, on whole shingle sets."""
         pairs = pairs.select("a", "b").distinct()
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(shuffled(done.select("a", "b")), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         ids = self.kept.add(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
         sets = self.kept.add(self.rows.join(sized(ids), "row", "left_semi").select("row", "text").mapInArrow(_sets(self.k), "id long, items array<long>"))
         both = F.size(F.array_intersect("x", "y"))
         linked = (both > 0) & (both * self.den >= (F.size("x") + F.size("y") - both) * self.num)
-        checked = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+        checked = pairs.join(shuffled(sets.select(F.col("id").alias("a"), F.col("items").alias("x"))), "a").join(shuffled(sets.select(F.col("id").alias("b"), F.col("items").alias("y"))), "b")
         return written(checked.select("a", "b", linked.alias("linked")), "checked")
 
     def fits(self):
@@ -235,40 +235,40 @@ def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST
     moved = kept.add(stat.where("rep <> row").select("row", "rep"))
     raw = raw.join(sized(moved), "row", "left").select("token", F.coalesce("rep", "row").alias("id"), "l")
     shared = raw.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("token", "df")
-    post = written(raw.join(shared, "token").groupBy("token", "id").agg(F.min("l").alias("l"), F.max("df").alias("df")), "shared")
+    post = written(raw.join(shuffled(shared), "token").groupBy("token", "id").agg(F.min("l").alias("l"), F.max("df").alias("df")), "shared")
     sketch.unpersist()
 
     # long lists first: their near copies are found by comparison with a pivot
-    long = written(post.where(F.col("df") > LONG).drop("df").join(nodes, "id"), "long")
+    long = written(post.where(F.col("df") > LONG).drop("df").join(shuffled(nodes), "id"), "long")
     label = long.select("id").distinct().withColumn("comp", F.col("id"))
     done = None  # the pairs that were compared
     for step in range(rounds):
-        here = kept.add(long.join(label, "id"))
+        here = kept.add(long.join(shuffled(label), "id"))
         mixed = _mixed(here)
         size = mixed.agg(F.sum(F.col("c") - 1), F.sum((F.col("c") - F.col("top")) * F.col("c"))).first()
         if not size[0] or size[1] <= 4 * size[0]:
             break
-        here = here.join(mixed.select("token"), "token")
+        here = here.join(shuffled(mixed.select("token")), "token")
         pivot = here.groupBy("token").agg(F.min(F.struct((F.xxhash64("id", F.lit(step)) if step else F.col("id")).alias("h"), "id", "n", "l", "comp", *ODD)).alias("p"))
         pivot = pivot.select("token", "p.*").select("token", *_side("a"))
-        pairs = here.select("token", *_side("b")).join(pivot, "token").where((F.col("ca") != F.col("cb")) & job.fits())
+        pairs = here.select("token", *_side("b")).join(shuffled(pivot), "token").where((F.col("ca") != F.col("cb")) & job.fits())
         found = job.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), done)
         label = components(label, found.where("linked"), rounds=1)  # stars need no more; what is left shows at the end
         done = found if done is None else done.unionByName(found)
 
     # then every pair that can still join two components, over all lists
-    here = post.drop("df").join(nodes, "id").join(label, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    here = post.drop("df").join(shuffled(nodes), "id").join(shuffled(label), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     main = _mixed(here).select("token", F.col("comp").alias("main"))
-    here = written(here.join(main, "token"), "here")
+    here = written(here.join(shuffled(main), "token"), "here")
     few = here.where("comp <> main").select("token", *_side("a"))
     all_ = here.select("token", "main", *_side("b"))
-    pairs = few.join(all_, "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits())
+    pairs = few.join(shuffled(all_), "token").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & job.fits())
     pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("la", "lb")).alias("l")).where("c >= l")
     found = job.verify(pairs, done)
     links = (found if done is None else found.unionByName(done)).where("linked")
     label = components(here.select("id", "comp").unionByName(label).distinct(), links)
 
-    member = kept.add(classes.select("rep", "c")).join(label.withColumnRenamed("id", "rep"), "rep", "left")
+    member = kept.add(classes.select("rep", "c")).join(shuffled(label.withColumnRenamed("id", "rep")), "rep", "left")
     member = written(member.select("rep", "c", F.coalesce("comp", "rep").alias("component")), "members")
     kept.release()
     out = lookup(stat, member, ["rep"], n_rows, F.col("row"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import shuffled
+
 #: A key is hot if it holds more than 1 / HOT of the rows, so there are fewer than HOT hot keys.
 HOT = 1000
 
@@ -28,5 +30,5 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], rows: int, spread:
     x = big.join(F.broadcast(few), keys, "left")  # fewer than HOT rows
     # rows that need no shuffled key get one of their own, 1 or more, which none of rest has
     x = x.withColumn("_spread", F.when(away, F.pmod(spread, F.lit(1 << 30)) + 1).otherwise(F.lit(0)).cast("long"))
-    x = x.join(rest, [*keys, "_spread"], "left")
+    x = x.join(shuffled(rest), [*keys, "_spread"], "left")
     return x.select(*big.columns, *(F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values))

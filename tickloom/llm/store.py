@@ -60,6 +60,11 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df with a hint to be joined by a shuffle, for joins in loops: small sides would else be gathered on the driver again and again."""
+    return df.hint("merge")
+
+
 def free_name(df: DataFrame, name: str = "_row") -> str:
     """`name` behind as many underscores as it takes that no column of df starts like it."""
     while any(c.lower().startswith(name) for c in df.columns):
