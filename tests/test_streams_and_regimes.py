@@ -119,3 +119,23 @@ def test_leverage_of_a_bar_worked_out_by_hand(spark):
     assert got[30] == pytest.approx(min(2.5, 1.5 * 1.03 * calm * (1 + d)))
     boost = min(4.0, 1 + 0.8 * 5 + (0.6 - 1 / 3) * 3 + 0.1 * 3)
     assert got[-1] == pytest.approx(min(2.5, 1.5 * 1.03 * calm * (1 + d) * boost))
+
+
+def test_sink_covers_the_recent_hours_of_every_epoch(spark, tmp_path):
+    from tickloom.streaming import jobs
+
+    rng = np.random.default_rng(4)
+    price = {s: 100 + rng.normal(0, 1, 60).cumsum() for s in "ab"}
+    sink = jobs.covariance_sink(f"{tmp_path}/s", 6, {"a": 1.0, "b": 2.0})
+    for epoch, hours in enumerate((range(0, 30), range(30, 31), range(31, 60), range(40, 42))):  # the last one brings nothing newer
+        rows = [(s, T0 + dt.timedelta(hours=h), float(price[s][h])) for s in "ab" for h in hours]
+        sink(spark.createDataFrame(rows, "symbol string, ts timestamp, close double"), epoch)
+        end = min(59, max(hours)) if epoch < 3 else 59
+        recent = range(max(0, end - 5), end + 1)
+        r = {s: np.diff(price[s][list(recent)]) / price[s][list(recent)[:-1]] for s in "ab"}
+        got = {(x["sym1"], x["sym2"]): x["cov"] for x in spark.read.parquet(f"{tmp_path}/s/cov/epoch={epoch}").collect()}
+        for s, t in (("a", "a"), ("a", "b"), ("b", "b")):
+            assert got[s, t] == pytest.approx(float(np.cov(r[s], r[t])[0, 1]), rel=1e-9)
+        value = sorted(x["value"] for x in spark.read.parquet(f"{tmp_path}/s/value/epoch={epoch}").collect())
+        assert value == pytest.approx(sorted(price["a"][h] + 2 * price["b"][h] for h in recent))
+    sink(spark.createDataFrame([], "symbol string, ts timestamp, close double"), 4)

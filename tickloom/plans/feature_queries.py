@@ -129,6 +129,22 @@ _R5 = HOURLY + f", b AS (SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELEC
 
 @query(select(_R5, "r a JOIN r b ON a.ts = b.ts AND a.symbol <= b.symbol AND a.r IS NOT NULL AND b.r IS NOT NULL", "a.symbol AS sym1, b.symbol AS sym2, count(*) AS n", 4, where="GROUP BY a.symbol, b.symbol", cov="covar_samp(a.r, b.r)"))
 def r05_covariance_sink(s, d):
+    return rounded(_last_epoch(s, f"{_sunk(s, d)}/cov").select("sym1", "sym2", "cov", "n"), 4)
+
+
+@query(select(_R5, "k", "ts", 4, where="WHERE symbol IN ('click', 'view') GROUP BY ts", value="sum(close * CASE symbol WHEN 'click' THEN 1 ELSE 2 END)"))
+def r05_portfolio_value(s, d):
+    x = _last_epoch(s, f"{_sunk(s, d)}/value")
+    return rounded(x.where("value is not null").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "value"), 4)
+
+
+def _last_epoch(s, path):
+    x = s.read.parquet(path)
+    return x.join(F.broadcast(x.agg(F.max("epoch").alias("epoch"))), "epoch")  # one row
+
+
+def _sunk(s, d):
+    """Runs bars of the events through the sink and gives its folder."""
     at = new_folder(s, "r05")
     e = s.read.parquet(f"{d}/events.parquet")
     x = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
@@ -136,5 +152,4 @@ def r05_covariance_sink(s, d):
     sink = jobs.covariance_sink(f"{at}/out", 48, {"click": 1.0, "view": 2.0})
     q = jobs.stream_bars(ticks, "1 hour").writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    cov = s.read.parquet(f"{at}/out/cov")
-    return rounded(cov.join(cov.agg(F.max("epoch").alias("epoch")), "epoch").select("sym1", "sym2", "cov", "n"), 4)
+    return f"{at}/out"

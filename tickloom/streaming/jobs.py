@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -109,27 +110,33 @@ def stream_pair_decisions(routed: DataFrame, n: int = 60, enter: float = 3.0, le
 
 
 def covariance_sink(path: str, keep_hours: int = 24, weights: dict[str, float] | None = None):
-    """A foreachBatch function: appends the batch's bars and rewrites return covariances over the recent hours below `path`.
+    """A foreachBatch function: appends the batch's bars and writes return covariances over the recent hours below `path`.
 
-    With weights (holdings by symbol, a stated list) it also writes the portfolio's value at each of these hours, of the symbols
-    that have a bar then.
+    Bars are kept by day and only the days of the recent hours are read, so an epoch's work doesn't grow with the history; the newest
+    time is remembered between epochs and looked up once after a start. With weights (holdings by symbol, a stated list) it also writes the
+    portfolio's value at each of these hours, of the symbols that have a bar then.
     """
     from ..functions.rolling import ret
-    from ..operators.align import pair_bars
-    from ..operators.metrics import pair_covariance
+    from ..operators.gram import covariances
+
+    newest: dict[str, object] = {}
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/bars/epoch={epoch}")  # a repeated epoch replaces itself
-        bars = spark.read.parquet(f"{path}/bars").select("symbol", "ts", "close").distinct()
-        end = bars.agg(F.max("ts").alias("_e"))
-        bars = bars.join(F.broadcast(end), F.col("ts") > F.col("_e") - F.expr(f"INTERVAL {keep_hours} HOURS")).drop("_e")
-        r = bars.withColumn("close", ret())
-        cov = pair_covariance(pair_bars(r, same=True).withColumnsRenamed({"close1": "ret1", "close2": "ret2"}), 1.0)
-        cov.write.mode("overwrite").parquet(f"{path}/cov/epoch={epoch}")
+        held = batch.select("symbol", "ts", "close").withColumn("day", F.to_date("ts"))
+        held.write.mode("overwrite").partitionBy("day").parquet(f"{path}/bars/epoch={epoch}")  # a repeated epoch replaces itself
+        bars = spark.read.schema(T.StructType([*held.schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(f"{path}/bars")
+        mine = bars.where(F.col("epoch") == epoch) if "end" in newest else bars
+        end = max((t for t in (newest.get("end"), mine.agg(F.max("ts")).first()[0]) if t is not None), default=None)
+        if end is None:
+            return
+        newest["end"] = end
+        since = F.lit(end) - F.expr(f"INTERVAL {keep_hours} HOURS")
+        bars = bars.where((F.col("day") >= F.to_date(since)) & (F.col("ts") > since)).select("symbol", "ts", "close").distinct()
+        covariances(bars.withColumn("ret", ret()), per_year=1.0).write.mode("overwrite").parquet(f"{path}/cov/epoch={epoch}")
         if weights:
-            held = F.element_at(F.create_map(*(F.lit(v) for kv in sorted(weights.items()) for v in kv)), F.col("symbol"))
-            bars.groupBy("ts").agg(F.sum(held * F.col("close")).alias("value")).write.mode("overwrite").parquet(f"{path}/value/epoch={epoch}")
+            share = F.element_at(F.create_map(*(F.lit(v) for kv in sorted(weights.items()) for v in kv)), F.col("symbol"))
+            bars.groupBy("ts").agg(F.sum(share * F.col("close")).alias("value")).write.mode("overwrite").parquet(f"{path}/value/epoch={epoch}")
 
     return run
 
