@@ -79,7 +79,7 @@ def test_feature_pipeline_follows_its_configuration(spark):
     b = bars(spark, walk(70, 4))
     x = features.feature_pipeline(b)
     assert x.count() == 70 - 49 and "ema_20" in x.columns and "volatility_10" in x.columns
-    few = features.feature_pipeline(b, {"trend": {"enabled": True, "sma_periods": [5]}, "momentum": {"enabled": False, "rsi_periods": [14]}})
+    few = features.feature_pipeline(b, [features.Build("mean", (5,))])
     assert few.columns == [*b.columns, "sma_5"] and few.count() == 66
     assert features.feature_pipeline(b.limit(12)).count() == 0
     grid = last(recursive.ema_grid(b, 5, 15, 5))

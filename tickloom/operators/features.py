@@ -1,11 +1,12 @@
-"""Feature sets: the standard one and one built by category from a configuration."""
+"""Feature sets: the standard one and one put together from builders and lengths."""
 
 from __future__ import annotations
 
-from typing import Any
+from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rolling as R
@@ -15,14 +16,36 @@ from . import recursive
 
 STANDARD = ["return", "volatility", "momentum", "price_to_sma", "price_std", "rsi", "macd", "macd_signal", "bb_position", "skewness", "kurtosis"]
 
-# The categories that are built if nothing else is asked for.
-DEFAULTS: dict[str, dict[str, Any]] = {
-    "trend": {"enabled": True, "sma_periods": [5, 10, 20, 50], "ema_periods": [5, 10, 20]},
-    "momentum": {"enabled": True, "rsi_periods": [14], "macd": True},
-    "volatility": {"enabled": True, "bb_period": 20, "atr_period": 14},
-    "volume": {"enabled": True, "obv": True, "volume_sma_periods": [5]},
-    "custom": {"enabled": True, "price_to_sma": True, "returns": [1, 3, 5], "volatility_periods": [5, 10]},
+
+class Build(NamedTuple):
+    """A builder of COLUMNS or FOLDS and the lengths that it is used with."""
+
+    by: str
+    lengths: tuple[int, ...]
+
+
+#: Builders over windows: a length gives named columns. _r is the bar's return, _obv comes with indicators.with_flow.
+COLUMNS: dict[str, Callable[[int], dict[str, Column]]] = {
+    "mean": lambda n: {f"sma_{n}": sma("close", n)},
+    "bands": lambda n: {k: v for k, v in I.bollinger(n, population=True).items() if k != "bb_pos"},
+    "flow": lambda _: {"obv": I.volume_lines()["obv"]},
+    "volume": lambda n: {f"volume_sma_{n}": sma("volume", n), f"volume_ratio_{n}": I.volume(n)["vol_ratio"]},
+    "distance": lambda n: {f"price_to_sma_{n}": ratio(col("close"), sma("close", n)) - 1},
+    "change": lambda n: {f"return_{n}": R.ret("close", n)},
+    "deviation": lambda n: {f"volatility_{n}": std("_r", n)},
+}
+#: Builders over a symbol's ordered bars: a length, high, low and close give named arrays.
+FOLDS: dict[str, Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]] = {
+    "ema": lambda n, h, l, c: {f"ema_{n}": recursive.ema(c, n, seed="sma")},
+    "rsi": lambda n, h, l, c: {f"rsi_{n}": recursive.rsi_wilder(c, n)},
+    "macd": lambda n, h, l, c: dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macd(c, slow=n), strict=True)),
+    "range": lambda n, h, l, c: {"atr": recursive.atr(h, l, c, n)},
 }
+# The lengths that are used if nothing else is asked for.
+USUAL = (
+    Build("mean", (5, 10, 20, 50)), Build("ema", (5, 10, 20)), Build("rsi", (14,)), Build("macd", (26,)), Build("bands", (20,)), Build("range", (14,)), Build("flow", (1,)), Build("volume", (5,)),
+    Build("distance", (5, 20, 50)), Build("change", (1, 3, 5)), Build("deviation", (5, 10)),
+)
 
 
 def standard_features(bars: DataFrame, n: int = 14, rsi: int = 14, band: int = 20, k: float = 2.0) -> DataFrame:
@@ -44,39 +67,22 @@ def standard_features(bars: DataFrame, n: int = 14, rsi: int = 14, band: int = 2
     return x.select("symbol", "ts", *(last_known(c).alias(c) for c in STANDARD)).dropna(subset=STANDARD)
 
 
-def feature_pipeline(bars: DataFrame, config: dict[str, dict[str, Any]] | None = None, least: int = 10) -> DataFrame:
-    """Bars with the columns of every enabled category of `config` (see DEFAULTS); rows with a missing value are dropped.
+def feature_pipeline(bars: DataFrame, builds: Sequence[Build] = USUAL, least: int = 10) -> DataFrame:
+    """Bars with the columns of all builds; rows with a missing value are dropped.
 
-    Symbols that are left with fewer than `least` rows give none. Recursive columns of all categories are one grouped pass.
+    Symbols that are left with fewer than `least` rows give none. Recursive columns of all builds are one grouped pass. An unknown
+    builder raises a KeyError.
     """
-    config = DEFAULTS if config is None else config
-    on = {k: v for k, v in config.items() if v.get("enabled")}
-    trend, momentum, vol, volume, custom = (on.get(k, {}) for k in ("trend", "momentum", "volatility", "volume", "custom"))
-    made = [f"ema_{n}" for n in trend.get("ema_periods", [])] + [f"rsi_{n}" for n in momentum.get("rsi_periods", [])]
-    made += ["macd", "macd_signal", "macd_hist"] if momentum.get("macd") else []
-    made += ["atr"] if vol.get("atr_period") else []
+    folds = [(FOLDS[b.by], n) for b in builds if b.by not in COLUMNS for n in b.lengths]
+    some = np.ones(1)
+    made = [name for f, n in folds for name in f(n, some, some, some)]
 
     def run(p) -> dict[str, np.ndarray]:
         h, l, c = (p[k].to_numpy(float) for k in ("high", "low", "close"))
-        out = {f"ema_{n}": recursive.ema(c, n, seed="sma") for n in trend.get("ema_periods", [])} | {f"rsi_{n}": recursive.rsi_wilder(c, n) for n in momentum.get("rsi_periods", [])}
-        if momentum.get("macd"):
-            out |= dict(zip(("macd", "macd_signal", "macd_hist"), recursive.macd(c), strict=True))
-        if vol.get("atr_period"):
-            out["atr"] = recursive.atr(h, l, c, vol["atr_period"])
-        return out
+        return {name: v for f, n in folds for name, v in f(n, h, l, c).items()}
 
     x = recursive.per_symbol(bars, made, run) if made else bars
-    cols = {f"sma_{n}": sma("close", n) for n in trend.get("sma_periods", [])}
-    if vol.get("bb_period"):
-        cols |= {k: v for k, v in I.bollinger(vol["bb_period"], population=True).items() if k != "bb_pos"}
-    if volume.get("obv"):
-        x = I.with_flow(x)
-        cols |= {"obv": I.volume_lines()["obv"]}
-    for n in volume.get("volume_sma_periods", []):
-        cols |= {f"volume_sma_{n}": sma("volume", n), f"volume_ratio_{n}": I.volume(n)["vol_ratio"]}
-    if custom.get("price_to_sma"):
-        cols |= {f"price_to_sma_{n}": ratio(col("close"), sma("close", n)) - 1 for n in (5, 20, 50) if n in trend.get("sma_periods", [])}
-    x = x.withColumn("_r", R.ret())
-    cols |= {f"return_{n}": R.ret("close", n) for n in custom.get("returns", [])} | {f"volatility_{n}": std("_r", n) for n in custom.get("volatility_periods", [])}
+    x = (I.with_flow(x) if any(b.by == "flow" for b in builds) else x).withColumn("_r", R.ret())
+    cols = {name: c for b in builds if b.by in COLUMNS for n in b.lengths for name, c in COLUMNS[b.by](n).items()}
     x = x.withColumns(cols).drop("_r", "_obv", "_ad").dropna(subset=[*made, *cols])
     return x.withColumn("_n", F.count("*").over(Window.partitionBy("symbol"))).where(F.col("_n") >= least).drop("_n")

@@ -92,6 +92,46 @@ def frontier(spark, mean: list[float], cov: list[list[float]], n: int = 50_000,
     return x.withColumn("sharpe", ratio(F.col("ret") - risk_free, F.col("vol")))
 
 
+def asset_moments(returns: DataFrame, per_year: float = 252.0) -> DataFrame:
+    """One row with symbols, mean and cov (row after row) of annualised returns (symbol, ts, ret) of a stated set of assets.
+
+    Covariances are those of the times that two assets share; pairs without two of them count as uncorrelated.
+    """
+    from .gram import covariances
+
+    c = covariances(returns, per_year=per_year).select("sym1", "sym2", F.coalesce("cov", F.lit(0.0)).alias("cov"))
+    c = c.union(c.where("sym1 <> sym2").select("sym2", "sym1", "cov"))
+    mean = returns.groupBy("symbol").agg((F.avg("ret") * per_year).alias("mean"))
+    names = mean.agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))  # one row
+    rows = c.groupBy("sym1").agg(F.map_from_entries(F.collect_list(F.struct("sym2", "cov"))).alias("of"))
+    rows = mean.join(rows, F.col("symbol") == F.col("sym1"), "left").join(F.broadcast(names))
+    row = F.expr("transform(symbols, s -> coalesce(of[s], 0D))")
+    one = rows.select("symbol", "mean", row.alias("row")).agg(F.array_sort(F.collect_list(F.struct("symbol", "mean", "row"))).alias("m"))
+    return one.select(F.col("m.symbol").alias("symbols"), F.col("m.mean").alias("mean"), F.flatten("m.row").alias("cov"))
+
+
+def frontier_of(moments: DataFrame, n: int = 50_000, seed: int = 36, risk_free: float = 0.0, block: int = 1000) -> DataFrame:
+    """As frontier(), for the assets of asset_moments(); nothing comes to the driver.
+
+    Weights are an array column; a block of portfolios meets the one row of moments and is one matrix product.
+    """
+    u = F.expr(f"transform(sequence(0, k - 1), i -> (pmod(xxhash64({seed}, id, i), {1 << 40}L) + 1) / CAST({(1 << 40) + 1} AS DOUBLE))")
+    x = moments.sparkSession.range(n).join(F.broadcast(moments.select(F.size("mean").alias("k")).where("k > 0"))).select("id", u.alias("u"))  # one row
+    x = x.select("id", F.expr("transform(u, v -> v / aggregate(u, 0D, (a, b) -> a + b))").alias("weights"))
+    x = x.groupBy(F.expr(f"id div {block}").alias("block")).agg(F.collect_list(F.struct("id", "weights")).alias("p")).select(F.col("p.id").alias("id"), F.col("p.weights").alias("weights"))
+
+    def run(frames):
+        for p in frames:
+            for ids, weights, mean, cov in zip(p["id"], p["weights"], p["mean"], p["cov"], strict=True):
+                w, m = np.stack([np.asarray(v, float) for v in weights]), np.asarray(mean, float)
+                c = np.asarray(cov, float).reshape(len(m), len(m))
+                r = w @ m
+                yield pd.DataFrame({"id": np.asarray(ids), "weights": list(w), "ret": r, "vol": np.sqrt(np.maximum(((w @ c) * w).sum(1), 0.0))})
+
+    x = x.join(F.broadcast(moments.select("mean", "cov"))).mapInPandas(run, "id long, weights array<double>, ret double, vol double")  # one row of moments
+    return x.withColumn("sharpe", ratio(F.col("ret") - risk_free, F.col("vol")))
+
+
 def shape_weights(x: DataFrame, cap: float = 0.3) -> DataFrame:
     """Weight * scale, capped, floored at 0 and renormalised per ts (equal if all are 0)."""
     w = Window.partitionBy("ts")

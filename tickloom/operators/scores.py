@@ -392,9 +392,3 @@ def volume_score(x: DataFrame) -> DataFrame:
         "accumulation": _diverging(R.ret("close", 19), ratio(sma("_ad", 5), sma("_ad", 20)) - 1, 1.0, 0.02, 1.5),
     })
     return x.withColumn("volume_score", family(VOLUME, {c: c for c in VOLUME})).drop("_pc", "_vc", "_f", "_ad")
-
-
-def volume_divergence(n: int = 20) -> Column:
-    """Direction of price over n bars where volume grew with it, half of its opposite where volume fell."""
-    price, vol = change("close", n), change("volume", n)
-    return F.when(price.isNull() | vol.isNull(), None).when(vol > 0, F.signum(price)).otherwise(-0.5 * F.signum(price))

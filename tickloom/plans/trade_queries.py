@@ -187,6 +187,27 @@ def t19_k05_frontier(s, d):
     return rounded(portfolio.best_rows(f).select("id", "ret", "vol", "sharpe", "pick"))
 
 
+_T19 = HOURLY + ", q AS (SELECT symbol, ts, (close - 50) / 1000 AS r FROM bars WHERE symbol IN ('click', 'error', 'login', 'purchase', 'view')), c AS (SELECT a.symbol AS sym1, b.symbol AS sym2, covar_samp(a.r, b.r) * 252 AS cov FROM q a JOIN q b ON a.ts = b.ts GROUP BY ALL), m AS (SELECT symbol, avg(r) * 252 AS mean FROM q GROUP BY symbol)"
+
+
+@query(f"WITH {_T19} SELECT list(symbol ORDER BY symbol) AS symbols, (SELECT list(round(mean, 6) ORDER BY symbol) FROM m) AS mean, (SELECT list(round(cov, 6) ORDER BY sym1, sym2) FROM c) AS cov FROM m")
+def t19_asset_moments(s, d):
+    x = portfolio.asset_moments(_stated(s, d))
+    return x.select("symbols", *(F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("mean", "cov")))
+
+
+@query()
+def t19_k05_frontier_of_moments(s, d):
+    """The frontier from the one row of moments, without anything on the driver."""
+    f = portfolio.frontier_of(portfolio.asset_moments(_stated(s, d)))
+    return rounded(portfolio.best_rows(f).select("id", "ret", "vol", "sharpe", "pick"))
+
+
+def _stated(s, d):
+    r = schema.bars(s, d).select("symbol", "ts", ((F.col("close") - 50) / 1000).alias("ret"))
+    return r.where(F.col("symbol").isin("click", "error", "login", "purchase", "view"))
+
+
 _WT = HOURLY + ", w1 AS (SELECT symbol, ts, close / sum(close) OVER (PARTITION BY ts) AS weight, volume, open / nullif(sum(open) OVER (PARTITION BY ts), 0) AS old_weight FROM bars), s1 AS (SELECT *, greatest(least(weight * 1.2, 0.3), 0) AS w FROM w1), n1 AS (SELECT *, coalesce(w / nullif(sum(w) OVER (PARTITION BY ts), 0), 1.0 / count(*) OVER (PARTITION BY ts)) AS nw FROM s1), f1 AS (SELECT *, abs(nw - old_weight) >= 0.02 AND abs(nw - old_weight) * 5000 >= 10 AS trade FROM n1)"
 
 
