@@ -261,3 +261,59 @@ _BAND = "CASE WHEN {was} > 0 AND b.score >= 0.1 OR {was} < 0 AND b.score <= -0.1
 ORACLES["g31_hysteresis_regime"] = f"""WITH RECURSIVE {HOURLY}, y AS (SELECT symbol, seq, tanh((close - 50) / 50) AS score FROM seqs), h AS (
   SELECT symbol, seq, {_BAND.format(was="0")} AS regime FROM y b WHERE seq = 1 UNION ALL SELECT b.symbol, b.seq, {_BAND.format(was="h.regime")} FROM h JOIN y b ON b.symbol = h.symbol AND b.seq = h.seq + 1)
 SELECT symbol, regime::DOUBLE AS regime, count(*) AS n FROM h GROUP BY ALL"""
+
+_W60 = "OVER (ORDER BY ts ROWS 59 PRECEDING)"
+_SYM = {"a": "click", "b": "error", "c": "view"}
+#: The largest eigenvalue of a symmetric 3 x 3 matrix in closed form; rows with a missing price count for nothing.
+ORACLES["w44_diversification"] = f"""WITH {HOURLY}, p AS (SELECT ts, {", ".join(f"max(CASE WHEN symbol = '{s}' THEN close END) AS {k}" for k, s in _SYM.items())} FROM bars GROUP BY ts),
+o AS (SELECT ts, {", ".join(f"CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN {k} - 50 END AS {k}" for k in _SYM)} FROM p),
+v AS (SELECT ts, count(a) {_W60} AS n, {", ".join(f"covar_samp({x}, {y}) {_W60} AS {x}{y}" for x, y in ("aa", "bb", "cc", "ab", "ac", "bc"))} FROM o),
+q AS (SELECT *, (aa + bb + cc) / 3 AS q FROM v), d AS (SELECT *, sqrt((pow(aa - q, 2) + pow(bb - q, 2) + pow(cc - q, 2) + 2 * (ab * ab + ac * ac + bc * bc)) / 6) AS d FROM q),
+r AS (SELECT *, ((aa - q) * ((bb - q) * (cc - q) - bc * bc) - ab * (ab * (cc - q) - bc * ac) + ac * (ab * bc - (bb - q) * ac)) / nullif(2 * d * d * d, 0) AS r FROM d)
+SELECT ts, CASE WHEN n >= 2 AND q > 0 THEN round(1 - (q + 2 * d * cos(acos(greatest(-1, least(1, coalesce(r, 0)))) / 3)) / (3 * q), 6) + 0.0::DOUBLE END AS diversification FROM r"""
+
+
+def _above(c: str, n: int) -> str:
+    m = roll("avg", c, n)
+    return f"(CASE WHEN {m} = 0 THEN 0 ELSE ({c} - {m}) / {m} END)"
+
+
+_RANGE = "OVER (PARTITION BY symbol ORDER BY ts ROWS {} PRECEDING)"
+_K = "(1 / sqrt(4 * ln(2)))"
+_GARCH = _score([
+    (0.3, f"tanh({_above('g', 21)} / 0.5)"), (0.25, f"tanh(CASE WHEN count(l5) {_RANGE.format(59)} = 60 THEN corr(g, l5) {_RANGE.format(59)} END / 0.5)"), (0.25, f"tanh({roll('avg', 'sh', 5)} / 0.5)"),
+    (0.2, f"tanh(CASE WHEN count(g) {_RANGE.format(9)} = 10 THEN regr_slope(g, seq) {_RANGE.format(9)} END / 0.5)"),
+])
+_PARKINSON = _score([
+    (0.35, f"tanh({_above('pk', 21)} / 0.5)"), (0.25, f"tanh({_above('w', 10)} / 0.5)"), (0.2, "(place - 0.5) * 2"),
+    (0.2, " + ".join(f"{k}::DOUBLE * tanh({_above('pk', n)} / 0.5)" for n, k in ((5, 0.5), (10, 0.3), (21, 0.2)))),
+])
+ORACLES["g16_g17_garch_parkinson_scores"] = f"""WITH {FULL},
+c0 AS MATERIALIZED (SELECT symbol, seq, ts, sqrt(garch) AS g, ret, high - low AS w, CASE WHEN high > 0 AND low > 0 THEN {_K} * abs(ln(high / low)) END AS pk FROM a1),
+rk AS (SELECT a.symbol, a.seq, count(*) FILTER (b.w <= a.w) / count(*) AS place FROM c0 a JOIN c0 b ON a.symbol = b.symbol AND b.seq <= a.seq GROUP BY ALL),
+c1 AS (SELECT c0.*, place, {lag("g", 5)} AS l5, abs(ret / nullif(g, 0)) AS sh FROM c0 JOIN rk USING (symbol, seq))
+SELECT symbol, ts, round({_GARCH}, 6) + 0.0::DOUBLE AS garch_score, round({_PARKINSON}, 6) + 0.0::DOUBLE AS parkinson_score FROM c1"""
+
+_EVER = "OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+
+
+def _part(c: str) -> str:
+    return f"(CASE WHEN avg({c}) {_EVER} = 0 THEN 0 ELSE {c} / avg({c}) {_EVER} END)"
+
+
+_YANG_ZHANG = _score([
+    (0.3, f"tanh({_above('y', 21)} / 0.5)"), (0.25, f"tanh(({roll('stddev_samp', 'gap', 5)} / nullif(stddev_samp(gap) {_EVER}, 0) - 1) / 0.5)"), (0.25, f"tanh({_above('spread', 10)} / 0.5)"),
+    (0.2, f"tanh((({_part('vo')} + {_part('vc')} + {_part('vs')}) / 3 - 1) / 0.5)"),
+])
+_G18 = HOURLY + f""", y0 AS (SELECT symbol, ts, open, high, low, close, {lag("close")} AS p FROM bars),
+y1 AS (SELECT symbol, ts, CASE WHEN open > 0 AND p > 0 THEN ln(open / p) END AS o, CASE WHEN close > 0 AND open > 0 THEN ln(close / open) END AS c,
+  CASE WHEN least(open, high, low, close) > 0 THEN ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) END AS s, (open - p) / nullif(p, 0) AS gap, (high - low) / nullif(open, 0) AS spread FROM y0),
+y2 AS (SELECT *, {roll("var_samp", "o", 21)} AS vo, {roll("var_samp", "c", 21)} AS vc, {roll("avg", "s", 21)} AS vs FROM y1),
+y3 AS (SELECT *, CASE WHEN vo + 0.34::DOUBLE * vc + 0.66::DOUBLE * vs >= 0 THEN sqrt(vo + 0.34::DOUBLE * vc + 0.66::DOUBLE * vs) END AS y FROM y2)"""
+
+
+@query(f"WITH {_G18} SELECT symbol, ts, round({_YANG_ZHANG}, 5) + 0.0::DOUBLE AS yang_zhang_score FROM y3")
+def g18_yang_zhang_score(s, d):
+    from ..operators import scores
+
+    return rounded(scores.yang_zhang_score(schema.bars(s, d)).select("symbol", "ts", "yang_zhang_score"), 5)
