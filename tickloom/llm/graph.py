@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import HOT, lookup
-from .store import Kept, shuffled, written
+from .store import shuffled, written
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -19,9 +19,8 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) ->
     Where a hub or a large component holds a large share of the rows, its label is broadcast, fewer than skew.HOT of
     each, so that none makes a task that gets this share. rounds: stop after so many, with labels that hold but may not be the least yet.
     """
-    kept = Kept()
     one = links.where("a <> b").select("a", "b")
-    both = kept.add(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     label = nodes.select("id", "comp")
     degree = both.groupBy("b").agg(F.count("*").alias("c"))
     n_links, hub = degree.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
@@ -33,7 +32,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) ->
         else:
             ends = both.join(shuffled(label.withColumnRenamed("id", "b")), "b")
         near = ends.groupBy("a").agg(F.min("comp").alias("near")).withColumnRenamed("a", "id")
-        known = kept.add(label.join(shuffled(near), "id", "left"))
+        known = written(label.join(shuffled(near), "id", "left"), "known")
         # what a label's own nodes have learnt goes to all that carry the label
         groups = known.groupBy("comp").agg(F.count("*").alias("c"), F.min("near").alias("heard"))
         n, news, most = groups.agg(F.sum("c"), F.count_if(F.expr("heard < comp")), F.max(F.expr("CASE WHEN heard < comp THEN c END"))).first()
@@ -42,5 +41,4 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int | None = None) ->
         groups = groups.where("heard < comp")
         step = lookup(known, groups, ["comp"], n, F.xxhash64("id")) if most * HOT > n else known.join(shuffled(groups.drop("c")), "comp", "left")
         label = written(step.select("id", F.least("comp", "heard", "near").alias("comp")), "labels")
-    kept.release()
     return label

@@ -184,7 +184,7 @@ class _Join:
         if done is not None:
             pairs = pairs.join(shuffled(done.select("a", "b")), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        ids = self.kept.add(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        ids = written(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "ids")
         sets = self.kept.add(self.rows.join(sized(ids), "row", "left_semi").select("row", "text").mapInArrow(_sets(self.k), "id long, items array<long>"))
         both = F.size(F.array_intersect("x", "y"))
         linked = (both > 0) & (both * self.den >= (F.size("x") + F.size("y") - both) * self.num)
@@ -243,7 +243,7 @@ def row_components(rows: DataFrame, k: int, num: int, den: int, bits: int = MOST
     label = long.select("id").distinct().withColumn("comp", F.col("id"))
     done = None  # the pairs that were compared
     for step in range(rounds):
-        here = kept.add(long.join(shuffled(label), "id"))
+        here = written(long.join(shuffled(label), "id"), "lists")
         mixed = _mixed(here)
         size = mixed.agg(F.sum(F.col("c") - 1), F.sum((F.col("c") - F.col("top")) * F.col("c"))).first()
         if not size[0] or size[1] <= 4 * size[0]:
