@@ -14,11 +14,12 @@ from tickloom.llm.decontaminate import clean
 from tickloom.llm.mixing import mix
 from tickloom.llm.ngram_join import row_components, sketch_bits
 from tickloom.llm.sharding import shard
-from tickloom.llm.store import free_name, numbered, sized, written
+from tickloom.llm.store import free_name, numbered, sized, small_batches, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 with a model of the confirmed toxic ones among docs."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model, threshold=0.5)
 
@@ -29,6 +30,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are compared one by one, so of rows that share a doc_id or have none a group keeps one too; a row with an id
     goes before rows without, and of equal ids the first row stays. Texts without words have no copies and stay.
     """
+    small_batches(spark)
     row = free_name(docs)
     rows = numbered(docs, row)
     groups = row_components(rows.select(F.col(row).alias("row"), "text", "doc_id"), k=5, num=80, den=100, bits=sketch_bits(docs))
@@ -40,6 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (five-word shingles, four fifths of them or more)."""
+    small_batches(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=5, num=80, den=100)
 
 

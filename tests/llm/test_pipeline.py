@@ -1,9 +1,13 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tickloom.llm.mixing import mix
+from tickloom.llm.store import BATCH_BYTES, small_batches
+
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def test_stages_on_a_small_corpus(spark, tmp_path):
@@ -79,3 +83,29 @@ def test_stages_on_empty_tables_and_clashing_names(spark, tmp_path):
             assert stage == "sharding" or got.columns == docs.columns
             kept = got.count()
             assert kept == len(some) or stage == "source_mixing" and kept >= len(some) - 2, (name, stage)
+
+
+def test_stages_hand_texts_to_python_in_small_batches(spark, tmp_path):
+    """However many rows a table has, a task and its Python worker hold little of it at once; a session's own setting stays."""
+    rows = [(i, f"w{i} " * 400, "en", "s", i) for i in range(3000)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "some item of five words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["bytes"])
+
+    def most(session):
+        texts = session.read.parquet(f"{tmp_path}/documents.parquet").select("text")
+        return max(r["bytes"] for r in texts.mapInArrow(sizes, "bytes long").collect())
+
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.one_of_each, corpus_pipeline.drop_leaks):
+        session = spark.newSession()
+        session.conf.unset(ARROW)
+        stage(session, session.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert most(session) < 2 * BATCH_BYTES
+    session = spark.newSession()
+    session.conf.set(ARROW, str(3 * BATCH_BYTES))
+    small_batches(session)
+    assert session.conf.get(ARROW) == str(3 * BATCH_BYTES)

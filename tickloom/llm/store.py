@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this many go to all executors (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes that a task hands to Python at once where small_batches() holds; a longer row goes alone.
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +67,18 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of BATCH_BYTES, unless it has a setting of its own.
+
+    Spark's default is 10,000 rows or 64 MB, for which every task grows buffers of tens of MB outside the JVM's heap and in its Python
+    worker; both processes keep most of what is freed. Which rows meet in a batch never moves a result. The setting stays, as what a
+    stage returns is computed after it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str = "_row") -> str:
     """`name` behind as many underscores as it takes that no column of df starts like it."""
     while any(c.lower().startswith(name) for c in df.columns):
