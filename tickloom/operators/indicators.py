@@ -253,10 +253,10 @@ def cross_section(c: str) -> Columns:
 
 
 def force(x: DataFrame, n: int = 13) -> DataFrame:
-    """Average force index, and the correlation of price and volume over n bars."""
+    """Average force index, and the correlation of price and volume over n bars, NaN where one of them is the same in all."""
     x = x.withColumn("_f", (col("close") - lag("close")) * col("volume"))
     w = frame(n)
-    return x.withColumns({"force": roll(F.avg, "_f", n), "pv_corr": F.when(F.count("close").over(w) == n, F.corr("close", "volume").over(w))}).drop("_f")
+    return x.withColumns({"force": roll(F.avg, "_f", n), "pv_corr": F.when(F.count("close").over(w) == n, R.corr("close", "volume", w))}).drop("_f")
 
 
 def volume_breakout(n: int = 20, high: float = 2.0, climax: float = 3.0) -> Columns:
