@@ -3,7 +3,11 @@
 import datetime as dt
 import math
 
-from tickloom.operators import indicators
+import numpy as np
+import pandas as pd
+import pytest
+
+from tickloom.operators import gram, indicators
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -14,3 +18,23 @@ def test_force_bears_a_constant_volume(spark):
     of = [got[r[1]]["pv_corr"] for r in rows]
     assert of[:12] == [None] * 12 and all(math.isnan(v) for v in of[12:15]) and all(-1 <= v <= 1 for v in of[15:])
     assert got[rows[13][1]]["force"] is not None
+
+
+def users(n=150, days=40, seed=5):
+    """Values of n symbols, a tenth of them missing, and a row without a symbol."""
+    rng = np.random.default_rng(seed)
+    v = np.where(rng.random((n, days)) < 0.1, np.nan, rng.normal(0, 1, (n, days)))
+    rows = [(f"u{i:03d}", T0 + dt.timedelta(days=d), float(v[i, d])) for i in range(n) for d in range(days) if not math.isnan(v[i, d])]
+    return pd.DataFrame(v.T, columns=[f"u{i:03d}" for i in range(n)]), [*rows, (None, T0, 1.0)]
+
+
+def test_correlations_of_several_strips_without_a_shuffle_of_pairs(spark):
+    wide, rows = users()
+    x = gram.correlations(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double"))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("MapIn")  # pairs are made here; what stands before comes after it
+    assert not any(word in plan[:made] for word in ("Exchange", "Join", "Aggregate", "Sort"))
+    want, got = wide.corr(), {(r["sym1"], r["sym2"]): r for r in x.collect()}
+    assert len(got) == 150 * 149 // 2
+    for (a, b), r in list(got.items())[::97]:
+        assert a < b and r["corr"] == pytest.approx(want.loc[a, b], abs=1e-12) and r["n"] == (wide[a].notna() & wide[b].notna()).sum()
