@@ -2,9 +2,11 @@
 
 import datetime as dt
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tickloom.operators import gram, indicators
@@ -38,3 +40,29 @@ def test_correlations_of_several_strips_without_a_shuffle_of_pairs(spark):
     assert len(got) == 150 * 149 // 2
     for (a, b), r in list(got.items())[::97]:
         assert a < b and r["corr"] == pytest.approx(want.loc[a, b], abs=1e-12) and r["n"] == (wide[a].notna() & wide[b].notna()).sum()
+
+
+def strips(meetings=60, tiles=1, blocks=6, times=8):
+    rng, out = np.random.default_rng(6), []
+    for b in range(1, meetings + 1):
+        both = [(s, s * tiles + t) for s in (0, b) for t in range(tiles)]
+        out += [{"a": 0, "b": b, "strip": s, "tile": t, "block": None, "times": None, "m": None, "names": [f"u{64 * t + i:05d}" for i in range(64)]} for s, t in both]
+        for k in range(blocks):
+            at = np.arange(k * times, (k + 1) * times)
+            out += [{"a": 0, "b": b, "strip": s, "tile": t, "block": k, "times": at.tobytes(), "m": rng.normal(0, 1, (64, times)).tobytes(), "names": None} for s, t in both]
+    return pa.RecordBatch.from_pylist(out)
+
+
+def test_sums_of_one_meeting_are_held_at_a_time(monkeypatch):
+    batch = strips()
+    tracemalloc.start()
+    n = sum(b.num_rows for b in gram._products(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 60 * 64 * 64 and peak < 4 << 20  # six matrices of one meeting are 0.2 MB, of all 12 MB
+    batch = strips(2, 5)
+    whole = pa.Table.from_batches(gram._products(iter([batch]))).to_pandas()
+    monkeypatch.setattr(gram, "HELD", 1)  # every block is added to the sums before the next
+    folded = pa.Table.from_batches(gram._products(iter([batch.slice(0, 40), batch.slice(40)]))).to_pandas()
+    pd.testing.assert_frame_equal(whole, folded)
+    assert len(whole) == 2 * 320 * 320 and (whole["n"] == 48).all()
