@@ -9,7 +9,8 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from tickloom.operators import gram, indicators
+from tickloom.operators import gram, indicators, portfolio
+from tickloom.plans import trade_queries
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -66,3 +67,24 @@ def test_sums_of_one_meeting_are_held_at_a_time(monkeypatch):
     folded = pa.Table.from_batches(gram._products(iter([batch.slice(0, 40), batch.slice(40)]))).to_pandas()
     pd.testing.assert_frame_equal(whole, folded)
     assert len(whole) == 2 * 320 * 320 and (whole["n"] == 48).all()
+
+
+def test_asset_means_at_ties_of_their_last_digit(spark, tmp_path):
+    rng, kinds, rows, want = np.random.default_rng(7), ["click", "error", "purchase", "view"], [], []
+    for k in kinds:
+        cents = rng.integers(0, 20000, 720)
+        cents[0] += 1 - cents.sum() % 2  # so that 252 / 720 of the sum ends in 5 at the seventh place
+        units = int(cents.sum() - 720 * 5000) * 35
+        want.append((abs(units) + 5) // 10 * (1 if units > 0 else -1) / 1e6)
+        rows += [(T0 + dt.timedelta(hours=h), k, float(c) / 100) for h, c in enumerate(cents)]
+    x = spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double")
+    x.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    got = trade_queries.t19_asset_moments(spark, str(tmp_path)).collect()[0]
+    assert got["symbols"] == kinds and got["mean"] == pytest.approx(want, abs=1e-9)
+
+
+def test_asset_means_of_what_decimals_do_not_hold(spark):
+    rows = [("a", T0, 1e12), ("a", T0 + dt.timedelta(days=1), 3e12), ("b", T0, 0.25), ("b", T0 + dt.timedelta(days=1), None), ("c", T0, None)]
+    x = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double")
+    assert portfolio.asset_moments(x, 1.0).collect()[0]["mean"] == [2e12, 0.25, None]
+    assert portfolio.asset_moments(x, 0.125).collect()[0]["mean"] == [2.5e11, 0.03125, None]

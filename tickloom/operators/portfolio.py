@@ -92,16 +92,21 @@ def frontier(spark, mean: list[float], cov: list[list[float]], n: int = 50_000,
     return x.withColumn("sharpe", ratio(F.col("ret") - risk_free, F.col("vol")))
 
 
-def asset_moments(returns: DataFrame, per_year: float = 252.0) -> DataFrame:
+def asset_moments(returns: DataFrame, per_year: float = 252.0, exact: str = "ret") -> DataFrame:
     """One row with symbols, mean and cov (row after row) of annualised returns (symbol, ts, ret) of a stated set of assets.
 
-    Covariances are those of the times that two assets share; pairs without two of them count as uncorrelated.
+    Covariances are those of the times that two assets share; pairs without two of them count as uncorrelated. exact: a column with the same
+    returns as decimals, if there is one. Means are sums of decimals of 18 places, so they don't depend on the order of rows and ties of
+    their digits stay ties; where a return doesn't fit these, they are sums of doubles.
     """
     from .gram import covariances
 
     c = covariances(returns, per_year=per_year).select("sym1", "sym2", F.coalesce("cov", F.lit(0.0)).alias("cov"))
     c = c.union(c.where("sym1 <> sym2").select("sym2", "sym1", "cov"))
-    mean = returns.groupBy("symbol").agg((F.avg("ret") * per_year).alias("mean"))
+    d = F.col(exact).try_cast("decimal(28, 18)")
+    total = F.sum(d * F.lit(per_year).cast("decimal(8, 2)")) / F.count(d) if round(per_year, 2) == per_year < 1e6 else None
+    mean = F.avg("ret") * per_year if total is None else F.when(F.count(d) < F.count("ret"), F.avg("ret") * per_year).when(F.count(d) > 0, total.cast("double"))
+    mean = returns.groupBy("symbol").agg(mean.alias("mean"))
     names = mean.agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))  # one row
     rows = c.groupBy("sym1").agg(F.map_from_entries(F.collect_list(F.struct("sym2", "cov"))).alias("of"))
     rows = mean.join(rows, F.col("symbol") == F.col("sym1"), "left").join(F.broadcast(names))

@@ -192,19 +192,20 @@ _T19 = HOURLY + ", q AS (SELECT symbol, ts, (close - 50) / 1000 AS r FROM bars W
 
 @query(f"WITH {_T19} SELECT list(symbol ORDER BY symbol) AS symbols, (SELECT list(round(mean, 6) ORDER BY symbol) FROM m) AS mean, (SELECT list(round(cov, 6) ORDER BY sym1, sym2) FROM c) AS cov FROM m")
 def t19_asset_moments(s, d):
-    x = portfolio.asset_moments(_stated(s, d))
+    x = portfolio.asset_moments(_stated(s, d), exact="exact")
     return x.select("symbols", *(F.transform(c, lambda v: F.round(v, 6)).alias(c) for c in ("mean", "cov")))
 
 
 @query()
 def t19_k05_frontier_of_moments(s, d):
     """The frontier from the one row of moments, without anything on the driver."""
-    f = portfolio.frontier_of(portfolio.asset_moments(_stated(s, d)))
+    f = portfolio.frontier_of(portfolio.asset_moments(_stated(s, d), exact="exact"))
     return rounded(portfolio.best_rows(f).select("id", "ret", "vol", "sharpe", "pick"))
 
 
 def _stated(s, d):
-    r = schema.bars(s, d).select("symbol", "ts", ((F.col("close") - 50) / 1000).alias("ret"))
+    exact = (F.col("close").try_cast("decimal(26, 16)") - 50) * F.expr("0.001BD")  # 50 and doubles leave a rest of rounding
+    r = schema.bars(s, d).select("symbol", "ts", ((F.col("close") - 50) / 1000).alias("ret"), exact.alias("exact"))
     return r.where(F.col("symbol").isin("click", "error", "login", "purchase", "view"))
 
 
