@@ -420,6 +420,14 @@ def _drain(s, stream, name, mode="append"):
     return s.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _sunk(s, stream, name, sink, columns):
+    """Runs a stream over what is there through a foreachBatch sink in the shared folder, and reads the result."""
+    path = new_folder(s, name)
+    q = stream.writeStream.foreachBatch(sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return jobs.sink_results(s, f"{path}/out", columns)
+
+
 @query("WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS n FROM events GROUP BY ALL) SELECT * FROM b WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTES")
 def r01_stream_bars(s, d):
     x = _drain(s, jobs.stream_bars(_tick_stream(s, d), "1 hour"), "r01")
@@ -431,14 +439,14 @@ _R2 = "OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 29 PRECEDING AND C
 
 @query(f"WITH x AS (SELECT event_type AS symbol, ts, value AS price, count(*) {_R2} AS n, avg(value) {_R2} AS m, stddev_samp(value) {_R2} AS s FROM events) SELECT symbol, ts, price, round(m, 6) + 0.0::DOUBLE AS mean, round(s, 6) + 0.0::DOUBLE AS std, round((price - m) / nullif(s, 0), 6) + 0.0::DOUBLE AS z FROM x WHERE n = 30")
 def r02_r04_stream_zscore(s, d):
-    x = _drain(s, jobs.stream_zscore(_tick_stream(s, d), 30), "r02")
+    x = _sunk(s, _tick_stream(s, d), "r02", lambda path: jobs.zscore_sink(path, 30), "symbol string, ts timestamp, price double, mean double, std double, z double")
     return rounded(x.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 @query()
 def r03_stream_pairs(s, d):
     routed = jobs.route_to_pairs(_tick_stream(s, d), [("click", "view"), ("error", "login")])
-    x = _drain(s, jobs.stream_pair_decisions(routed, 30), "r03")
+    x = _sunk(s, routed, "r03", lambda path: jobs.pair_sink(path, 30), "pair string, ts timestamp, z double, kappa double, position int")
     return rounded(x.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
