@@ -98,3 +98,5 @@ def test_moments_of_windows():
     mean, std = jobs.window_moments(v[:2], v[2:], 3, skip=False)
     assert np.isnan(mean[:3]).all() and mean[3:].tolist() == [4.0, 4.0] and std[3:].tolist() == [0.0, 0.0]
     assert np.isnan(jobs.window_moments(v[:1], v[1:2], 3)[0]).all()
+    mean, std = jobs.window_moments(np.zeros(0), np.full(60, 29.27), 30)
+    assert set(mean[29:]) == {29.27} and set(std[29:]) == {0.0}

@@ -24,7 +24,8 @@ def stream_bars(ticks: DataFrame, every: str = "1 minute", late: str = "5 minute
 def window_moments(held: np.ndarray, new: np.ndarray, n: int, skip: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample deviation of the n values up to each new one; NaN until there are n. held: the values before, n - 1 at most.
 
-    skip: missing values (NaN) don't count among the n; else they make the window's moments NaN. Each window is summed anew, some windows at once.
+    skip: missing values (NaN) don't count among the n; else they make the window's moments NaN. Each window is summed anew, some windows at once;
+    where all its values are the same, the mean is that value and the deviation 0, without a rest of rounding.
     """
     v, mean, std = np.concatenate([held, new]), np.full(len(new), np.nan), np.full(len(new), np.nan)
     if len(v) < n:
@@ -36,6 +37,8 @@ def window_moments(held: np.ndarray, new: np.ndarray, n: int, skip: bool = True)
             there = ~np.isnan(x) if skip else np.ones(x.shape, bool)
             k = there.sum(1)
             m = np.where(there, x, 0.0).sum(1) / k
+            low, high = np.where(there, x, np.inf).min(1), np.where(there, x, -np.inf).max(1)
+            m = np.where(low == high, low, m)
             d = np.where(there, x - m[:, None], 0.0)
             mean[at + lo : at + lo + len(x)] = m
             std[at + lo : at + lo + len(x)] = np.where(k > 1, np.sqrt((d * d).sum(1) / np.maximum(k - 1, 1)), np.nan)
